@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, langid, packing, pii, quality, substring_dedup, toxicity
+from . import bpe, exact_dedup, html_text, jaccard_join, langid, packing, pii, quality, substring_dedup, toxicity
 
 #: The tokenizer's file, a parameter of op5; the operator takes any path.
 TOKENIZER = "byte_bpe_50k.json"
@@ -50,6 +50,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
     "op8_html_extraction": op8_html_extraction,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -74,6 +79,16 @@ ORACLES: dict[str, str] = {
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM n JOIN g USING (norm)""",
+    "op9_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, len(w) AS n, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0),
+        k AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ') || CASE WHEN n < 5 THEN '#' || n ELSE '' END) AS h FROM s),
+        z AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM k x JOIN k y USING (h) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN z u ON u.doc_id = a JOIN z v ON v.doc_id = b WHERE 100 * inter >= 80 * (u.n + v.n - inter)),
+        r AS (SELECT doc_id AS a, doc_id AS c FROM d UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.a)
+        SELECT r.a AS doc_id, coalesce(any_value(z.n), 0) AS n_shingles, min(r.c) AS component_id
+        FROM r LEFT JOIN z ON z.doc_id = r.a GROUP BY r.a""",
     "op10_substring_dedup": """
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT doc_id, len(w) AS n, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d),

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once by the vectorised code.
@@ -43,7 +44,7 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -
 
 def text_slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about ``limit`` bytes together (one row at least)."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     ends = np.cumsum(lengths, dtype=np.int64)
     begin, n = 0, len(lengths)
     while begin < n:
@@ -78,7 +79,7 @@ class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of some texts: 64-bit hashes, byte ranges, and where each text begins."""
 
     def __init__(self, texts: pa.Array, lower: bool) -> None:
-        raw = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
+        raw = pc.fill_null(texts.cast(pa.large_binary()), b"")
         raw = pa.concat_arrays([raw]) if raw.offset else raw
         buffers = raw.buffers()
         offsets = np.frombuffer(buffers[1], np.int64, len(raw) + 1)
