@@ -47,7 +47,7 @@ WIDTH = 5
 #: Threshold as a fraction: 100 * inter >= PERCENT * union.
 PERCENT = 80
 #: Bands of minima that propose centres, and minima in a band.
-BANDS, ROWS = 8, 2
+BANDS, ROWS = 8, 3
 #: Most frequent shingles whose order follows their counts; an order only, no result depends on it.
 FREQUENT = 250_000
 #: A shingle counts as frequent in a task from this many of its documents on.
@@ -146,7 +146,8 @@ def band_rows(docs: DataFrame, order: object) -> DataFrame:
             for doc_id, s in zip(ids, sets_of(batch.column("text")), strict=True):
                 if len(s):
                     least = np.array([(s * odd).min() for odd in _ODD]).reshape(BANDS, ROWS)
-                    h = shared.mix(least[:, 0] + shared.mix(least[:, 1]) + np.arange(BANDS, dtype=np.uint64))
+                    h = shared.windows(least.T.copy().reshape(-1), 1, 9).reshape(ROWS, BANDS)
+                    h = shared.mix(h[0] + shared.mix(h[1] + shared.mix(h[2])) + np.arange(BANDS, dtype=np.uint64))
                     bands.append(h)
                     rare += [int(1000 * (order.value.weights(s) == 0).sum() // len(s))] * BANDS
                     owner += [doc_id] * BANDS
@@ -156,92 +157,119 @@ def band_rows(docs: DataFrame, order: object) -> DataFrame:
     return docs.mapInArrow(run, "band long, rare int, doc_id long")
 
 
+#: What a posting stands for: a document in no star with others, one of such a star, several of one.
+SOLO, ONE, SEVERAL = 0, 1, 2
+
+
 def posting_rows(docs: DataFrame, order: object) -> DataFrame:
-    """token, star, size and position of every prefix shingle."""
+    """token, star and the posting (size, place and kind in one number) of every prefix shingle.
+
+    docs: star, solo, text. Of a star's documents in one batch each shingle gives
+    one posting, or one of the smallest and one of the largest size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stars = batch.column("star").to_numpy(zero_copy_only=False)
-            tokens, owner, size, place = [], [], [], []
-            for star, s in zip(stars, sets_of(batch.column("text")), strict=True):
+            solo = batch.column("solo").to_numpy(zero_copy_only=False)
+            tokens, owner, what = [], [], []
+            for star, alone, s in zip(stars, solo, sets_of(batch.column("text")), strict=True):
                 if len(s):
                     p = order.value.prefix(s)
                     tokens.append(p)
                     owner.append(np.full(len(p), star, np.int64))
-                    size.append(np.full(len(p), len(s), np.int32))
-                    place.append(np.arange(len(p), dtype=np.int32))
-            if tokens:
-                columns = [_signed(np.concatenate(tokens)), *(np.concatenate(x) for x in (owner, size, place))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "star", "size", "place"])
+                    what.append((len(s) << 31) + (np.arange(len(p), dtype=np.int64) << 2) + (SOLO if alone else ONE))
+            if not tokens:
+                continue
+            token, star, posting = _signed(np.concatenate(tokens)), np.concatenate(owner), np.concatenate(what)
+            starry = np.flatnonzero(posting & 3)
+            if len(starry):
+                by = starry[np.lexsort((posting[starry], star[starry], token[starry]))]
+                new = np.append(True, (token[by][1:] != token[by][:-1]) | (star[by][1:] != star[by][:-1]))
+                end = np.append(new[1:], True)
+                keep = np.ones(len(token), bool)
+                keep[by[~(new | end)]] = False
+                posting[by[~(new & end)]] |= SEVERAL
+                token, star, posting = token[keep], star[keep], posting[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(star), pa.array(posting)], ["token", "star", "posting"])
 
-    return docs.mapInArrow(run, "token long, star long, size int, place int")
+    return docs.mapInArrow(run, "token long, star long, posting long")
 
 
 #: Postings of a list that are compared at once.
 BLOCK = 256
 
 
-def list_pairs(star: np.ndarray, least: np.ndarray, most: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different stars of one list that can still hold a link.
+def list_pairs(star: np.ndarray, posting: np.ndarray) -> np.ndarray:
+    """Pairs of postings of one list, of different stars, that can still hold a link.
 
-    The list is sorted by largest size; a block ends where sizes are out of
-    range, and positions bound what two sets can share.
+    The list is sorted by size; blocks whose sizes are out of range are
+    skipped, and positions bound what two sets can share. Where a posting stands
+    for several documents the sizes of its star's postings bound the range.
     """
-    by = np.argsort(most, kind="stable")
-    star, least, most, place = star[by], least[by].astype(np.int64), most[by].astype(np.int64), place[by].astype(np.int64)
-    a, b = [], []
+    size = posting >> 31
+    low, high = size.copy(), size.copy()
+    several = np.flatnonzero(posting & 2)
+    for k in np.unique(star[several]):
+        of = several[star[several] == k]
+        low[of], high[of] = size[of].min(), size[of].max()
+    by = np.argsort(high, kind="stable")
+    star, low, high, place, kind = star[by], low[by], high[by], (posting[by] >> 2) & ((1 << 29) - 1), posting[by] & 3
+    out = []
     n = len(star)
     for begin in range(0, n, BLOCK):
         rows = np.arange(begin, min(begin + BLOCK, n))
-        # partners are later in the order; their least size must be in reach of the block's largest one
         for other in range(begin, n, BLOCK):
             cols = np.arange(other, min(other + BLOCK, n))
-            if PERCENT * int(least[cols].min()) > 100 * int(most[rows].max()):
-                continue  # skip the block: all its sets are too large
+            if PERCENT * int(low[cols].min()) > 100 * int(high[rows].max()):
+                continue  # the whole block is too large
             r, c = np.meshgrid(rows, cols, indexing="ij")
-            ok = (c > r) & (star[r] != star[c]) & (PERCENT * least[c] <= 100 * most[r]) & (PERCENT * least[r] <= 100 * most[c])
+            ok = (c > r) & (star[r] != star[c]) & (PERCENT * low[c] <= 100 * high[r]) & (PERCENT * low[r] <= 100 * high[c])
             r, c = r[ok], c[ok]
-            if not len(r):
-                continue
-            # |x & y| <= min(i, j) + 1 + min(|x| - 1 - i, |y| - 1 - j), for stars with their least position and largest size
-            single = (least[r] == most[r]) & (least[c] == most[c])
-            reach = np.minimum(place[r], place[c]) + 1 + np.minimum(most[r] - 1 - place[r], most[c] - 1 - place[c])
-            ok = ~single | (reach >= needed(least[r], least[c]))
-            a.append(star[r[ok]])
-            b.append(star[c[ok]])
-    none = np.zeros(0, np.int64)
-    a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
-    return np.minimum(a, b), np.maximum(a, b)
+            ok = (kind[r] > ONE) | (kind[c] > ONE) | _reachable(high[r], high[c], place[r], place[c])
+            r, c = r[ok], c[ok]
+            out.append(_pair_rows(star[r], star[c], high[r], high[c], place[r], place[c], (kind[r] | kind[c]) == SOLO))
+    return np.concatenate([np.zeros((0, 7), np.int64), *out])
+
+
+def _reachable(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m that share the shingle at places i and j can link: before it they share min(i, j) at most."""
+    return np.minimum(i, j) + 1 + np.minimum(n - 1 - i, m - 1 - j) >= needed(n, m)
+
+
+def _pair_rows(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, solo: np.ndarray) -> np.ndarray:
+    """Rows of a < b, their sizes and places, and whether both are solo."""
+    turn = x > y
+    pick = lambda p, q: np.where(turn, q, p)
+    return np.stack([pick(x, y), pick(y, x), pick(n, m), pick(m, n), pick(i, j), pick(j, i), solo.astype(np.int64)], axis=1)
 
 
 def candidates(postings: DataFrame) -> DataFrame:
-    """Distinct pairs of stars (a < b) that meet in a list and are not skipped."""
-    one = postings.groupBy("token", "star").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("place").alias("place"))
-    lists = one.repartition("token").sortWithinPartitions("token")
+    """Distinct pairs of stars (a < b) that meet in a list and are not skipped.
+
+    A pair of single documents has met in all shingles that both prefixes hold;
+    with their number and the last places known, the bound is taken once more.
+    """
+    lists = postings.repartition("token").sortWithinPartitions("token")
+    names = ["a", "b", "n_a", "n_b", "i", "j", "solo"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def walk(c: list[np.ndarray]) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.append(True, c[0][1:] != c[0][:-1]))
-            ends = np.append(cut[1:], len(c[0]))
-            many = ends - cut > 1
-            two = many & (ends - cut == 2)
-            found = []
-            i = cut[two]
-            if len(i):  # the usual list, of two: all at once
-                l1, m1, p1, l2, m2, p2 = (c[k][i + d].astype(np.int64) for d in (0, 1) for k in (2, 3, 4))
-                single = (l1 == m1) & (l2 == m2)
-                reach = np.minimum(p1, p2) + 1 + np.minimum(m1 - 1 - p1, m2 - 1 - p2)
-                ok = (PERCENT * l1 <= 100 * m2) & (PERCENT * l2 <= 100 * m1) & (~single | (reach >= needed(l1, l2)))
-                x, y = c[1][i[ok]], c[1][i[ok] + 1]
-                found.append((np.minimum(x, y), np.maximum(x, y)))
-            for s, e in zip(cut[many & ~two], ends[many & ~two], strict=True):
-                found.append(list_pairs(*(x[s:e] for x in c[1:])))
-            a = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in found)])
-            b = np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)])
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            token, star, posting = c
+            cut = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            ends = np.append(cut[1:], len(token))
+            two = ends - cut == 2
+            i = cut[two]  # the usual list, of two: all at once
+            p, q = posting[i], posting[i + 1]
+            n, m, x, y = p >> 31, q >> 31, (p >> 2) & ((1 << 29) - 1), (q >> 2) & ((1 << 29) - 1)
+            exact = ((p | q) & 2) == 0
+            ok = (star[i] != star[i + 1]) & (~exact | (PERCENT * n <= 100 * m) & (PERCENT * m <= 100 * n) & _reachable(n, m, x, y))
+            found = [_pair_rows(star[i], star[i + 1], n, m, x, y, ((p | q) & 3) == SOLO)[ok]]
+            found += [list_pairs(star[s:e], posting[s:e]) for s, e in zip(cut[ends - cut > 2], ends[ends - cut > 2], strict=True)]
+            rows = np.concatenate(found)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(7)], names)
 
         for batch in batches:
             c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
@@ -255,7 +283,11 @@ def candidates(postings: DataFrame) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield walk(rest)
 
-    return lists.select("token", "star", "least", "most", "place").mapInArrow(run, "a long, b long").distinct()
+    met = lists.select("token", "star", "posting").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    met = met.groupBy("a", "b").agg(*(F.max(n).alias(n) for n in names[2:6]), F.min("solo").alias("solo"), F.count("*").alias("met"))
+    bound = F.col("met") + F.least(F.col("n_a") - 1 - F.col("i"), F.col("n_b") - 1 - F.col("j"))
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * PERCENT / (100 + PERCENT) - 1e-6)
+    return met.where((F.col("solo") == 0) | (bound >= least)).select("a", "b")
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -318,8 +350,11 @@ def join(docs: DataFrame) -> DataFrame:
     centred = ways.join(ways.select(F.col("doc_id").alias("hub")).distinct(), "hub", "left_anti")  # the hub is itself no member
     pick = F.max_by(F.struct("hub", "inter", "total"), F.struct(F.col("inter") / F.col("total"), -F.col("hub")))
     members = shared.written(centred.groupBy("doc_id").agg(pick.alias("x")).select("doc_id", F.col("x.hub").alias("star"), (1 - F.col("x.inter") / F.col("x.total")).alias("away")), "jaccard-members")
-    held = F.broadcast(members) if members.count() * 32 <= shared.BROADCAST_BYTES else members
-    starred = rest.join(held.select("doc_id", "star"), "doc_id", "left").select("text", F.coalesce("star", "doc_id").alias("star"))
+    few_members = members.count() * 32 <= shared.BROADCAST_BYTES
+    held = F.broadcast(members) if few_members else members
+    hubs = members.select(F.col("star").alias("doc_id"), F.lit(True).alias("hub")).distinct()
+    starred = rest.join(held.select("doc_id", "star"), "doc_id", "left").join(F.broadcast(hubs) if few_members else hubs, "doc_id", "left")
+    starred = starred.select("text", F.coalesce("star", "doc_id").alias("star"), (F.col("star").isNull() & F.col("hub").isNull()).alias("solo"))
 
     # candidate pairs of stars, by their centres
     met = shared.written(candidates(posting_rows(starred, order)), "jaccard-candidates")
