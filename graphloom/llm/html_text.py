@@ -276,8 +276,9 @@ def templates(pages: DataFrame) -> DataFrame:
                     own, found = subtrees(page)
                     rows += [(host, own, x) for x in found]
                     rows.append((host, own, None))  # the page itself
-            out = pd.DataFrame(rows, columns=["host", "page", "subtree"])
-            yield out.astype({"page": "int64", "subtree": "Int64"})
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            # the hashes never pass through floats, which would round them
+            yield pd.DataFrame({"host": pd.array(columns[0], "string"), "page": pd.array(columns[1], "Int64"), "subtree": pd.array(columns[2], "Int64")})
 
     known = pages.select(_host(F.col("url")).alias("host"), "html").where(F.col("host").isNotNull())
     seen = known.mapInPandas(run, "host string, page long, subtree long").distinct()
