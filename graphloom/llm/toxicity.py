@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Bounds of the training sample, in documents.
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+MAX_TOXIC, MAX_CLEAN = 1000, 2000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 BIAS = 3.0
@@ -107,20 +107,33 @@ def instance(z: float) -> float:
     return max(0.0, 1 / (1 + math.exp(BIAS - z)) - 1 / (1 + math.exp(BIAS))) if z < 60 else 1 - 1 / (1 + math.exp(BIAS))
 
 
-def select_features(bags: list[list[set[str]]], labels: np.ndarray, least: int = 3) -> list[str]:
-    """Features with a positive association significant after correction for their number."""
-    toxic, clean = Counter(), Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        (toxic if y else clean).update(set().union(*bag) if bag else ())
+def text_features(text: str) -> set[str]:
+    return {f for w in set(_WORD.findall(text.lower())) for f in features(w)}
+
+
+def select_features(texts: list[str], labels: np.ndarray, least: int = 3) -> list[str]:
+    """Features with a positive association significant after correction for their number.
+
+    Only features of ``least`` toxic texts can be; the others are not counted
+    in the clean ones, which bounds what is held.
+    """
+    toxic: Counter = Counter()
+    for text, y in zip(texts, labels, strict=True):
+        if y:
+            toxic.update(text_features(text))
+    toxic = Counter({k: v for k, v in toxic.items() if v >= least})
+    clean: Counter = Counter()
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            clean.update(f for f in text_features(text) if f in toxic)
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     if not n1 or not n0:
         return []
-    tried = sum(1 for k, v in toxic.items() if v + clean[k] >= least)
-    bar = 2 * math.log(max(tried, 1) / 0.2)  # chi-square tail bound of one degree of freedom
+    bar = 2 * math.log(max(len(toxic), 1) / 0.05)  # chi-square tail bound of one degree of freedom
     out = []
     for k, a in toxic.items():
         b = clean[k]
-        if a + b < least or a * n0 <= b * n1:
+        if a * n0 <= b * n1:
             continue
         g = 0.0
         for got, of, total in ((a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n1 + n0 - a - b), (n0 - b, n0, n1 + n0 - a - b)):
@@ -135,16 +148,15 @@ def train(texts: list[str], labels: list[int], weights: list[float] | None = Non
     """Fit the bag likelihood by full-batch Adam; ``weights`` undo the class sampling."""
     y = np.asarray(labels, float)
     share = np.ones(len(y)) if weights is None else np.asarray(weights, float)
-    bags = [[{f for w in _WORD.findall(t[a:b].lower()) for f in features(w)} for a, b in sentences(t)] for t in texts]
-    names = select_features(bags, y.astype(int))
+    names = select_features(texts, y.astype(int))
     base = float((share * y).sum() / max(share.sum(), 1e-9))
     if not names:
         return Model({}, min(0.25, base))
     at = {f: i for i, f in enumerate(names)}
     bag_of, rows, cols = [], [], []
-    for b, bag in enumerate(bags):
-        for sentence in bag:
-            if hit := [at[f] for f in sentence if f in at]:
+    for b, text in enumerate(texts):
+        for start, end in sentences(text):
+            if hit := [at[f] for f in text_features(text[start:end]) if f in at]:
                 rows += [len(bag_of)] * len(hit)
                 cols += hit
                 bag_of.append(b)
