@@ -35,6 +35,8 @@ from . import shared
 #: Bounds of the model: training documents, words and n-grams for each language.
 MAX_DOCS, MAX_WORDS, MAX_GRAMS = 600, 20_000, 20_000
 ORDERS = (5, 4, 3, 2, 1)
+#: Parts of a language that are ranked on their own before the language is.
+SLICES = 64
 STEP = math.log(0.4)
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -109,10 +111,12 @@ def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     """At most MAX_DOCS rows of each language, picked by id before any text moves."""
     key = F.col("doc_id").cast("string")
     open_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(key.cast("binary")) % 4 != 2))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))
     least = open_rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("mark"))
-    # Spark keeps at most MAX_DOCS rows of each language and task before the shuffle (group limit).
-    ids = least.withColumn("rank", rank).where(F.col("rank") <= MAX_DOCS).select("lang", "doc_id").distinct()
+    # First the least of each of SLICES slices of a language, so that no task gets what all tasks kept of one language.
+    for by in (("lang", F.pmod("doc_id", F.lit(SLICES))), ("lang",)):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("mark", "doc_id"))
+        least = least.withColumn("rank", rank).where(F.col("rank") <= MAX_DOCS).drop("rank")
+    ids = least.select("lang", "doc_id").distinct()
     rows = open_rows.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"]).collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
