@@ -135,6 +135,18 @@ def wiki(E: DataFrame) -> DataFrame:
     return E.groupBy("file_path").agg(F.concat(F.lit("# "), F.first("file_path"), F.lit("\n\n"), listed).alias("page"))
 
 
+def obsidian(E: DataFrame, R: DataFrame) -> DataFrame:
+    """Note, place and value of each line of the notes, links last; a hub's note is lines, never one string."""
+    note = lambda c: F.regexp_replace(c, "[^A-Za-z0-9_-]", "_")
+    head = F.array(
+        F.struct(F.lit(0).alias("place"), F.concat(F.lit("# "), "name").alias("value")),
+        F.struct(F.lit(1).alias("place"), F.format_string("type: %s, file: %s", "element_type", "file_path").alias("value")),
+    )
+    heads = E.select(note("qualified_name").alias("note"), F.explode(head).alias("x")).select("note", "x.place", "x.value")
+    links = R.select(note("source_qualified").alias("note"), F.lit(2).alias("place"), F.concat(F.lit("- "), "rel_type", F.lit(" [["), note("target_qualified"), F.lit("]]")).alias("value"))
+    return heads.unionByName(links.distinct())
+
+
 def compress_response(df: DataFrame, by: str, order: Sequence[str | Column], most: int = 20) -> tuple[DataFrame, DataFrame]:
     """The first rows and the count of each group."""
     return df.orderBy(*order).limit(most), df.groupBy(by).agg(F.count("*").alias("n"))

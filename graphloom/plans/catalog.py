@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators import questions as Q
 from ..operators import ranking as K
 from ..operators import scans as S
 from ..operators import tables as W
@@ -104,10 +105,10 @@ _add("e9_dead_code", lambda E, R: J.dead_code(E, R.where("rel_type <> 'calls' or
      "SELECT qualified_name FROM elements e WHERE element_type = 'function' AND line_end - line_start >= 99 AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.rel_type = 'calls' AND r.target_qualified < 'class/5' AND r.source_qualified = e.qualified_name)")
 _raw("e10_orphans", lambda s, d: J.orphans(load(s, d, "embeddings").select(F.concat(F.lit("struct/"), F.col("vec_id") * 5).alias("qualified_name")), elements(s, d)), CTE + "SELECT 'struct/' || (vec_id * 5) AS qualified_name FROM embeddings WHERE 'struct/' || (vec_id * 5) NOT IN (SELECT qualified_name FROM elements)")
 _raw("e11_stale", lambda s, d: J.stale_items(load(s, d, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("qualified_name"), F.md5("text").alias("content_hash")),
-     load(s, d, "documents").where("doc_id % 3 < 2").select(F.concat(F.lit("doc/"), "doc_id").alias("qualified_name"), F.when(F.col("doc_id") % 3 == 0, F.md5("text")).otherwise("").alias("content_hash"), F.lit("fresh").alias("state"))),
-     "SELECT 'doc/' || doc_id AS qualified_name, md5(text) AS content_hash FROM documents WHERE doc_id % 3 <> 0")
-_raw("e12_changed_files", lambda s, d: J.changed_files(load(s, d, "documents").select(F.col("doc_id").alias("path"), F.md5("text").alias("hash")), load(s, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("path"), F.md5(F.substring("text", 1, 100)).alias("hash"))),
-     "SELECT doc_id AS path, md5(text) AS hash FROM documents WHERE doc_id % 2 = 1 OR md5(text) <> md5(substring(text, 1, 100))")
+     load(s, d, "documents").where("lang = 'en'").select(F.concat(F.lit("doc/"), "doc_id").alias("qualified_name"), F.when(F.col("source") == "src1", F.md5("text")).otherwise("").alias("content_hash"), F.lit("fresh").alias("state"))),
+     "SELECT 'doc/' || doc_id AS qualified_name, md5(text) AS content_hash FROM documents WHERE NOT coalesce(lang = 'en' AND source = 'src1', false)")
+_raw("e12_changed_files", lambda s, d: J.changed_files(load(s, d, "documents").select(F.col("doc_id").alias("path"), F.md5("text").alias("hash")), load(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("path"), F.md5(F.lower("text")).alias("hash"))),
+     "SELECT doc_id AS path, md5(text) AS hash FROM documents WHERE coalesce(lang <> 'en', true) OR md5(text) <> md5(lower(text))")
 _e("e13_cross_repo", lambda E: J.cross_repo_similar(E.where("element_type in ('struct', 'function')"), F.col("language"), F.concat_ws(":", "line_end", "env"), 100),
    "SELECT x.symbol, x.repo AS repo_a, x.q AS a, y.repo AS repo_b, y.q AS b FROM (SELECT line_end || ':' || env AS symbol, language AS repo, min(qualified_name) AS q FROM elements WHERE element_type IN ('struct', 'function') GROUP BY 1, 2) x JOIN (SELECT line_end || ':' || env AS symbol, language AS repo, min(qualified_name) AS q FROM elements WHERE element_type IN ('struct', 'function') GROUP BY 1, 2) y ON x.symbol = y.symbol AND x.repo < y.repo ORDER BY x.symbol, a, b LIMIT 100")
 _add("e17_tests", lambda E, R: J.tests_of(R, "function/1").select(_REDGE), f"SELECT {_redge} FROM edges WHERE source_qualified = 'function/1' AND (rel_type IN ('tested_by', 'tests') OR contains(target_qualified, 'test') OR contains(target_qualified, 'spec'))")
@@ -173,6 +174,7 @@ _add("g4_seeded", lambda E, R: G.seeded_traversal(E, R, E.where("qualified_name
      d AS (SELECT target_qualified AS node, row_number() OVER (PARTITION BY source_qualified ORDER BY target_qualified) AS r FROM edges WHERE rel_type = 'contains' AND source_qualified IN (SELECT node FROM m))
      SELECT * FROM (SELECT 'module/1' AS node, 0 AS depth UNION ALL SELECT node, 1 FROM m UNION ALL SELECT node, 2 FROM d WHERE r <= 4) ORDER BY depth, node LIMIT 60""")
 _add("g6_expansion", lambda E, R: G.ontology_expansion(R, "module/2", 2), "SELECT 'module/2' AS node, 0 AS depth UNION ALL SELECT target_qualified, 1 FROM edges WHERE source_qualified = 'module/2' UNION ALL SELECT DISTINCT target_qualified, 2 FROM edges WHERE source_qualified IN (SELECT target_qualified FROM edges WHERE source_qualified = 'module/2')")
+_add("g7_question", lambda E, R: Q.question_subgraph(E, R, "What connects ASIA to FRANCE?").select("source_qualified", "target_qualified", "rel_type", "on_path"))
 _add("g8_subgraph", lambda E, R: G.subgraph(R, "module/2", 1).select(_REDGE), f"SELECT {_redge} FROM edges WHERE source_qualified = 'module/2'")
 _add("g9_communities", lambda E, R: G.communities(R.where("rel_type in ('contains', 'calls')"), 4).groupBy("community").agg(F.count("*").alias("members")))
 _add("g10_processes", lambda E, R: G.processes(R, E, 20, 4))
@@ -206,6 +208,9 @@ _raw("s6_retention", lambda s, d: W.retention(load(s, d, "events").select(F.unix
 _add("c6_export_selection", lambda E, R: W.select_for_export(E, R, 50)[0].select("qualified_name", "degree"), f"SELECT qualified_name, coalesce(degree, 0) AS degree FROM (SELECT DISTINCT qualified_name FROM elements) LEFT JOIN ({_DEG}) USING (qualified_name) ORDER BY degree DESC, qualified_name LIMIT 50")
 _add("c5_graphml", lambda E, R: W.graphml(E.where("element_type = 'module'"), R.where("source_qualified = 'module/1'")),
      """SELECT '<node id="' || qualified_name || '"><data key="type">module</data></node>' AS value FROM elements WHERE element_type = 'module' UNION ALL SELECT '<edge source="' || source_qualified || '" target="' || target_qualified || '"><data key="rel">contains</data></edge>' FROM edges WHERE source_qualified = 'module/1'""")
+_add("c5_obsidian", lambda E, R: W.obsidian(E.where("element_type = 'module'"), R.where("source_qualified = 'module/1'")).select("note", "place", "value"),
+     """SELECT replace(qualified_name, '/', '_') AS note, place, CASE place WHEN 0 THEN '# ' || name ELSE 'type: module, file: ' || file_path END AS value FROM elements, (SELECT unnest([0, 1]) AS place) WHERE element_type = 'module'
+     UNION ALL SELECT DISTINCT 'module_1', 2, '- ' || rel_type || ' [[' || regexp_replace(target_qualified, '[^A-Za-z0-9_-]', '_', 'g') || ']]' FROM edges WHERE source_qualified = 'module/1'""")
 _add("c5_cypher", lambda E, R: W.cypher(E.where("element_type = 'module'"), R.where("source_qualified = 'module/1'")))
 _add("c5_json", lambda E, R: W.json_snapshot(E.where("element_type = 'module'"), R.where("source_qualified = 'module/1'")))
 _e("c5_wiki", lambda E: W.wiki(E.where("element_type = 'directory'")), "SELECT file_path, '# ' || file_path || chr(10) || chr(10) || string_agg('- `' || name || '` directory, lines ' || line_start || ' to ' || line_end, chr(10) ORDER BY line_start, qualified_name) AS page FROM elements WHERE element_type = 'directory' GROUP BY 1")
