@@ -38,7 +38,9 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece, bin_id, bin_offset, n_tokens of every piece of every document."""
-    return packing.pack_documents(docs)
+    import public_tokenizers
+
+    return packing.pack_documents(docs, tokenizer=public_tokenizers.path(packing.TOKENIZER))
 
 
 STAGES = [

@@ -23,8 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import shared
 
@@ -245,13 +247,30 @@ class Codec:
             out.append((ids, decoded))
         return out
 
+    def count(self, texts: list[str]) -> np.ndarray:
+        """How many ids each text has; what all of them decode to is compared with the texts, as in ``encode``."""
+        if len(self.index) > CACHE_WORDS:
+            self.reset()
+        pieces, plan = self._pieces(texts)
+        codes, first = self._codes(pieces)
+        if self.decode(gather(self.ids, self.starts, codes)) != "".join(pieces):  # two words with one hash
+            return np.array([len(ids) for ids, _ in self.encode(texts)], np.int64)
+        ends = np.concatenate([[0], np.cumsum(np.diff(self.starts)[codes])])[first]
+        each = np.diff(ends)
+        return np.array([sum(int(each[k]) if k >= 0 else 1 for k in own) for own in plan], np.int64)
+
     def _plain(self, text: str) -> np.ndarray:
         words = [w.encode("utf-8", "replace") for w in regex.findall(PATTERN, text)]
         return merge_words(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64), self.t)[0]
 
     def _encode(self, pieces: list[str]) -> list[np.ndarray]:
+        codes, first = self._codes(pieces)
+        return [gather(self.ids, self.starts, codes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    def _codes(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word of the pieces in turn, and where each piece's words begin (one more than pieces)."""
         if not pieces:
-            return []
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
         points = np.frombuffer("".join(pieces).encode("utf-32-le", "replace"), np.uint32)
         cuts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
         starts = split_words(points, cuts[:-1], self.classes)
@@ -283,9 +302,7 @@ class Codec:
             ids, begin = merge_words(data, np.diff(bounds), self.t)
             self.starts = np.concatenate([self.starts, begin[1:] + self.starts[-1]])
             self.ids = np.concatenate([self.ids, ids])
-        codes = codes[back]
-        first = np.searchsorted(starts, cuts)
-        return [gather(self.ids, self.starts, codes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        return codes[back], np.searchsorted(starts, cuts)
 
     def decode(self, ids: np.ndarray) -> str:
         return gather(self.t.token_bytes, self.t.token_starts, ids).tobytes().decode("utf-8", "replace")
@@ -313,3 +330,21 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
             yield out
 
     return docs.select("doc_id", "text").mapInPandas(run, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""))
+
+
+def with_token_counts(docs: DataFrame, path: str) -> DataFrame:
+    """``docs``, which has text and no column n_tokens, with n_tokens in the place of text."""
+    spark = docs.sparkSession
+    shared.small_batches(spark, size=4 << 20)
+    held = spark.sparkContext.broadcast(load(path))
+    others = [f for f in docs.schema.fields if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(held.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            n = np.concatenate([np.zeros(0, np.int64), *(codec.count(texts[a:b]) for a, b in shared.text_slices(batch.column("text")))])
+            columns = [batch.column(f.name) for f in others]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], [*(f.name for f in others), "n_tokens"])
+
+    return docs.mapInArrow(run, StructType([*others, StructField("n_tokens", LongType())]))

@@ -10,7 +10,8 @@ next larger residual until a bin is compatible, so it gets the tightest
 compatible bin; if there is none it opens one. A document longer than a bin
 fills whole bins alone and only its rest is packed.
 
-Lengths estimate tokens as a quarter of the UTF-8 bytes, rounded up.
+Lengths are counts of tokens by operator 5's encoder; the tokenizer's file is a
+parameter.
 
 Defined results: null and empty texts have length 0 and still get a bin; a
 null source or cluster conflicts with nothing; ties of residual go to the
@@ -24,17 +25,16 @@ import bisect
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe, shared
 from .exact_dedup import normalised
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
-
-
-def token_estimate(text: Column) -> Column:
-    return F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("long")
+#: The public tokenizer that counts where no other file is given.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def best_fit(items: list[tuple[int, int | None, int | None]], capacity: int = CAPACITY) -> list[list[tuple[int, int, int, int]]]:
@@ -99,8 +99,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
     return items.select("doc_id", "length", "source", "cluster", shard.alias("shard")).groupBy("shard").applyInPandas(run, SCHEMA)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Pack documents; the duplicate cluster of a text is its normalised form's hash."""
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, tokenizer: str | None = None) -> DataFrame:
+    """Pack documents by their tokens; the duplicate cluster of a text is its normalised form's hash."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path(TOKENIZER)
     cluster = F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, F.xxhash64(normalised(F.col("text"))))
-    items = docs.select("doc_id", token_estimate(F.col("text")).alias("length"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"))
-    return pack(items, capacity, shard_rows)
+    keyed = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), cluster.alias("cluster"))
+    items = bpe.with_token_counts(keyed, tokenizer).withColumnRenamed("n_tokens", "length")
+    return pack(shared.written(items, "packing-items"), capacity, shard_rows)

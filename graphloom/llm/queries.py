@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, exact_dedup, html_text, jaccard_join, langid, packing, pii, quality, substring_dedup, toxicity
 
-#: The tokenizer's file, a parameter of op5; the operator takes any path.
+#: The tokenizer's file, a parameter of op2 and op5; the operators take any path.
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -21,7 +21,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path(TOKENIZER))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
