@@ -17,8 +17,9 @@ lower-casing A-Z; a null text counts as empty.
 4. Each row looks its entry up by hash and digest.
 
 Defined results: the row with the largest doc_id stays (a null doc_id only if
-all are null, and such rows are not kept unless alone in their group); rows
-repeated with one doc_id get the same answer; extra columns are ignored.
+all are null); rows repeated with one doc_id get the same answer; extra columns
+are ignored. ``kept_documents`` settles ties of doc_id by row, so that exactly
+one row of each group stays.
 """
 
 from __future__ import annotations
@@ -83,13 +84,13 @@ def _with_bucket(rows: DataFrame, slots: list[tuple[int, int]]) -> DataFrame:
     return rows.withColumn("slot", _slot(F.col("h"), bits)).join(F.broadcast(table), "slot").drop("slot")
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY, hash_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(keys, index): keys has doc_id, h, digest of each row; index has bucket, h, chain, digest, keep_id, group_size."""
+def build_index(docs: DataFrame, capacity: int = CAPACITY, hash_of: Column | None = None, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(keys, index): keys has doc_id, h, digest and the ``extra`` columns of each row; index has bucket, h, chain, digest, keep_id, group_size."""
     spark = docs.sparkSession
     norm = normalised(F.col("text"))
     h = F.xxhash64(norm) if hash_of is None else hash_of
-    base = docs.select("doc_id", "text")
-    keys = shared.written(base.select("doc_id", h.alias("h"), F.unhex(F.sha2(norm, 256)).alias("digest")), "dedup-keys")
+    base = docs.select("doc_id", "text", *extra)
+    keys = shared.written(base.select("doc_id", *extra, h.alias("h"), F.unhex(F.sha2(norm, 256)).alias("digest")), "dedup-keys")
     heads = keys.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
     total = keys.count()
     bits = min(MAX_DEPTH, max(0, (max(total, 1) // capacity).bit_length() + 3)) if total > capacity else 0
@@ -126,6 +127,9 @@ def deduplicate(docs: DataFrame, capacity: int = CAPACITY, hash_of: Column | Non
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, of the rows that stay."""
-    stay = deduplicate(docs).where("kept").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    """The columns of ``docs``, of one row of each group: one with the largest doc_id, or any if none has an id."""
+    docs = shared.with_row_key(docs)
+    keys, index = build_index(docs, extra=(shared.ROW_KEY,))
+    found = keys.join(index.select("h", "digest", "keep_id"), ["h", "digest"]).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    stay = found.groupBy("h", "digest").agg(F.min(shared.ROW_KEY).alias(shared.ROW_KEY)).select(shared.ROW_KEY)
+    return docs.join(stay, shared.ROW_KEY, "left_semi").drop(shared.ROW_KEY)

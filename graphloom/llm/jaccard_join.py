@@ -393,6 +393,19 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``; of each component its smallest doc_id stays."""
-    stay = join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    """The columns of ``docs``, of one row of each component: one with its smallest doc_id.
+
+    Rows are joined by a key of their own, so that different texts under one
+    doc_id are told apart; a row without an id or without words links with
+    nothing and stays, but of rows repeated with one id and no words one.
+    """
+    docs = shared.with_row_key(docs)
+    with_id = docs.where("doc_id is not null")
+    rows = with_id.select(F.col(shared.ROW_KEY).alias("doc_id"), "text")
+    parts = join(rows).withColumnsRenamed({"doc_id": shared.ROW_KEY, "component_id": "part"})
+    ids = with_id.select(shared.ROW_KEY, "doc_id")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id"))  # such rows are no component: they are told apart by id
+    least = F.min(F.struct("doc_id", shared.ROW_KEY)).alias("least")
+    of = parts.join(ids, shared.ROW_KEY).groupBy(own.alias("own"), F.when(own.isNull(), F.col("part")).alias("part")).agg(least)
+    stay = of.select(F.col(f"least.{shared.ROW_KEY}").alias(shared.ROW_KEY)).unionByName(docs.where("doc_id is null").select(shared.ROW_KEY))
+    return docs.join(stay, shared.ROW_KEY, "left_semi").drop(shared.ROW_KEY)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the vectorised code.
 CHUNK_BYTES = 1 << 20
@@ -36,6 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column that ``with_row_key`` adds.
+ROW_KEY = "__row"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a number of its own for each row, since doc_id may be null or repeat."""
+    return written(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed-rows")
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
     """Bound what one Arrow batch holds, so that long texts cannot fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -75,6 +75,21 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_kept_documents_have_one_row_of_each_group(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, "alone"), (None, "Two"), (None, "two"), (1, "same"), (1, "same"), (0, "SAME"), (None, "same"), (2, long), (2, long), (3, long + " x"), (None, long + " x y"), (2, "other text of that id"), (4, None), (5, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", 1, 7, "w") for i, t in rows], SCHEMA).repartition(3)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "").lower())
+    exact = exact_dedup.kept_documents(d)
+    assert exact.columns == d.columns
+    want = [(1, "same"), (2, long), (2, "other text of that id"), (3, long + " x"), (5, ""), (None, "alone"), (None, long + " x y"), (None, "two")]
+    assert sorted(map(key, exact.collect())) == sorted((i is None, i or 0, t) for i, t in want)
+    near = jaccard_join.kept_documents(exact)
+    assert sorted(map(key, near.collect())) == sorted((i is None, i or 0, t) for i, t in want if i != 3)
+    again = jaccard_join.kept_documents(d.where("doc_id = 1 or doc_id = 2"))
+    assert sorted(r["doc_id"] for r in again.collect()) == [1, 2, 2]
+
+
 def test_substring_dedup(spark, texts):
     words = [(t or "").encode().split() for t in texts]
     seen = {}
