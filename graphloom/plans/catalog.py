@@ -176,8 +176,8 @@ _add("g4_seeded", lambda E, R: G.seeded_traversal(E, R, E.where("qualified_name
 _add("g6_expansion", lambda E, R: G.ontology_expansion(R, "module/2", 2), "SELECT 'module/2' AS node, 0 AS depth UNION ALL SELECT target_qualified, 1 FROM edges WHERE source_qualified = 'module/2' UNION ALL SELECT DISTINCT target_qualified, 2 FROM edges WHERE source_qualified IN (SELECT target_qualified FROM edges WHERE source_qualified = 'module/2')")
 _add("g7_question", lambda E, R: Q.question_subgraph(E, R, "What connects ASIA to FRANCE?").select("source_qualified", "target_qualified", "rel_type", "on_path"))
 _add("g8_subgraph", lambda E, R: G.subgraph(R, "module/2", 1).select(_REDGE), f"SELECT {_redge} FROM edges WHERE source_qualified = 'module/2'")
-_add("g9_communities", lambda E, R: G.communities(R.where("rel_type in ('contains', 'calls')"), 4).groupBy("community").agg(F.count("*").alias("members")))
-_add("g10_processes", lambda E, R: G.processes(R, E, 20, 4))
+_add("g9_communities", lambda E, R: G.communities(R).groupBy("community").agg(F.count("*").alias("members")))
+_add("g10_processes", lambda E, R: G.processes(R, E))
 _add("g11_timeline", lambda E, R: G.timeline(R).groupBy("event").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last")),
      f"SELECT 'added' AS event, count({_FROM}) AS n, min({_FROM}) AS first, max({_FROM}) AS last FROM edges UNION ALL SELECT 'invalidated', count({_TO}), min({_TO}), max({_TO}) FROM edges")
 _e("g13_budget", lambda E: G.budgeted(E.where("element_type = 'class'"), 500).select("qualified_name", "tokens", "running"),
@@ -214,6 +214,8 @@ _add("c5_obsidian", lambda E, R: W.obsidian(E.where("element_type = 'module'"),
 _add("c5_cypher", lambda E, R: W.cypher(E.where("element_type = 'module'"), R.where("source_qualified = 'module/1'")))
 _add("c5_json", lambda E, R: W.json_snapshot(E.where("element_type = 'module'"), R.where("source_qualified = 'module/1'")))
 _e("c5_wiki", lambda E: W.wiki(E.where("element_type = 'directory'")), "SELECT file_path, '# ' || file_path || chr(10) || chr(10) || string_agg('- `' || name || '` directory, lines ' || line_start || ' to ' || line_end, chr(10) ORDER BY line_start, qualified_name) AS page FROM elements WHERE element_type = 'directory' GROUP BY 1")
+# The same operators over whole tables; the queries of the shorter names above hold a selection
+_add("f8_service_graph_all", lambda E, R: A.service_graph(R), "SELECT source_qualified, target_qualified, count(*) AS call_count, CAST(1 AS BIGINT) AS n_protocols FROM edges WHERE rel_type = 'service_calls' GROUP BY 1, 2")
 _add("m8_labels", lambda E, R: W.backfill_labels(R).groupBy("label").agg(F.count("*").alias("n")), f"SELECT {_LABEL} AS label, count(*) AS n FROM edges GROUP BY 1")
 
 # The query language

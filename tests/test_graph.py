@@ -8,6 +8,7 @@ from graphloom.operators import ranking as K
 from graphloom.operators import scans as S
 from graphloom.operators import tables as W
 from graphloom.operators import traversal as G
+from graphloom.plans import catalog
 from graphloom.plans.datalog import Database, DatalogError, mutable
 from graphloom.sources import files
 from pyspark.sql import functions as F
@@ -110,3 +111,14 @@ def test_files_are_walked(spark, tmp_path):
     assert [r["path"] for r in got.collect()] == ["src/a.py"]
     assert T.functions_and_calls(got)[0].first()["name"] == "f"
     assert files.parse_uri("gs://b/x")[0] == "gcs"
+
+
+def test_communities_and_processes_are_registered_whole(monkeypatch, graph):
+    seen = {}
+    monkeypatch.setattr(catalog, "elements", lambda spark, d: graph[0])
+    monkeypatch.setattr(catalog, "edges", lambda spark, d: graph[1])
+    monkeypatch.setattr(G, "communities", lambda R, *more: seen.update(g9=(R, more)) or R.select(F.lit("x").alias("community")))
+    monkeypatch.setattr(G, "processes", lambda R, E, *more: seen.update(g10=(R, more)))
+    for name in ("g9_communities", "g10_processes"):
+        catalog.QUERIES[name](None, "")
+    assert seen == {"g9": (graph[1], ()), "g10": (graph[1], ())}
