@@ -211,11 +211,23 @@ _add("c5_graphml", lambda E, R: W.graphml(E.where("element_type = 'module'"), R.
 _add("c5_obsidian", lambda E, R: W.obsidian(E.where("element_type = 'module'"), R.where("source_qualified = 'module/1'")).select("note", "place", "value"),
      """SELECT replace(qualified_name, '/', '_') AS note, place, CASE place WHEN 0 THEN '# ' || name ELSE 'type: module, file: ' || file_path END AS value FROM elements, (SELECT unnest([0, 1]) AS place) WHERE element_type = 'module'
      UNION ALL SELECT DISTINCT 'module_1', 2, '- ' || rel_type || ' [[' || regexp_replace(target_qualified, '[^A-Za-z0-9_-]', '_', 'g') || ']]' FROM edges WHERE source_qualified = 'module/1'""")
-_add("c5_cypher", lambda E, R: W.cypher(E.where("element_type = 'module'"), R.where("source_qualified = 'module/1'")))
-_add("c5_json", lambda E, R: W.json_snapshot(E.where("element_type = 'module'"), R.where("source_qualified = 'module/1'")))
+_SAFE_NAME = "replace(replace(name, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39))"
+_add("c5_cypher", W.cypher,
+     f"""SELECT 'MERGE (:' || element_type || ' {{id: ' || chr(39) || qualified_name || chr(39) || ', name: ' || chr(39) || {_SAFE_NAME} || chr(39) || '}});' AS value FROM elements
+     UNION ALL SELECT 'MATCH (a {{id: ' || chr(39) || source_qualified || chr(39) || '}}), (b {{id: ' || chr(39) || target_qualified || chr(39) || '}}) MERGE (a)-[:' || upper(rel_type) || ']->(b);' FROM edges""")
+_add("c5_json", W.json_snapshot)
 _e("c5_wiki", lambda E: W.wiki(E.where("element_type = 'directory'")), "SELECT file_path, '# ' || file_path || chr(10) || chr(10) || string_agg('- `' || name || '` directory, lines ' || line_start || ' to ' || line_end, chr(10) ORDER BY line_start, qualified_name) AS page FROM elements WHERE element_type = 'directory' GROUP BY 1")
 # The same operators over whole tables; the queries of the shorter names above hold a selection
 _add("f8_service_graph_all", lambda E, R: A.service_graph(R), "SELECT source_qualified, target_qualified, count(*) AS call_count, CAST(1 AS BIGINT) AS n_protocols FROM edges WHERE rel_type = 'service_calls' GROUP BY 1, 2")
+_e("i2_text_blob_all", V.text_blob, "SELECT qualified_name, blob, sha256(blob) AS content_hash FROM (SELECT qualified_name, concat_ws(chr(10), element_type || ' ' || name, file_path, 'parent ' || parent_qualified, metadata) AS blob FROM elements)")
+_e("a26_upsert_all", lambda E: W.upsert(E.select("qualified_name", "name"), E.select(F.expr("CASE WHEN line_end > 2 THEN qualified_name ELSE 'new/' || qualified_name END AS qualified_name"), F.upper("qualified_name").alias("name")), ["qualified_name"]),
+   "SELECT qualified_name, CASE WHEN line_end > 2 THEN upper(qualified_name) ELSE name END AS name FROM elements UNION ALL SELECT 'new/' || qualified_name, upper(qualified_name) FROM elements WHERE line_end <= 2")
+_add("c5_graphml_all", W.graphml,
+     """SELECT '<node id="' || qualified_name || '"><data key="type">' || element_type || '</data></node>' AS value FROM elements UNION ALL SELECT '<edge source="' || source_qualified || '" target="' || target_qualified || '"><data key="rel">' || rel_type || '</data></edge>' FROM edges""")
+_add("c5_obsidian_all", lambda E, R: W.obsidian(E, R).select("note", "place", "value"),
+     """SELECT replace(qualified_name, '/', '_') AS note, 0 AS place, '# ' || name AS value FROM elements UNION ALL SELECT replace(qualified_name, '/', '_'), 1, 'type: ' || element_type || ', file: ' || file_path FROM elements
+     UNION ALL SELECT DISTINCT replace(source_qualified, '/', '_'), 2, '- ' || rel_type || ' [[' || replace(target_qualified, '/', '_') || ']]' FROM edges""")
+_e("c5_wiki_all", W.wiki, "SELECT file_path, '# ' || file_path || chr(10) || chr(10) || string_agg('- `' || name || '` ' || element_type || ', lines ' || line_start || ' to ' || line_end, chr(10) ORDER BY line_start, qualified_name) AS page FROM elements GROUP BY 1")
 _add("m8_labels", lambda E, R: W.backfill_labels(R).groupBy("label").agg(F.count("*").alias("n")), f"SELECT {_LABEL} AS label, count(*) AS n FROM edges GROUP BY 1")
 
 # The query language

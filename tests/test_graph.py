@@ -1,5 +1,7 @@
 """The graph engine on hand-made graphs."""
 
+import os
+
 import pytest
 from graphloom.functions import text as T
 from graphloom.operators import aggregates as A
@@ -8,7 +10,7 @@ from graphloom.operators import ranking as K
 from graphloom.operators import scans as S
 from graphloom.operators import tables as W
 from graphloom.operators import traversal as G
-from graphloom.plans import catalog
+from graphloom.plans import catalog, views
 from graphloom.plans.datalog import Database, DatalogError, mutable
 from graphloom.sources import files
 from pyspark.sql import functions as F
@@ -113,6 +115,9 @@ def test_files_are_walked(spark, tmp_path):
     assert files.parse_uri("gs://b/x")[0] == "gcs"
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def test_communities_and_processes_are_registered_whole(monkeypatch, graph):
     seen = {}
     monkeypatch.setattr(catalog, "elements", lambda spark, d: graph[0])
@@ -122,3 +127,16 @@ def test_communities_and_processes_are_registered_whole(monkeypatch, graph):
     for name in ("g9_communities", "g10_processes"):
         catalog.QUERIES[name](None, "")
     assert seen == {"g9": (graph[1], ()), "g10": (graph[1], ())}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_whole_tables_are_exported(spark):
+    tables = {"elements": views.elements(spark, SF), "edges": views.edges(spark, SF)}
+    n, m = tables["elements"].count(), tables["edges"].count()
+    assert catalog.QUERIES["c5_json"](spark, SF).count() == catalog.QUERIES["c5_cypher"](spark, SF).count() == n + m
+    for name in ("c5_cypher", "c5_graphml_all", "c5_obsidian_all", "i2_text_blob_all", "a26_upsert_all", "f8_service_graph_all"):
+        sql = catalog.ORACLES[name].removeprefix(views.CTE).replace("sha256(blob)", "sha2(blob, 256)").replace("{", "{{").replace("}", "}}")
+        want = spark.sql(sql.replace("FROM elements", "FROM {elements}").replace("FROM edges", "FROM {edges}"), **tables)
+        got = catalog.QUERIES[name](spark, SF)
+        assert want.count() > 100 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty(), name
+    assert sum(r["page"].count("\n- `") for r in catalog.QUERIES["c5_wiki_all"](spark, SF).collect()) == n
