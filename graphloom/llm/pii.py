@@ -10,9 +10,9 @@ domain, a secret's prefix and a title stay; octets remain octets, a valid card
 number remains valid, and a name after a title gets a given name of that
 gender in its own script.
 
-Distinctness is checked over the whole corpus: the distinct entities are
-gathered (counted before they are shuffled), and those whose surrogate equals
-another entity's surrogate, or any entity, try again with the next attempt
+Distinctness is checked over the whole corpus: the distinct spellings are
+gathered (counted before they are shuffled), and entities with a spelling whose
+surrogate equals another entity's surrogate, or any entity, try again with the next attempt
 number until none is left. Only the few entities with an attempt above 0 are
 joined back to the texts that hold them.
 
@@ -53,6 +53,9 @@ SYLLABLES = {
 
 _NAME = r"\p{Lu}[\p{Ll}\p{Lu}'’-]*\p{Ll}"
 _SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']? {0,3}[=:] {0,3}[\"']?"
+#: A calling code by its digits alone (assigned codes of one and two digits, else three), however it is set off.
+_SEP = "[^0-9]*"
+COUNTRY = rf"^\+{_SEP}(?:[17]|" + "|".join(f"{a}{_SEP}[{b}]" for a, b in ((2, "07"), (3, "0-469"), (4, "013-9"), (5, "1-8"), (6, "0-6"), (8, "1246"), (9, "0-58"))) + f"|[0-9]{_SEP}[0-9]{_SEP}[0-9])"
 #: In order of precedence; each matches whole tokens only.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -83,6 +86,7 @@ def canonical(e: Column, k: Column) -> Column:
     digits = F.regexp_replace(e, "[^0-9]", "")
     return (
         F.when(k == "email", F.lower(e))
+        .when((k == "phone") & e.startswith("+"), F.concat(F.lit("+"), digits))  # "+1 ..." is no number without a country code
         .when(k.isin("phone", "card", "ssn"), digits)
         .when(k == "iban", F.regexp_replace(e, " ", ""))
         .when(k == "secret", F.regexp_replace(e, rf"^{_SECRET}", ""))
@@ -189,7 +193,7 @@ def _steps(key: str, attempt) -> list:
         ahead = (
             F.when(k == "key", 4).when(k == "iban", 2).when(k == "secret", F.length(F.regexp_extract(e, rf"^{_SECRET}", 0)))
             .when(k == "token", F.length(F.regexp_extract(e, r"^(?:ghp_|gho_|sk-|sk_live_|sk_test_|xox[bp]-)", 0)))
-            .when((k == "phone") & e.startswith("+"), F.length(F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[ .(-])", 0)))
+            .when((k == "phone") & e.startswith("+"), F.length(F.regexp_extract(e, COUNTRY, 0)))
             .otherwise(0)
         )
         last = F.when(k == "email", F.length(e) - F.length(F.substring_index(e, ".", -1))).otherwise(F.length(e))
@@ -229,17 +233,16 @@ def matches(text: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """The distinct (kind, canonical) of all texts, one of its spellings, and its count."""
+    """The distinct spellings of all texts with their kind and canonical form, and the count of each."""
     found = docs.select(F.explode(matches(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
     found = _table(found, _steps("", lambda e: F.lit(0))[:2])
-    found = found.select("entity", "n", F.col("x.k").alias("kind"), F.col("x.c").alias("canonical"))
-    return found.groupBy("kind", "canonical").agg(F.min("entity").alias("entity"), F.sum("n").alias("n"))
+    return found.select(F.col("x.k").alias("kind"), F.col("x.c").alias("canonical"), "entity", "n")
 
 
 def attempts(known: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canonical, attempt) of the entities whose attempt is above 0 once no two surrogates meet.
 
-    known: a written table of the distinct entities.
+    known: a written table of the distinct spellings; each of them is made and compared.
     """
     state = known.select("kind", "canonical", "entity", F.lit(0).alias("attempt"))
     own = known.select("kind", F.col("canonical").alias("made"))
@@ -247,13 +250,14 @@ def attempts(known: DataFrame, key: str = KEY) -> DataFrame:
         made = _table(state, _steps(key, lambda e: F.col("attempt"))).withColumn("made", canonical(F.col("x.s"), F.col("kind"))).drop("x")
         now = shared.written(made, "pii-attempts")
         taken = now.join(own, ["kind", "made"], "left_semi").select("kind", "canonical")
-        again = now.groupBy("kind", "made").agg(F.count("*").alias("n")).where("n > 1").select("kind", "made")
+        of_entity = now.select("kind", "made", "canonical", "attempt").distinct()
+        again = of_entity.groupBy("kind", "made").agg(F.count("*").alias("n")).where("n > 1").select("kind", "made")
         # of entities with one surrogate the one with the lowest attempt, then the smallest, keeps it
         rank = F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "canonical"))
-        later = now.join(again, ["kind", "made"]).withColumn("rank", rank).where("rank > 1").select("kind", "canonical")
+        later = of_entity.join(again, ["kind", "made"]).withColumn("rank", rank).where("rank > 1").select("kind", "canonical")
         bad = shared.written(taken.unionByName(later).distinct(), "pii-collisions")
         if bad.isEmpty():
-            return now.where("attempt > 0").select("kind", "canonical", "attempt")
+            return now.where("attempt > 0").select("kind", "canonical", "attempt").distinct()
         bump = bad.withColumn("more", F.lit(1))
         state = now.drop("made").join(bump, ["kind", "canonical"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0))).drop("more")
     raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")

@@ -143,6 +143,15 @@ def test_surrogates(spark):
     assert pii.replace(documents(spark, t)).columns == documents(spark, t).columns
 
 
+def test_spellings_of_one_phone_number_get_one_surrogate(spark):
+    t = ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "+49 30 1234567", "+49301234567", "+353 86 123 4567", "+353861234567", "555-123-4567", "(555) 123-4567"]
+    d = documents(spark, t)
+    got = ["".join(c for c in r["text"] if c in "+0123456789") for r in pii.replace(d).orderBy("doc_id").collect()]
+    assert [x[: len(c)] for x, c in zip(got, ["+1"] * 3 + ["+49"] * 2 + ["+353"] * 2, strict=False)] == ["+1"] * 3 + ["+49"] * 2 + ["+353"] * 2
+    assert len(set(got[:3])) == len(set(got[3:5])) == len(set(got[5:7])) == len(set(got[7:])) == 1 and len(set(got)) == 4
+    assert {r["entity"] for r in pii.entities(d).collect()} == set(t)
+
+
 def test_quality_counts_and_order(spark):
     d = documents(spark, [None, "a b c d a b c", "x\nx\n y#\n", ("good words here to read " + " ".join(f"v{k}" for k in range(60))), "!! " * 60])
     got = {r["doc_id"]: r for r in quality.apply_rules(d).collect()}
