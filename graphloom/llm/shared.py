@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,6 @@ CHUNK_BYTES = 1 << 20
 BROADCAST_BYTES = 32 << 20
 
 
-def session() -> SparkSession:
-    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; our own only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,7 +31,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: Where the frames that ``written`` gave lie.
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete written tables whose every use has itself been written."""
+    for frame in frames:
+        held, path = _paths.pop(id(frame), (lambda: None, None))
+        if path and held() is frame:
+            jvm = frame.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: The column that ``with_row_key`` adds.
@@ -64,11 +77,13 @@ def text_slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         begin = end
 
 
-#: Random odd base and a random value for each byte; fixed, so that every task hashes alike.
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words are hashed by polynomials modulo this prime, at one random base for each lane; fixed, so that every task hashes alike.
+_PRIME = (1 << 31) - 1
+_BASES = [int(x) for x in np.random.default_rng(20240229).integers(1 << 20, _PRIME - 1, 4)]
+#: Bytes that are hashed at once; a longer word goes alone.
+_BLOCK = 1 << 19
+#: An odd factor of hashes of sequences.
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -85,46 +100,89 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**k modulo the prime for k below n (or more), kept for the next call."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        size = max(n, _BLOCK + 1)
+        have = np.ones(size, np.uint64)
+        done, step = 1, base
+        while done < size:  # the second half is the first times base**done
+            more = min(done, size - done)
+            have[done : done + more] = have[:more] * np.uint64(step) % np.uint64(_PRIME)
+            done, step = done + more, step * step % _PRIME
+        _powers[base] = have = have.astype(np.uint32)
+    return have
+
+
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of some texts: 64-bit hashes, byte ranges, and where each text begins."""
+    """The words ``[^\\x20\\x09-\\x0D]+`` of some texts: their hashes, and where each text begins.
+
+    ``lanes`` of 31 bits each: 2 give ``hashes``, 4 also ``second``, whose lanes
+    are its own. The texts are taken in blocks cut at white space, so memory is
+    in proportion to the words, whatever the length of a text.
+    """
 
-    def __init__(self, texts: pa.Array, lower: bool) -> None:
+    def __init__(self, texts: pa.Array, lower: bool, lanes: int = 2) -> None:
         raw = pc.fill_null(texts.cast(pa.large_binary()), b"")
         raw = pa.concat_arrays([raw]) if raw.offset else raw
         buffers = raw.buffers()
         offsets = np.frombuffer(buffers[1], np.int64, len(raw) + 1)
-        data = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]] if buffers[2] else np.zeros(0, np.uint8)
+        self.data = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]] if buffers[2] else np.zeros(0, np.uint8)
         self.offsets = offsets - offsets[0]
-        self.data = LOWER[data] if lower else data
+        n, begin = len(self.data), 0
+        parts, starts = [np.zeros((lanes // 2, 0), np.uint64)], [np.zeros(0, np.int64)]
+        while begin < n:
+            end = min(n, begin + _BLOCK)
+            while end < n:  # on to a white space or the end of a text
+                gap = np.flatnonzero(_SPACE[self.data[end : end + 4096]])
+                edge = self.offsets[np.searchsorted(self.offsets, end)]
+                end = min(int(edge), end + (int(gap[0]) if len(gap) else 4096))
+                if len(gap) or end == edge:
+                    break
+            found, h = self._block(begin, end, lower, lanes)
+            starts.append(found + begin)
+            parts.append(h)
+            begin = end
+        self.starts = np.concatenate(starts)
+        both = np.concatenate(parts, axis=1)
+        self.hashes, self.second = both[0], both[-1]
+        self.first = np.searchsorted(self.starts, self.offsets)  # of each text, and one past the last
+
+    def _block(self, begin: int, end: int, lower: bool, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+        data = self.data[begin:end]
         n = len(data)
         inside = ~_SPACE[data]
-        begin = inside.copy()
-        begin[1:] &= ~inside[:-1]
-        cut = self.offsets[:-1][(self.offsets[:-1] < n)]
-        begin[cut] = inside[cut]  # a text ends the word before it
-        self.starts = np.flatnonzero(begin)
-        last = np.empty(n, bool)
-        if n:
-            last[-1] = True
-            last[:-1] = begin[1:] | ~inside[1:]
-            last &= inside
-        self.ends = np.flatnonzero(last) + 1
-        self.first = np.searchsorted(self.starts, self.offsets)  # of each text, and one past the last
-        self.hashes = self._hashes(n)
-
-    def _hashes(self, n: int) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        down = np.full(n, _BASE_INV, np.uint64)
-        down[0] = 1
-        np.multiply.accumulate(down, out=down)
+        head = inside.copy()
+        head[1:] &= ~inside[:-1]
+        k = np.searchsorted(self.offsets, [begin, end])
+        cut = self.offsets[k[0] : k[1]] - begin
+        head[cut] = inside[cut]  # a text ends the word before it
+        starts = np.flatnonzero(head)
+        last = np.ones(n, bool)
+        last[:-1] = head[1:] | ~inside[1:]
+        ends = np.flatnonzero(last & inside) + 1
+        value = (LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
+        size = (ends - starts).astype(np.uint64)
+        lane = [self._lane(value, starts, ends, base) for base in _BASES[:lanes]]
+        odd = np.uint64(_BASE)
+        return starts, np.stack([mix((lane[j] | lane[j + 1] << np.uint64(31)) + size * odd) for j in range(0, lanes, 2)]) if n else np.zeros((lanes // 2, 0), np.uint64)
+
+    @staticmethod
+    def _lane(value: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+        """Of each word the sum of (byte + 1) * base**place, modulo the prime."""
+        prime, n = np.uint64(_PRIME), len(value)
+        up = powers(base, n)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * down, out=total[1:])
-        up = np.full(n, _BASE, np.uint64)
-        up[0] = 1
-        np.multiply.accumulate(up, out=up)
-        h = (total[self.ends] - total[self.starts]) * up[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64))
+        for a in range(0, n, _BLOCK):  # a block's sum stays below 2**59
+            b = min(n, a + _BLOCK)
+            np.cumsum(value[a:b] * up[a:b], out=total[a + 1 : b + 1])
+            total[a + 1 : b + 1] += total[a] % prime
+        gone = total[starts] % prime
+        return (total[ends] % prime + prime - gone) % prime * powers(pow(base, -1, _PRIME), n)[starts] % prime
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -91,21 +91,46 @@ def test_kept_documents_have_one_row_of_each_group(spark):
 
 
 def test_substring_dedup(spark, texts):
+    rng = random.Random(8)
+    few = [" ".join(rng.choices(["p", "q"], k=rng.randrange(10, 60))) for _ in range(40)]
+    periodic = ["x y " * 20 + "end", "z " * 13 + "x y " * 11, "z " * 40, "z " * 12, ("m " * 14 + "n ") * 3, ("m " * 14 + "n ") * 2]
+    texts = [*texts, *few, *periodic, "long " + "word " * 3 + "y" * 700_000 + " " + texts[-1]]
     words = [(t or "").encode().split() for t in texts]
     seen = {}
     for i, w in enumerate(words):
         for k in range(len(w) - 12):
             seen.setdefault(tuple(w[k : k + 13]), i)
-    for wide in (True, False):
-        limit, substring_dedup.shared.BROADCAST_BYTES = substring_dedup.shared.BROADCAST_BYTES, 32 << 20 if wide else 0
+    for most, bytes_ in ((4096, 32 << 20), (1, 0)):
+        limits = substring_dedup.HOT, substring_dedup.shared.BROADCAST_BYTES
+        substring_dedup.HOT, substring_dedup.shared.BROADCAST_BYTES = most, bytes_
         try:
-            got = {r["doc_id"]: r for r in substring_dedup.remove(documents(spark, texts)).collect()}
+            got = {r["doc_id"]: r for r in substring_dedup.remove(documents(spark, texts), with_text=True).collect()}
         finally:
-            substring_dedup.shared.BROADCAST_BYTES = limit
+            substring_dedup.HOT, substring_dedup.shared.BROADCAST_BYTES = limits
         for i, w in enumerate(words):
             gone = {p for k in range(len(w) - 12) if seen[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
             kept = b" ".join(x for p, x in enumerate(w) if p not in gone)
             assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+            assert got[i]["kept"] == kept.decode()
+
+
+def mirrored(n):
+    """Two words of 2 * 2**n letters that polynomials modulo a power of two cannot tell apart."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    a, b = mirrored(10)
+    rest = [f"w{k}" for k in range(12)]
+    d = documents(spark, [" ".join([a, *rest]), " ".join([b, *rest]), " ".join([*rest[:4], a]), " ".join([*rest[:4], b])])
+    assert {r["n_removed"] for r in substring_dedup.remove(d).collect()} == {0}
+    assert [r["component_id"] for r in jaccard_join.join(d).orderBy("doc_id").collect()] == [0, 0, 2, 3]  # 8 of 10 shingles, 0 of 2
+    blocks = [" ".join(["é" * 300_000, "x", "y" * 900_000]), None, "x"]
+    w = substring_dedup.Words(__import__("pyarrow").array(blocks), False, 4)
+    assert w.counts().tolist() == [3, 0, 1] and w.hashes[1] == w.hashes[3] and w.second[1] == w.second[3] and len(set(w.hashes.tolist())) == 3
 
 
 def test_packing_finds_the_tightest_compatible_bin(spark):
