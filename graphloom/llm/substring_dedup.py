@@ -22,7 +22,7 @@ on covers the words of that range as well.
    out.
 2. The windows around symbols with a name in common are themselves named (96
    bits, two hashes that share no lane), and Spark finds the first document of
-   each. Names of up to ``HOT`` occurrences need one shuffle; the windows of
+   each. Names of up to ``HOT`` windows need one shuffle; the windows of
    more frequent ones are combined before it and looked up in a join, which
    Spark can split, so that no task gets all rows of one passage.
 3. Windows with an earlier document become word ranges of their document, which
@@ -51,8 +51,8 @@ from .shared import Words
 
 WIDTH = 13
 ROUNDS = 3
-#: Occurrences of a name up to which its windows are compared in one group.
-HOT = 4096
+#: Windows of a name up to which they are compared in one group.
+HOT = 16384
 _FAR = np.int64(1) << np.int64(40)
 _U = np.uint64
 
@@ -206,7 +206,7 @@ def window_rows(docs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id and the ranges (first word, past the last) of its windows that also start in a document with a smaller doc_id."""
     rows = shared.written(symbol_rows(docs), "substring-symbols")
-    names = rows.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("k"))
+    names = rows.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("k"))
     names = shared.written(names.where("a < b").select("name", (F.col("k") > HOT).alias("hot")), "substring-names")
     both = rows.join(names, "name").groupBy("doc_id").agg(*(F.collect_list(F.when(F.col("hot") == hot, F.struct("start", "n"))).alias(c) for c, hot in (("cold", False), ("hot", True))))
     lists = shared.written(both, "substring-spans")
