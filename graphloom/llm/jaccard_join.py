@@ -6,28 +6,34 @@ least 80 * union. The result is each document's component.
 
 1. Equal sets are one class; only its smallest doc_id goes on.
 2. Stars: documents that agree in a band of minima propose the one with the
-   fewest rare shingles as centre; the pairs are verified, and a document whose
-   centre is itself no member joins that star with a known distance.
+   fewest rare shingles as centre. A document is compared with the centre that
+   most of its bands name, and with the others only if that is no link. A
+   document whose centre is itself no member joins that star with a known
+   distance. The links found give the first components.
 3. Index: shingles are ordered rare first (counted over all documents in every
    task, the frequent ones by count), and the prefix of each set that every
-   partner must meet is posted. Entries of one star collapse to one posting
-   (least and largest size, least position), combined before the shuffle. Each
-   list is walked in order of size: blocks out of the size range and postings
-   whose positions cannot reach the needed overlap are skipped.
+   partner must meet is posted with its component. Entries of one star collapse
+   to one posting (least and largest size, least position), combined before the
+   shuffle. Each list is walked in order of size: blocks out of the size range,
+   postings whose positions cannot reach the needed overlap and postings of one
+   component are skipped.
 4. Answers of similar sets: Jaccard distance is a metric. For a candidate pair
    of stars only the centres are compared at first; their members' answers
    follow from it: if the centres link, the stars are one component, and if
    their distance exceeds 0.2 by more than the members' distances to the
    centres, no members link. Only what remains open is compared by members.
+   Comparisons go in rounds, one pair of two components before the others, and
+   after each round pairs whose ends are by then in one component are dropped.
 5. Components of the verified links.
 
-No link between different sets is lost: every pair of linked documents shares
-a prefix shingle, so its stars are candidates, and a pair of stars is dropped
-only by the triangle inequality or when already in one component.
+No link between different components is lost: every pair of linked documents
+shares a prefix shingle, so its stars are candidates, and a pair of stars is
+dropped only by the triangle inequality or when already in one component.
 
 Defined results: null and empty texts have an empty set and link with nothing;
-texts of 1 to 4 words are one shingle; a null doc_id links with nothing;
-repeated rows are one document; extra columns are ignored.
+texts of 1 to 4 words are one shingle; a null doc_id links with nothing; rows
+repeated with one doc_id are one document; long texts are read whole, in
+blocks; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -162,26 +168,28 @@ SOLO, ONE, SEVERAL = 0, 1, 2
 
 
 def posting_rows(docs: DataFrame, order: object) -> DataFrame:
-    """token, star and the posting (size, place and kind in one number) of every prefix shingle.
+    """token, star, its component and the posting (size, place and kind in one number) of every prefix shingle.
 
-    docs: star, solo, text. Of a star's documents in one batch each shingle gives
+    docs: star, part, solo, text. Of a star's documents in one batch each shingle gives
     one posting, or one of the smallest and one of the largest size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stars = batch.column("star").to_numpy(zero_copy_only=False)
+            parts = batch.column("part").to_numpy(zero_copy_only=False)
             solo = batch.column("solo").to_numpy(zero_copy_only=False)
-            tokens, owner, what = [], [], []
-            for star, alone, s in zip(stars, solo, sets_of(batch.column("text")), strict=True):
+            tokens, owner, part, what = [], [], [], []
+            for star, of, alone, s in zip(stars, parts, solo, sets_of(batch.column("text")), strict=True):
                 if len(s):
                     p = order.value.prefix(s)
                     tokens.append(p)
                     owner.append(np.full(len(p), star, np.int64))
+                    part.append(np.full(len(p), of, np.int64))
                     what.append((len(s) << 31) + (np.arange(len(p), dtype=np.int64) << 2) + (SOLO if alone else ONE))
             if not tokens:
                 continue
-            token, star, posting = _signed(np.concatenate(tokens)), np.concatenate(owner), np.concatenate(what)
+            token, star, part, posting = _signed(np.concatenate(tokens)), np.concatenate(owner), np.concatenate(part), np.concatenate(what)
             starry = np.flatnonzero(posting & 3)
             if len(starry):
                 by = starry[np.lexsort((posting[starry], star[starry], token[starry]))]
@@ -190,18 +198,18 @@ def posting_rows(docs: DataFrame, order: object) -> DataFrame:
                 keep = np.ones(len(token), bool)
                 keep[by[~(new | end)]] = False
                 posting[by[~(new & end)]] |= SEVERAL
-                token, star, posting = token[keep], star[keep], posting[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(star), pa.array(posting)], ["token", "star", "posting"])
+                token, star, part, posting = token[keep], star[keep], part[keep], posting[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(star), pa.array(part), pa.array(posting)], ["token", "star", "part", "posting"])
 
-    return docs.mapInArrow(run, "token long, star long, posting long")
+    return docs.mapInArrow(run, "token long, star long, part long, posting long")
 
 
 #: Postings of a list that are compared at once.
 BLOCK = 256
 
 
-def list_pairs(star: np.ndarray, posting: np.ndarray) -> np.ndarray:
-    """Pairs of postings of one list, of different stars, that can still hold a link.
+def list_pairs(star: np.ndarray, part: np.ndarray, posting: np.ndarray) -> np.ndarray:
+    """Pairs of postings of one list, of different components, that can still hold a link.
 
     The list is sorted by size; blocks whose sizes are out of range are
     skipped, and positions bound what two sets can share. Where a posting stands
@@ -214,22 +222,22 @@ def list_pairs(star: np.ndarray, posting: np.ndarray) -> np.ndarray:
         of = several[star[several] == k]
         low[of], high[of] = size[of].min(), size[of].max()
     by = np.argsort(high, kind="stable")
-    star, low, high, place, kind = star[by], low[by], high[by], (posting[by] >> 2) & ((1 << 29) - 1), posting[by] & 3
+    star, part, low, high, place, kind = star[by], part[by], low[by], high[by], (posting[by] >> 2) & ((1 << 29) - 1), posting[by] & 3
     out = []
     n = len(star)
-    for begin in range(0, n, BLOCK):
+    for begin in range(0, n if (part != part[0]).any() else 0, BLOCK):
         rows = np.arange(begin, min(begin + BLOCK, n))
         for other in range(begin, n, BLOCK):
             cols = np.arange(other, min(other + BLOCK, n))
             if PERCENT * int(low[cols].min()) > 100 * int(high[rows].max()):
                 continue  # the whole block is too large
             r, c = np.meshgrid(rows, cols, indexing="ij")
-            ok = (c > r) & (star[r] != star[c]) & (PERCENT * low[c] <= 100 * high[r]) & (PERCENT * low[r] <= 100 * high[c])
+            ok = (c > r) & (part[r] != part[c]) & (PERCENT * low[c] <= 100 * high[r]) & (PERCENT * low[r] <= 100 * high[c])
             r, c = r[ok], c[ok]
             ok = (kind[r] > ONE) | (kind[c] > ONE) | _reachable(high[r], high[c], place[r], place[c])
             r, c = r[ok], c[ok]
-            out.append(_pair_rows(star[r], star[c], high[r], high[c], place[r], place[c], (kind[r] | kind[c]) == SOLO))
-    return np.concatenate([np.zeros((0, 7), np.int64), *out])
+            out.append(_pair_rows(star[r], star[c], part[r], part[c], high[r], high[c], place[r], place[c], (kind[r] | kind[c]) == SOLO))
+    return np.concatenate([np.zeros((0, 9), np.int64), *out])
 
 
 def _reachable(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -237,27 +245,27 @@ def _reachable(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np
     return np.minimum(i, j) + 1 + np.minimum(n - 1 - i, m - 1 - j) >= needed(n, m)
 
 
-def _pair_rows(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, solo: np.ndarray) -> np.ndarray:
-    """Rows of a < b, their sizes and places, and whether both are solo."""
+def _pair_rows(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, solo: np.ndarray) -> np.ndarray:
+    """Rows of a < b, their components, sizes and places, and whether both are solo."""
     turn = x > y
-    pick = lambda p, q: np.where(turn, q, p)
-    return np.stack([pick(x, y), pick(y, x), pick(n, m), pick(m, n), pick(i, j), pick(j, i), solo.astype(np.int64)], axis=1)
+    pick = lambda one, other: np.where(turn, other, one)
+    return np.stack([pick(x, y), pick(y, x), pick(p, q), pick(q, p), pick(n, m), pick(m, n), pick(i, j), pick(j, i), solo.astype(np.int64)], axis=1)
 
 
 def candidates(postings: DataFrame) -> DataFrame:
-    """Distinct pairs of stars (a < b) that meet in a list and are not skipped.
+    """Distinct pairs of stars (a < b) of different components (p, q) that meet in a list and are not skipped, with the times they met.
 
     A pair of single documents has met in all shingles that both prefixes hold;
     with their number and the last places known, the bound is taken once more.
     """
     lists = postings.repartition("token").sortWithinPartitions("token")
-    names = ["a", "b", "n_a", "n_b", "i", "j", "solo"]
+    names = ["a", "b", "p", "q", "n_a", "n_b", "i", "j", "solo"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def walk(c: list[np.ndarray]) -> pa.RecordBatch:
-            token, star, posting = c
+            token, star, part, posting = c
             cut = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             ends = np.append(cut[1:], len(token))
             two = ends - cut == 2
@@ -265,11 +273,11 @@ def candidates(postings: DataFrame) -> DataFrame:
             p, q = posting[i], posting[i + 1]
             n, m, x, y = p >> 31, q >> 31, (p >> 2) & ((1 << 29) - 1), (q >> 2) & ((1 << 29) - 1)
             exact = ((p | q) & 2) == 0
-            ok = (star[i] != star[i + 1]) & (~exact | (PERCENT * n <= 100 * m) & (PERCENT * m <= 100 * n) & _reachable(n, m, x, y))
-            found = [_pair_rows(star[i], star[i + 1], n, m, x, y, ((p | q) & 3) == SOLO)[ok]]
-            found += [list_pairs(star[s:e], posting[s:e]) for s, e in zip(cut[ends - cut > 2], ends[ends - cut > 2], strict=True)]
+            ok = (part[i] != part[i + 1]) & (~exact | (PERCENT * n <= 100 * m) & (PERCENT * m <= 100 * n) & _reachable(n, m, x, y))
+            found = [_pair_rows(star[i], star[i + 1], part[i], part[i + 1], n, m, x, y, ((p | q) & 3) == SOLO)[ok]]
+            found += [list_pairs(star[s:e], part[s:e], posting[s:e]) for s, e in zip(cut[ends - cut > 2], ends[ends - cut > 2], strict=True)]
             rows = np.concatenate(found)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(7)], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(9)], names)
 
         for batch in batches:
             c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
@@ -283,19 +291,20 @@ def candidates(postings: DataFrame) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield walk(rest)
 
-    met = lists.select("token", "star", "posting").mapInArrow(run, ", ".join(f"{n} long" for n in names))
-    met = met.groupBy("a", "b").agg(*(F.max(n).alias(n) for n in names[2:6]), F.min("solo").alias("solo"), F.count("*").alias("met"))
+    met = lists.select("token", "star", "part", "posting").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    met = met.groupBy("a", "b").agg(*(F.max(n).alias(n) for n in names[2:8]), F.min("solo").alias("solo"), F.count("*").alias("met"))
     bound = F.col("met") + F.least(F.col("n_a") - 1 - F.col("i"), F.col("n_b") - 1 - F.col("j"))
     least = F.ceil((F.col("n_a") + F.col("n_b")) * PERCENT / (100 + PERCENT) - 1e-6)
-    return met.where((F.col("solo") == 0) | (bound >= least)).select("a", "b")
+    return met.where((F.col("solo") == 0) | (bound >= least)).select("a", "b", "p", "q", "met")
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, inter, total (size of the union) of each pair; pairs: a written table of distinct (a, b)."""
-    wanted = shared.written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "jaccard-wanted")
+    """a, b, inter, total (size of the union) of each pair; pairs: a written table of distinct (a, b); docs: one row of each doc_id."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = shared.written(wanted, "jaccard-wanted")
     few = wanted.count() * 16 <= shared.BROADCAST_BYTES
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    left = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    left = pairs.select("a", "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
     both = left.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,6 +328,29 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 _LINKED = f"100 * inter >= {PERCENT} * total"
 
 
+def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the components p and q of their ends, of those that lie in two; parts: node, component."""
+    for c, name in (("a", "p"), ("b", "q")):
+        pairs = pairs.drop(name).join(parts.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    return pairs.where("p <> q")
+
+
+def settle(docs: DataFrame, pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links with what the pairs add, comparisons of the pairs): first one pair of any two components, then those still apart.
+
+    pairs: a written table of a, b, p, q, met.
+    """
+    best = F.max_by(F.struct("a", "b"), F.struct("met", -F.col("a"), -F.col("b"))).alias("x")
+    lead = pairs.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(best).select("x.a", "x.b")
+    lead = shared.written(lead, "jaccard-lead")
+    first = shared.written(verify(docs, lead), "jaccard-compared")
+    links = links.unionByName(first.where(_LINKED).select("a", "b"))
+    parts = shared.written(components(links), "jaccard-known")
+    more = shared.written(across(pairs.join(lead, ["a", "b"], "left_anti"), parts).select("a", "b"), "jaccard-apart")
+    second = shared.written(verify(docs, more), "jaccard-compared")
+    return links.unionByName(second.where(_LINKED).select("a", "b")), first.unionByName(second)
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -336,34 +368,40 @@ def join(docs: DataFrame) -> DataFrame:
     doubles = shared.written(doubles, "jaccard-doubles")
     near = F.broadcast(doubles) if doubles.count() * 16 <= shared.BROADCAST_BYTES else doubles
     rest = base.where("doc_id is not null").join(near, "doc_id", "left_anti")
+    if not sizes.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        rest = rest.dropDuplicates(["doc_id"])
 
     # stars
     bands = shared.written(band_rows(rest, order), "jaccard-bands")
     best = bands.groupBy("band").agg(F.min(F.struct("rare", "doc_id")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    drawn = bands.join(best, "band").where("doc_id <> top.doc_id").select("doc_id", F.col("top.doc_id").alias("hub")).distinct()
-    drawn = shared.written(drawn, "jaccard-drawn")
-    pairs = drawn.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-    pairs = shared.written(pairs, "jaccard-star-pairs")
-    star_links = shared.written(verify(rest, pairs).where(_LINKED), "jaccard-star-links")
-    ways = drawn.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"), "doc_id", "hub").join(star_links, ["a", "b"])
-    ways = shared.written(ways.select("doc_id", "hub", "inter", "total"), "jaccard-ways")
+    drawn = bands.join(best, "band").where("doc_id <> top.doc_id").groupBy("doc_id", F.col("top.doc_id").alias("hub")).agg(F.count("*").alias("votes"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("votes"), "hub")) == 1
+    drawn = shared.written(drawn.select("doc_id", "hub", first.alias("first")), "jaccard-drawn")
+    shared.discard(bands)
+    ends = (F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
+    ways = []
+    for turn in (True, False):
+        todo = drawn.where(F.col("first") == turn)
+        if ways:
+            todo = todo.join(ways[0].select("doc_id"), "doc_id", "left_anti")
+        todo = shared.written(todo.select("doc_id", "hub"), "jaccard-todo")
+        compared = verify(rest, shared.written(todo.select(*ends).distinct(), "jaccard-star-pairs")).where(_LINKED)
+        ways.append(shared.written(todo.select("doc_id", "hub", *ends).join(compared, ["a", "b"]), "jaccard-ways"))
+    ways = ways[0].unionByName(ways[1])
+    links = ways.select("a", "b").distinct()
+    known = shared.written(components(links), "jaccard-known")
     centred = ways.join(ways.select(F.col("doc_id").alias("hub")).distinct(), "hub", "left_anti")  # the hub is itself no member
     pick = F.max_by(F.struct("hub", "inter", "total"), F.struct(F.col("inter") / F.col("total"), -F.col("hub")))
     members = shared.written(centred.groupBy("doc_id").agg(pick.alias("x")).select("doc_id", F.col("x.hub").alias("star"), (1 - F.col("x.inter") / F.col("x.total")).alias("away")), "jaccard-members")
-    few_members = members.count() * 32 <= shared.BROADCAST_BYTES
-    held = F.broadcast(members) if few_members else members
     hubs = members.select(F.col("star").alias("doc_id"), F.lit(True).alias("hub")).distinct()
-    starred = rest.join(held.select("doc_id", "star"), "doc_id", "left").join(F.broadcast(hubs) if few_members else hubs, "doc_id", "left")
-    starred = starred.select("text", F.coalesce("star", "doc_id").alias("star"), (F.col("star").isNull() & F.col("hub").isNull()).alias("solo"))
+    marks = known.select(F.col("node").alias("doc_id"), F.col("component").alias("part")).join(members.select("doc_id", "star"), "doc_id", "left").join(hubs, "doc_id", "left")
+    marks = shared.written(marks, "jaccard-marks")
+    starred = rest.join(F.broadcast(marks) if marks.count() * 40 <= shared.BROADCAST_BYTES else marks, "doc_id", "left")
+    starred = starred.select("text", F.coalesce("star", "doc_id").alias("star"), F.coalesce("part", "doc_id").alias("part"), (F.col("star").isNull() & F.col("hub").isNull()).alias("solo"))
 
     # candidate pairs of stars, by their centres
     met = shared.written(candidates(posting_rows(starred, order)), "jaccard-candidates")
-    known = components(star_links)
-    known = shared.written(known, "jaccard-known")
-    side = lambda x, c: x.join(known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
-    apart = side(side(met, "a"), "b").where("of_a is null or of_b is null or of_a <> of_b").select("a", "b")
-    apart = shared.written(apart, "jaccard-apart")
-    compared = shared.written(verify(rest, apart), "jaccard-centres")
+    links, compared = settle(rest, met, links)
 
     # members' answers from their centres'
     reach = members.groupBy("star").agg(F.max("away").alias("radius"))
@@ -373,17 +411,20 @@ def join(docs: DataFrame) -> DataFrame:
     for c in ("a", "b"):
         still = still.join(reach.select(F.col("star").alias(c), F.col("radius").alias(f"r_{c}")), c, "left")
     still = still.where((F.col("r_a").isNotNull() | F.col("r_b").isNotNull()) & (F.col("distance") <= limit + F.coalesce("r_a", F.lit(0.0)) + F.coalesce("r_b", F.lit(0.0))))
+    known = shared.written(components(shared.written(links, "jaccard-links")), "jaccard-known")
+    still = shared.written(across(still, known), "jaccard-still")
     all_of = members.select("star", "doc_id", "away").unionByName(members.select("star").distinct().select("star", F.col("star").alias("doc_id"), F.lit(0.0).alias("away")))
     for c in ("a", "b"):
         own = all_of.select(F.col("star").alias(c), F.col("doc_id").alias(f"m_{c}"), F.col("away").alias(f"d_{c}"))
         still = still.join(own, c, "left").withColumn(f"m_{c}", F.coalesce(f"m_{c}", c)).withColumn(f"d_{c}", F.coalesce(f"d_{c}", F.lit(0.0)))
     still = still.where(F.col("distance") <= limit + F.col("d_a") + F.col("d_b")).where("m_a <> a or m_b <> b")
     for c in ("a", "b"):
-        still = still.join(sizes.select(F.col("doc_id").alias(f"m_{c}"), F.col("n").alias(f"n_{c}")).distinct(), f"m_{c}")
+        still = still.join(sizes.where("doc_id is not null").groupBy(F.col("doc_id").alias(f"m_{c}")).agg(F.max("n").alias(f"n_{c}")), f"m_{c}")
     still = still.where(f"{PERCENT} * n_a <= 100 * n_b and {PERCENT} * n_b <= 100 * n_a")
-    open_pairs = shared.written(still.select(F.least("m_a", "m_b").alias("a"), F.greatest("m_a", "m_b").alias("b")).distinct(), "jaccard-open")
-    links = star_links.select("a", "b").unionByName(compared.where(_LINKED).select("a", "b"))
-    links = links.unionByName(verify(rest, open_pairs).where(_LINKED).select("a", "b"))
+    ends = (F.least("m_a", "m_b").alias("a"), F.greatest("m_a", "m_b").alias("b"))
+    near_most = F.max((1e6 * (1 + F.col("d_a") + F.col("d_b") - F.col("distance"))).cast("long")).alias("met")
+    open_pairs = shared.written(still.groupBy(*ends).agg(F.min("p").alias("p"), F.min("q").alias("q"), near_most), "jaccard-open")
+    links, _ = settle(rest, open_pairs, links)
 
     parts = components(shared.written(links, "jaccard-links"))
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("n", "c", "d", F.coalesce("component", "rep").alias("component"))
