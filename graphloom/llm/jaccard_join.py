@@ -55,9 +55,11 @@ PERCENT = 80
 #: Bands of minima that propose centres, and minima in a band.
 BANDS, ROWS = 8, 3
 #: Most frequent shingles whose order follows their counts; an order only, no result depends on it.
-FREQUENT = 250_000
-#: A shingle counts as frequent in a task from this many of its documents on.
-OFTEN = 6
+FREQUENT = 500_000
+#: A shingle counts as frequent in a task from this many of its documents on, those with one least hash counted once.
+OFTEN = 3
+#: Steps in which a member's distance to its centre is compared before the members are.
+STEPS = 200
 _ODD = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -93,7 +95,7 @@ def facts(docs: DataFrame) -> DataFrame:
     """kind 0: doc_id, size and the hash of each set (a, b, c, d); kind 1: shingle and its count in some task (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, seen, size = [], set(), 0
 
         def counted() -> tuple[np.ndarray, np.ndarray]:
             found, n = np.unique(np.concatenate(held), return_counts=True)
@@ -108,14 +110,16 @@ def facts(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 c.append(np.bitwise_xor.reduce(shared.mix(s)) if len(s) else 0)
                 d.append(np.add.reduce(shared.mix(s ^ np.uint64(0x5851F42D4C957F2D))) if len(s) else 0)
-                if len(s):
+                # near copies mostly have one least hash: they count once, so that the frequent are what different texts share
+                if len(s) and int(s[0]) not in seen:
+                    seen.add(int(s[0]))
                     held.append(s)
                     size += len(s)
                 if size > 3_000_000:
                     tokens, times = counted()
                     none = pa.nulls(len(tokens), pa.int64())
                     yield table(1, pa.array(_signed(tokens)), pa.array(times.astype(np.int64)), none, none)
-                    held, size = [], 0
+                    held, seen, size = [], set(), 0
             yield table(0, batch.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(_signed(np.array(c, np.uint64))), pa.array(_signed(np.array(d, np.uint64))))
         if held:
             tokens, times = counted()
@@ -335,8 +339,19 @@ def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.where("p <> q")
 
 
-def settle(docs: DataFrame, pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links with what the pairs add, comparisons of the pairs): first one pair of any two components, then those still apart.
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (node, component) with what the links (a, b) join: only the components they meet in are walked."""
+    new = shared.written(across(links, parts).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), "jaccard-joined")
+    if new.isEmpty():
+        return parts
+    up = components(new).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    ends = new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct().join(parts, "node", "left_anti")
+    nodes = parts.unionByName(ends.select("node", F.col("node").alias("component")))
+    return shared.written(nodes.join(up, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "jaccard-known")
+
+
+def settle(docs: DataFrame, pairs: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(components with the pairs' links, comparisons of the pairs): first one pair of any two components, then those still apart.
 
     pairs: a written table of a, b, p, q, met.
     """
@@ -344,11 +359,12 @@ def settle(docs: DataFrame, pairs: DataFrame, links: DataFrame) -> tuple[DataFra
     lead = pairs.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(best).select("x.a", "x.b")
     lead = shared.written(lead, "jaccard-lead")
     first = shared.written(verify(docs, lead), "jaccard-compared")
-    links = links.unionByName(first.where(_LINKED).select("a", "b"))
-    parts = shared.written(components(links), "jaccard-known")
+    parts = merged(parts, first.where(_LINKED).select("a", "b"))
     more = shared.written(across(pairs.join(lead, ["a", "b"], "left_anti"), parts).select("a", "b"), "jaccard-apart")
+    if more.isEmpty():
+        return parts, first
     second = shared.written(verify(docs, more), "jaccard-compared")
-    return links.unionByName(second.where(_LINKED).select("a", "b")), first.unionByName(second)
+    return merged(parts, second.where(_LINKED).select("a", "b")), first.unionByName(second)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -358,8 +374,8 @@ def join(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", "text")
     found = shared.written(facts(base), "jaccard-facts")
     sizes = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "c", "d")
-    often = found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).toPandas()
-    order = spark.sparkContext.broadcast(Order(often["a"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
+    often = found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).toArrow()
+    order = spark.sparkContext.broadcast(Order(often["a"].to_numpy().view(np.uint64), often["n"].to_numpy()))
 
     # classes of equal sets
     classes = sizes.where("n > 0 and doc_id is not null").groupBy("n", "c", "d").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
@@ -401,7 +417,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     # candidate pairs of stars, by their centres
     met = shared.written(candidates(posting_rows(starred, order)), "jaccard-candidates")
-    links, compared = settle(rest, met, links)
+    known, compared = settle(rest, met, known)
 
     # members' answers from their centres'
     reach = members.groupBy("star").agg(F.max("away").alias("radius"))
@@ -411,12 +427,18 @@ def join(docs: DataFrame) -> DataFrame:
     for c in ("a", "b"):
         still = still.join(reach.select(F.col("star").alias(c), F.col("radius").alias(f"r_{c}")), c, "left")
     still = still.where((F.col("r_a").isNotNull() | F.col("r_b").isNotNull()) & (F.col("distance") <= limit + F.coalesce("r_a", F.lit(0.0)) + F.coalesce("r_b", F.lit(0.0))))
-    known = shared.written(components(shared.written(links, "jaccard-links")), "jaccard-known")
     still = shared.written(across(still, known), "jaccard-still")
     all_of = members.select("star", "doc_id", "away").unionByName(members.select("star").distinct().select("star", F.col("star").alias("doc_id"), F.lit(0.0).alias("away")))
+    # only members far enough from their centre are met: by steps of that distance, the last exactly
+    step = lambda x: F.floor(x * STEPS).cast("int")
+    far_from = {"a": F.coalesce("r_b", F.lit(0.0)), "b": F.col("d_a")}
     for c in ("a", "b"):
-        own = all_of.select(F.col("star").alias(c), F.col("doc_id").alias(f"m_{c}"), F.col("away").alias(f"d_{c}"))
-        still = still.join(own, c, "left").withColumn(f"m_{c}", F.coalesce(f"m_{c}", c)).withColumn(f"d_{c}", F.coalesce(f"d_{c}", F.lit(0.0)))
+        own = all_of.select(F.col("star").alias(c), step(F.col("away")).alias("step"), F.col("doc_id").alias(f"m_{c}"), F.col("away").alias(f"d_{c}"))
+        least = step(F.greatest(F.col("distance") - limit - far_from[c], F.lit(0.0)))
+        top = F.greatest(step(F.coalesce(f"r_{c}", F.lit(0.0))), least)
+        still = still.withColumn("step", F.explode(F.sequence(least, top))).join(own, [c, "step"], "left").drop("step")
+        single = F.col(f"r_{c}").isNull()
+        still = still.where(F.col(f"m_{c}").isNotNull() | single).withColumn(f"m_{c}", F.coalesce(f"m_{c}", c)).withColumn(f"d_{c}", F.coalesce(f"d_{c}", F.lit(0.0)))
     still = still.where(F.col("distance") <= limit + F.col("d_a") + F.col("d_b")).where("m_a <> a or m_b <> b")
     for c in ("a", "b"):
         still = still.join(sizes.where("doc_id is not null").groupBy(F.col("doc_id").alias(f"m_{c}")).agg(F.max("n").alias(f"n_{c}")), f"m_{c}")
@@ -424,9 +446,7 @@ def join(docs: DataFrame) -> DataFrame:
     ends = (F.least("m_a", "m_b").alias("a"), F.greatest("m_a", "m_b").alias("b"))
     near_most = F.max((1e6 * (1 + F.col("d_a") + F.col("d_b") - F.col("distance"))).cast("long")).alias("met")
     open_pairs = shared.written(still.groupBy(*ends).agg(F.min("p").alias("p"), F.min("q").alias("q"), near_most), "jaccard-open")
-    links, _ = settle(rest, open_pairs, links)
-
-    parts = components(shared.written(links, "jaccard-links"))
+    parts, _ = settle(rest, open_pairs, known)
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("n", "c", "d", F.coalesce("component", "rep").alias("component"))
     out = sizes.join(of_class, ["n", "c", "d"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
