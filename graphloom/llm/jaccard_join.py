@@ -21,14 +21,18 @@ least 80 * union. The result is each document's component.
    of stars only the centres are compared at first; their members' answers
    follow from it: if the centres link, the stars are one component, and if
    their distance exceeds 0.2 by more than the members' distances to the
-   centres, no members link. Only what remains open is compared by members.
+   centres, no members link. Where that leaves it open, the documents of the
+   lesser star are compared with the other's centre c, and the answer of a
+   member m for such an x is derived from c's: |m & x| is at most |c & x| and
+   what m and x share beyond c. So only the shingles beyond c are joined, and
+   pairs are compared that reach the needed overlap by that bound.
    Comparisons go in rounds, one pair of two components before the others, and
    after each round pairs whose ends are by then in one component are dropped.
 5. Components of the verified links.
 
 No link between different components is lost: every pair of linked documents
 shares a prefix shingle, so its stars are candidates, and a pair of stars is
-dropped only by the triangle inequality or when already in one component.
+dropped only by these bounds or when already in one component.
 
 Defined results: null and empty texts have an empty set and link with nothing;
 texts of 1 to 4 words are one shingle; a null doc_id links with nothing; rows
@@ -58,8 +62,6 @@ BANDS, ROWS = 8, 3
 FREQUENT = 500_000
 #: A shingle counts as frequent in a task from this many of its documents on, those with one least hash counted once.
 OFTEN = 3
-#: Steps in which a member's distance to its centre is compared before the members are.
-STEPS = 200
 _ODD = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -302,8 +304,11 @@ def candidates(postings: DataFrame) -> DataFrame:
     return met.where((F.col("solo") == 0) | (bound >= least)).select("a", "b", "p", "q", "met")
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, inter, total (size of the union) of each pair; pairs: a written table of distinct (a, b); docs: one row of each doc_id."""
+def verify(docs: DataFrame, pairs: DataFrame, beyond: bool = False) -> DataFrame:
+    """a, b, inter, total (size of the union) of each pair; ``beyond`` adds the size n of b's set and what of it is not in a's.
+
+    pairs: a written table of distinct (a, b); docs: one row of each doc_id.
+    """
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = shared.written(wanted, "jaccard-wanted")
     few = wanted.count() * 16 <= shared.BROADCAST_BYTES
@@ -317,16 +322,22 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             # rows come sorted by b: a text that repeats is hashed once
             again = [k == 0 or b[k] != b[k - 1] for k in range(len(b))]
             fresh = iter(sets_of(batch.column("text_b").filter(pa.array(again))))
-            inter, total, y = [], [], None
+            inter, total, size, rest, y = [], [], [], [], None
             for x, new in zip(sets_of(batch.column("text_a")), again, strict=True):
                 y = next(fresh) if new else y
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 n = int((y[at] == x).sum())
                 inter.append(n)
                 total.append(len(x) + len(y) - n)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "inter", "total"])
+                if beyond:
+                    size.append(len(y))
+                    rest.append(_signed(y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y]))
+            columns = [pa.array(c, pa.int64()) for c in (a, b, inter, total, *([size] if beyond else []))]
+            if beyond:
+                columns.append(pa.array(rest, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "inter", "total", *(["n", "rest"] if beyond else [])])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, inter long, total long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, inter long, total long" + ", n long, rest array<bigint>" * beyond)
 
 
 _LINKED = f"100 * inter >= {PERCENT} * total"
@@ -367,6 +378,54 @@ def settle(docs: DataFrame, pairs: DataFrame, parts: DataFrame) -> tuple[DataFra
     return merged(parts, second.where(_LINKED).select("a", "b")), first.unionByName(second)
 
 
+def by_members(docs: DataFrame, members: DataFrame, compared: DataFrame, parts: DataFrame) -> DataFrame:
+    """``parts`` with the links of stars' members; compared: pairs of centres (a, b, inter, total) that don't link.
+
+    members: doc_id, star, away (its distance to the centre). Documents x of the
+    lesser star are compared with the centre of the other, and its members are
+    met by the shingles that they and x have beyond that centre.
+    """
+    limit = 1 - PERCENT / 100 + 1e-9
+    far = (1 - F.col("inter") / F.col("total")).alias("distance")
+    reach = members.groupBy("star").agg(F.max("away").alias("radius"), F.count("*").alias("k"))
+    still = compared.select("a", "b", far)
+    for c in ("a", "b"):
+        still = still.join(reach.select(F.col("star").alias(c), F.col("radius").alias(f"r_{c}"), F.col("k").alias(f"k_{c}")), c, "left")
+    radius = lambda c: F.coalesce(f"r_{c}", F.lit(0.0))
+    still = still.where((F.col("r_a").isNotNull() | F.col("r_b").isNotNull()) & (F.col("distance") <= limit + radius("a") + radius("b")))
+    turn = F.coalesce("k_b", F.lit(0)) > F.coalesce("k_a", F.lit(0))
+    pick = lambda x, y, name: F.when(turn, F.col(x)).otherwise(F.col(y)).alias(name)
+    still = across(still, parts).select(pick("b", "a", "star"), pick("a", "b", "other"), pick("r_b", "r_a", "radius"), "distance")
+    still = shared.written(still, "jaccard-still")
+    if still.isEmpty():
+        return parts
+
+    own = members.select(F.col("star").alias("other"), "doc_id", "away")
+    probes = still.join(own, "other").where(F.col("distance") <= limit + F.col("radius") + F.col("away")).select("star", "doc_id")
+    probes = still.select("star", F.col("other").alias("doc_id")).unionByName(probes).distinct()
+    probes = shared.written(probes.select(F.col("star").alias("a"), F.col("doc_id").alias("b")), "jaccard-probes")
+    seen = shared.written(verify(docs, probes, beyond=True), "jaccard-probed")
+    parts = merged(parts, seen.where(_LINKED).select("a", "b"))
+    radii = reach.select(F.col("star").alias("a"), "radius")
+    left = across(seen.where(f"not ({_LINKED})"), parts).join(radii, "a").where(1 - F.col("inter") / F.col("total") <= limit + F.col("radius"))
+    left = shared.written(left.select("a", F.col("b").alias("x"), "inter", F.col("n").alias("n_x"), "rest"), "jaccard-left")
+
+    stars = left.select(F.col("a").alias("star")).distinct()
+    mine = shared.written(members.join(stars, "star", "left_semi").select(F.col("star").alias("a"), F.col("doc_id").alias("b")), "jaccard-mine")
+    mine = shared.written(verify(docs, mine, beyond=True).select("a", F.col("b").alias("m"), F.col("n").alias("n_m"), "rest"), "jaccard-members-beyond")
+    of_x, of_m = (t.select("a", c, F.explode("rest").alias("shingle")) for t, c in ((left, "x"), (mine, "m")))
+    met = of_x.join(of_m, ["a", "shingle"]).groupBy("a", "x", "m").agg(F.count("*").alias("met"))
+    least = F.ceil((F.col("n_x") + F.col("n_m")) * PERCENT / (100 + PERCENT) - 1e-6)
+    met = met.join(left.drop("rest"), ["a", "x"]).join(mine.drop("rest"), ["a", "m"]).where(F.col("met") >= least - F.col("inter")).select("x", "m", "met")
+    # a smaller member may need no more than what its centre shares with x
+    most = F.floor(F.col("inter") * (100 + PERCENT) / PERCENT + 1e-6) - F.col("n_x")
+    low = F.ceil(F.col("n_x") * PERCENT / 100 - 1e-6)
+    small = left.where(most >= low).withColumn("n_m", F.explode(F.sequence(low, most))).select("a", "x", "n_m").join(mine.drop("rest"), ["a", "n_m"]).select("x", "m", F.lit(0).cast("long").alias("met"))
+    found = met.unionByName(small).where("x <> m").groupBy(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).agg(F.max("met").alias("met"))
+    found = shared.written(across(found, parts).select("a", "b", "p", "q", "met"), "jaccard-open")
+    return settle(docs, found, parts)[0]
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -419,34 +478,7 @@ def join(docs: DataFrame) -> DataFrame:
     met = shared.written(candidates(posting_rows(starred, order)), "jaccard-candidates")
     known, compared = settle(rest, met, known)
 
-    # members' answers from their centres'
-    reach = members.groupBy("star").agg(F.max("away").alias("radius"))
-    limit = 1 - PERCENT / 100 + 1e-9
-    far = (1 - F.col("inter") / F.col("total")).alias("distance")
-    still = compared.where(f"not ({_LINKED})").select("a", "b", far)
-    for c in ("a", "b"):
-        still = still.join(reach.select(F.col("star").alias(c), F.col("radius").alias(f"r_{c}")), c, "left")
-    still = still.where((F.col("r_a").isNotNull() | F.col("r_b").isNotNull()) & (F.col("distance") <= limit + F.coalesce("r_a", F.lit(0.0)) + F.coalesce("r_b", F.lit(0.0))))
-    still = shared.written(across(still, known), "jaccard-still")
-    all_of = members.select("star", "doc_id", "away").unionByName(members.select("star").distinct().select("star", F.col("star").alias("doc_id"), F.lit(0.0).alias("away")))
-    # only members far enough from their centre are met: by steps of that distance, the last exactly
-    step = lambda x: F.floor(x * STEPS).cast("int")
-    far_from = {"a": F.coalesce("r_b", F.lit(0.0)), "b": F.col("d_a")}
-    for c in ("a", "b"):
-        own = all_of.select(F.col("star").alias(c), step(F.col("away")).alias("step"), F.col("doc_id").alias(f"m_{c}"), F.col("away").alias(f"d_{c}"))
-        least = step(F.greatest(F.col("distance") - limit - far_from[c], F.lit(0.0)))
-        top = F.greatest(step(F.coalesce(f"r_{c}", F.lit(0.0))), least)
-        still = still.withColumn("step", F.explode(F.sequence(least, top))).join(own, [c, "step"], "left").drop("step")
-        single = F.col(f"r_{c}").isNull()
-        still = still.where(F.col(f"m_{c}").isNotNull() | single).withColumn(f"m_{c}", F.coalesce(f"m_{c}", c)).withColumn(f"d_{c}", F.coalesce(f"d_{c}", F.lit(0.0)))
-    still = still.where(F.col("distance") <= limit + F.col("d_a") + F.col("d_b")).where("m_a <> a or m_b <> b")
-    for c in ("a", "b"):
-        still = still.join(sizes.where("doc_id is not null").groupBy(F.col("doc_id").alias(f"m_{c}")).agg(F.max("n").alias(f"n_{c}")), f"m_{c}")
-    still = still.where(f"{PERCENT} * n_a <= 100 * n_b and {PERCENT} * n_b <= 100 * n_a")
-    ends = (F.least("m_a", "m_b").alias("a"), F.greatest("m_a", "m_b").alias("b"))
-    near_most = F.max((1e6 * (1 + F.col("d_a") + F.col("d_b") - F.col("distance"))).cast("long")).alias("met")
-    open_pairs = shared.written(still.groupBy(*ends).agg(F.min("p").alias("p"), F.min("q").alias("q"), near_most), "jaccard-open")
-    parts, _ = settle(rest, open_pairs, known)
+    parts = by_members(rest, members, compared.where(f"not ({_LINKED})"), known)
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("n", "c", "d", F.coalesce("component", "rep").alias("component"))
     out = sizes.join(of_class, ["n", "c", "d"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
