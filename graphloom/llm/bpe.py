@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -317,19 +316,24 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     shared.small_batches(spark, size=4 << 20)
     held = spark.sparkContext.broadcast(load(path))  # 50 thousand tokens and merges: about 2 MB
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(held.value)
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            rows = []
-            for ids, decoded in codec.encode(texts):
-                row = (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, ids.astype(np.int32), decoded) if with_ids else row)
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] * with_ids)])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""))
+            for a, b in shared.text_slices(batch.column("text")):
+                found = codec.encode([t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
+                columns = [
+                    batch.column("doc_id").slice(a, b - a).cast(pa.int64()),
+                    pa.array([len(ids) for ids, _ in found], pa.int64()),
+                    pa.array([hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids, _ in found], pa.string()),
+                    pa.array([hashlib.sha256(text.encode()).hexdigest() for _, text in found], pa.string()),
+                ]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns += [pa.array([ids.astype(np.int32) for ids, _ in found], pa.list_(pa.int32())), pa.array([text for _, text in found], pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""))
 
 
 def with_token_counts(docs: DataFrame, path: str) -> DataFrame:

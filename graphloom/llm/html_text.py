@@ -5,9 +5,11 @@ hashed by its tags and text. Spark counts, for each host, on how many pages
 with different content each hash occurs. Subtrees on ``MIN_PAGES`` pages at
 least and on ``SHARE`` of the host's pages are the site's template. Second
 pass: they are deleted together with what HTML itself marks as not being the
-article (navigation, page headers, footers, forms, scripts, and elements whose
-class, id or role says advert, notice, comment and the like). If the page has
-article elements, their text is returned, else that of main, else of the body.
+article (navigation, page headers, footers, forms, scripts, and elements with a
+class, id or role that says nothing but advert, notice, comment and the like;
+a paragraph or heading needs a word that cannot be the article's own). If
+article elements hold ``LEAST`` of the text that is left, their text is
+returned, else that of main in the same way, else of the body.
 
 Copies of one page count once, so mirrored articles are no template. A host
 has at most twice as many template subtrees as its mean page has subtrees,
@@ -15,8 +17,9 @@ because each lies on half of its pages; the lists of all hosts are broadcast
 only if they are small.
 
 Defined results: null or empty html gives the empty text; a null url gives a
-page of no host, whose template is unknown; repeated rows each get a row and
-extra columns are ignored.
+page of no host, whose template is unknown; ids pass through untouched, null
+ones too; pages may be nested or long at will (no recursion; each element is
+hashed once); repeated rows each get a row and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ from . import shared
 
 MIN_PAGES = 5
 SHARE = 0.5
+#: Share of the remaining text that article (or main) elements hold if they are the article.
+LEAST = 0.25
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +61,14 @@ MARKS = frozenset(
     "comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations pagination "
     "pager widget widgets toolbar skip skiplink paywall alert announcement".split()
 )
+#: Of these, words that may as well say what a paragraph of an article is about.
+WEAK = frozenset("promotion banner notice notices aside foot reply replies respond discussion share sharing social related recommended recommendations alert announcement subscription skip".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption summary details".split())
+#: Words that tell where or how something lies, beside which a mark keeps its meaning.
+PLACE = frozenset(
+    "site page top bottom left right main primary secondary global local mobile desktop sticky fixed first last box block list wrap wrapper container "
+    "section inner outer item items area bar row col column panel group holder slot unit form thread posts links link text content body js id".split()
+)
 ABOUT_PAGE = frozenset("has with without no".split())  # of classes like with-sidebar, which tell of the page
 CONTENT = frozenset("article content post entry story main body text".split())
 
@@ -67,19 +80,22 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("attrs", "digest", "kids", "tag")
+    __slots__ = ("attrs", "digest", "full", "kids", "tag")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
-        self.tag, self.attrs, self.kids, self.digest = tag, attrs, [], None
+        self.tag, self.attrs, self.kids, self.digest, self.full = tag, attrs, [], "", False
 
     def get(self) -> dict[str, str]:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(self.attrs)} if self.attrs.strip() else {}
 
 
 def parse(page: str) -> Node:
-    """A tree of the page; elements left open end where their parent ends or HTML implies their end."""
+    """A tree of the page; elements left open end where their parent ends or HTML implies their end.
+
+    Each element gets a digest of its subtree's tags and text, and whether there is text.
+    """
     root = Node("html")
-    stack = [root]
+    stack, made, body = [root], [root], False
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -96,8 +112,6 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -105,7 +119,7 @@ def parse(page: str) -> Node:
                 if tag not in BLOCK and stack[k].tag in BLOCK and stack[k].tag != "p":
                     break  # an inline end tag closes nothing beyond its block
             continue
-        if tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in stack)):
+        if tag == "html" or tag == "body" and body:
             if not root.attrs:
                 root.attrs = m[3]
             continue
@@ -125,8 +139,10 @@ def parse(page: str) -> Node:
             _close(stack, ("option",), ("select", "datalist"))
         elif tag == "body":
             _close(stack, ("head",), ())
+            body = True
         node = Node(tag, m[3])
         stack[-1].kids.append(node)
+        made.append(node)
         if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
         if tag in RAW:
@@ -134,6 +150,13 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
             continue  # raw text is never part of the article
         stack.append(node)
+    for node in reversed(made):  # what an element holds was made after it
+        h = hashlib.blake2b(digest_size=8)
+        h.update(node.tag.encode())
+        for kid in node.kids:
+            h.update(b"<" + kid.digest.encode() if isinstance(kid, Node) else b"=" + " ".join(kid.split()).encode("utf-8", "replace"))
+            node.full = node.full or (kid.full if isinstance(kid, Node) else bool(kid.strip()))
+        node.digest = h.hexdigest()
     return root
 
 
@@ -158,34 +181,24 @@ def marked(node: Node, inside: bool) -> bool:
         return True
     if a.get("role", "").lower() in ROLES:
         return True
+    tokens = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
     if tag in ("article", "main") and not inside:
-        names = set(_PARTS.split(f"{a.get('class', '')} {a.get('id', '')}".lower()))
-        return bool(names & {"comment", "comments", "reply", "related", "ad", "advert", "sponsored", "promo"})
-    names = {x for token in f"{a.get('class', '')} {a.get('id', '')}".lower().split() if not (own := set(_PARTS.split(token))) & ABOUT_PAGE for x in own}
-    return bool(names & MARKS) or "header" in names and not inside and not names & CONTENT
+        return bool({x for t in tokens for x in _PARTS.split(t)} & {"comment", "comments", "reply", "related", "ad", "advert", "sponsored", "promo"})
+    said = MARKS - WEAK if tag in TEXTUAL else MARKS
+    for token in tokens:
+        own = {x for x in _PARTS.split(token) if x and not x.isdigit()}
+        if own & said and own <= MARKS | PLACE and not own & ABOUT_PAGE:
+            return True
+    names = {x for t in tokens for x in _PARTS.split(t)}
+    return "header" in names and tag not in TEXTUAL and not inside and not names & CONTENT
 
 
 def text_of(pieces: list[str]) -> str:
     return " ".join(html.unescape("".join(pieces)).split())
 
 
-def digest(node: Node) -> str:
-    """A string that identifies the subtree's tags and text."""
-    if node.digest is None:
-        h = hashlib.blake2b(digest_size=8)
-        h.update(node.tag.encode())
-        for kid in node.kids:
-            h.update(b"<" + digest(kid).encode() if isinstance(kid, Node) else b"=" + " ".join(kid.split()).encode("utf-8", "replace"))
-        node.digest = h.hexdigest()
-    return node.digest
-
-
 def number(node: Node) -> int:
-    return int(digest(node), 16) - (1 << 63)
-
-
-def has_text(node: Node) -> bool:
-    return any(has_text(k) if isinstance(k, Node) else bool(k.strip()) for k in node.kids)
+    return int(node.digest, 16) - (1 << 63)
 
 
 def subtrees(page: str) -> tuple[int, set[int]]:
@@ -198,32 +211,28 @@ def subtrees(page: str) -> tuple[int, set[int]]:
         if marked(node, inside):
             continue
         inside = inside or node.tag in ("article", "main")
-        if node.tag in BLOCK and node.tag not in ("html", "body") and has_text(node):
+        if node.tag in BLOCK and node.tag not in ("html", "body") and node.full:
             out.add(number(node))
-            content.append(digest(node))
+            content.append(node.digest)
         todo += [(k, inside) for k in node.kids if isinstance(k, Node)]
     own = hashlib.blake2b("".join(sorted(content)).encode(), digest_size=8).hexdigest()
     return int(own, 16) - (1 << 63), out
 
 
-def _roots(node: Node, names: tuple[str, ...], drop: frozenset[int], inside: bool = False) -> Iterator[Node]:
-    """The outermost elements of these names that are neither marked nor template."""
-    for kid in node.kids:
-        if not isinstance(kid, Node) or marked(kid, inside) or drop and kid.tag in BLOCK and number(kid) in drop:
+def _roots(node: Node, names: tuple[str, ...], drop: frozenset[int]) -> list[Node]:
+    """The outermost elements of these names that are neither marked nor template, in page order."""
+    out, todo = [], [node]
+    while todo:
+        top = todo.pop()
+        if top.tag in names or "main" in names and "role" in top.attrs and top.get().get("role") == "main":
+            out.append(top)
             continue
-        if kid.tag in names or "main" in names and "role" in kid.attrs and kid.get().get("role") == "main":
-            yield kid
-        else:
-            yield from _roots(kid, names, drop, inside)
+        todo += [k for k in reversed(top.kids) if isinstance(k, Node) and not marked(k, k.tag in names) and not (drop and k.tag in BLOCK and number(k) in drop)]
+    return out
 
 
-def main_text(page: str | None, drop: frozenset[int] = frozenset()) -> str:
-    """The article's blocks joined by two line ends; ``drop`` has the template's subtree hashes."""
-    if not page:
-        return ""
-    root = parse(page)
-    roots = list(_roots(root, ("article",), drop)) or list(_roots(root, ("main",), drop))
-    inside = bool(roots)
+def blocks_of(tops: list[Node], inside: bool, drop: frozenset[int]) -> list[str]:
+    """The texts of the blocks of these elements, in page order."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -232,7 +241,7 @@ def main_text(page: str | None, drop: frozenset[int] = frozenset()) -> str:
             blocks.append(text)
         line.clear()
 
-    for top in roots or [root]:
+    for top in tops:
         todo: list = [iter(top.kids)]
         while todo:
             kid = next(todo[-1], None)
@@ -253,7 +262,22 @@ def main_text(page: str | None, drop: frozenset[int] = frozenset()) -> str:
                     line.append(" ")
                 todo.append(iter(kid.kids))
         flush()
-    return "\n\n".join(blocks)
+    return blocks
+
+
+def main_text(page: str | None, drop: frozenset[int] = frozenset()) -> str:
+    """The article's blocks joined by two line ends; ``drop`` has the template's subtree hashes."""
+    if not page:
+        return ""
+    root = parse(page)
+    whole = None
+    for names in (("article",), ("main",)):
+        if tops := _roots(root, names, drop):
+            blocks = blocks_of(tops, True, drop)
+            whole = blocks_of([root], False, drop) if whole is None else whole
+            if sum(map(len, blocks)) >= LEAST * sum(map(len, whole)) and blocks:
+                return "\n\n".join(blocks)
+    return "\n\n".join(blocks_of([root], False, drop) if whole is None else whole)
 
 
 FLUSH = Node("flush")
@@ -268,20 +292,19 @@ def _host(url: Column) -> Column:
 def templates(pages: DataFrame) -> DataFrame:
     """host and the array of its template subtrees' hashes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for host, page in zip(batch["host"], batch["html"], strict=True):
-                if isinstance(page, str) and page:
-                    own, found = subtrees(page)
-                    rows += [(host, own, x) for x in found]
-                    rows.append((host, own, None))  # the page itself
+            for host, page in zip(batch.column("host"), batch.column("html"), strict=True):
+                if text := page.as_py():
+                    own, found = subtrees(text)
+                    rows += [(host.as_py(), own, x) for x in found]
+                    rows.append((host.as_py(), own, None))  # the page itself
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            # the hashes never pass through floats, which would round them
-            yield pd.DataFrame({"host": pd.array(columns[0], "string"), "page": pd.array(columns[1], "Int64"), "subtree": pd.array(columns[2], "Int64")})
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "page", "subtree"])
 
     known = pages.select(_host(F.col("url")).alias("host"), "html").where(F.col("host").isNotNull())
-    seen = known.mapInPandas(run, "host string, page long, subtree long").distinct()
+    seen = known.mapInArrow(run, "host string, page long, subtree long").distinct()
     counts = shared.written(seen.groupBy("host", "subtree").agg(F.count("*").alias("n")), "html-counts")
     sizes = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
     often = counts.where((F.col("n") >= MIN_PAGES) & F.col("subtree").isNotNull()).join(sizes, "host")
@@ -299,9 +322,10 @@ def extract(pages: DataFrame) -> DataFrame:
     left = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
     joined = left.join(F.broadcast(found) if size <= shared.BROADCAST_BYTES else found, "host", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page if isinstance(page, str) else None, frozenset(() if drop is None else (int(x) for x in drop))) for page, drop in zip(batch["html"], batch["drop"], strict=True)]
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            texts = [main_text(page.as_py(), frozenset(drop.as_py() or ())) for page, drop in zip(batch.column("html"), batch.column("drop"), strict=True)]
+            columns = [batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "drop").mapInPandas(run, SCHEMA)
+    return joined.select("page_id", "url", "html", "drop").mapInArrow(run, SCHEMA)

@@ -8,38 +8,42 @@ wins (ties: the first by name); the score is its posterior with the number of
 words tempered by a square root, so that long texts do not all read 1.0.
 
 The model is learned from text and non-null lang of documents with
-crc32(doc_id) mod 4 other than 2, at most ``MAX_DOCS`` for each language, the
-smallest by a hash of the id. lang, source and doc_id are never inputs of a
-prediction.
-
-Defined results: a text that is null or has no letter gives ``und`` with
-score 0; so does every text if nothing could be learned. Repeated rows and
-extra columns are harmless.
+crc32(doc_id) mod 4 other than 2, at most ``MAX_DOCS`` for each language, of at
+most ``MAX_CHARS`` characters, the smallest by a hash of the id; all words and
+n-grams of that sample are in the model. lang, source and doc_id are never
+inputs of a prediction.
+
+Defined results: a text that is null or has no letter (Unicode category L)
+gives ``und`` with score 0; so does every text if nothing could be learned. A
+text of which not even one character is known ties in all languages and gets
+the first by name. Ids pass through untouched, null ones too (never held out);
+long texts are read whole; repeated rows and extra columns are harmless.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: Bounds of the model: training documents, words and n-grams for each language.
-MAX_DOCS, MAX_WORDS, MAX_GRAMS = 600, 20_000, 20_000
+#: Bounds of the sample that trains the model: documents of each language, and characters of one (longer ones are not trained on).
+MAX_DOCS, MAX_CHARS = 600, 30_000
 ORDERS = (5, 4, 3, 2, 1)
-#: Parts of a language that are ranked on their own before the language is.
-SLICES = 64
 STEP = math.log(0.4)
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters that count as alphanumeric but are neither letters nor digits, such as fractions.
+_NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERIC}]+")
 
 
 @dataclass(frozen=True)
@@ -76,9 +80,9 @@ class Model:
         return np.stack(sums, axis=1) / counts[:, None] + (steps * STEP)[:, None]
 
 
-def _table(counts: list[Counter], least: int) -> dict[str, np.ndarray]:
+def _table(counts: list[Counter]) -> dict[str, np.ndarray]:
     """Log frequencies with half a count added to each language."""
-    keys = sorted({k for c in counts for k, v in c.items() if v >= least})
+    keys = sorted({k for c in counts for k in c})
     totals = np.array([sum(c.values()) for c in counts], float) + 0.5 * len(keys)
     return {k: np.log((np.array([c[k] for c in counts], float) + 0.5) / totals) for k in keys}
 
@@ -95,30 +99,42 @@ def train(texts: list[str], langs: list[str]) -> Model:
             for order in ORDERS:
                 for k in range(len(marked) - order + 1):
                     grams[n][marked[k : k + order]] += c
-    top = lambda c, most: Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most]))
-    of_words = _table([top(words[n], MAX_WORDS) for n in names], 3)
-    of_grams = _table([top(grams[n], MAX_GRAMS) for n in names], 3)
+    of_words = _table([words[n] for n in names])
+    of_grams = _table([grams[n] for n in names])
     rows = [*of_words.values(), *of_grams.values()]
     return Model(
         names,
         {w: k for k, w in enumerate(of_words)},
         {g: k for k, g in enumerate(of_grams, len(of_words))},
-        np.array(rows).reshape(len(rows), len(names)),
+        np.array(rows, np.float32).reshape(len(rows), len(names)),
     )
 
 
 def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """At most MAX_DOCS rows of each language, picked by id before any text moves."""
+    """At most MAX_DOCS documents of each language, the smallest by a hash of the id, picked by id before any text moves.
+
+    A hash bound for each language, from its count, leaves little more than the
+    sample, so neither a task nor the driver gets all ids of a language.
+    """
     key = F.col("doc_id").cast("string")
-    open_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(key.cast("binary")) % 4 != 2))
-    least = open_rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("mark"))
-    # First the least of each of SLICES slices of a language, so that no task gets what all tasks kept of one language.
-    for by in (("lang", F.pmod("doc_id", F.lit(SLICES))), ("lang",)):
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy("mark", "doc_id"))
-        least = least.withColumn("rank", rank).where(F.col("rank") <= MAX_DOCS).drop("rank")
-    ids = least.select("lang", "doc_id").distinct()
-    rows = open_rows.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"]).collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
+    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS) & (F.crc32(key.cast("binary")) % 4 != 2)).select("lang", "doc_id", "text")
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counts:
+        return [], []
+    mark, parts = F.xxhash64("doc_id"), 1 << 40
+    bounds = {k: parts if n <= 2 * MAX_DOCS else int(parts * 1.3 * MAX_DOCS / n) for k, n in counts.items()}
+    of_lang = docs.sparkSession.createDataFrame(list(bounds.items()), "lang string, bound long")
+    near = usable.join(F.broadcast(of_lang), "lang").where(F.pmod(mark, F.lit(parts)) < F.col("bound"))
+    ids = near.select("lang", "doc_id", F.pmod(mark, F.lit(parts)).alias("mark")).distinct().collect()  # about 1.3 * MAX_DOCS for each language, 2 * MAX_DOCS at most
+    chosen: dict[str, int] = Counter()
+    keep = []
+    for r in sorted(ids, key=lambda r: (r["mark"], r["doc_id"])):
+        chosen[r["lang"]] += 1
+        if chosen[r["lang"]] <= MAX_DOCS:
+            keep.append((r["lang"], r["doc_id"]))
+    picked = docs.sparkSession.createDataFrame(keep, "lang string, doc_id long")
+    rows = usable.join(F.broadcast(picked), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -130,18 +146,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared.small_batches(docs.sparkSession, size=8 << 20)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         size = len(m.langs)
         cache: dict[str, int] = {}
-        table = np.zeros((0, size))
+        table = np.zeros((0, size), np.float32)
         for batch in batches:
             if len(cache) > 400_000:
-                cache, table = {}, np.zeros((0, size))
-            codes, fresh, owner = [], [], []
-            for text in batch["text"]:
+                cache, table = {}, np.zeros((0, size), np.float32)
+            codes, fresh, owner = [np.zeros(0, np.int64)], [], []
+            for text in batch.column("text"):
                 ids = []
-                for w in _WORD.findall(text.lower()) if isinstance(text, str) else ():
+                for w in _WORD.findall((text.as_py() or "").lower()):
                     k = cache.get(w)
                     if k is None:
                         k = cache[w] = len(cache)
@@ -150,8 +166,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 codes.append(np.array(ids, np.int64))
                 owner.append(len(ids))
             if fresh and size:
-                table = np.vstack([table, m.word_scores(fresh)])
-            n = np.array(owner)
+                table = np.vstack([table, m.word_scores(fresh).astype(np.float32)])
+            n = np.array(owner, np.int64)
             preds, scores = np.full(len(n), UNKNOWN, object), np.zeros(len(n))
             if size and n.sum():
                 at = np.repeat(np.arange(len(n)), n)
@@ -161,9 +177,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 share = 1 / np.exp(z).sum(axis=1)
                 preds = np.where(n > 0, np.array(m.langs, object)[best], UNKNOWN)
                 scores = np.where(n > 0, share, 0.0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": preds, "score": scores})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -23,8 +23,9 @@ from __future__ import annotations
 
 import bisect
 import math
+from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,18 +86,18 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
     # source and cluster of rows without an id keep those rows from meeting in one shard
     shard = F.pmod(F.xxhash64("doc_id", "cluster", "length"), F.lit(shards))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "cluster"], ascending=[False, True, True], kind="stable", na_position="last")
-        plain = lambda v: None if pd.isna(v) else v
-        often = rows["cluster"].value_counts()
-        shared_clusters = set(often[often > 1].index)
-        keys = [(int(n), plain(s), c if c in shared_clusters else None) for n, s, c in zip(rows["length"], rows["source"], rows["cluster"], strict=True)]
-        base = int(rows["shard"].iloc[0]) << 32
-        found = [(d, k, base + b, o, n) for d, own in zip(rows["doc_id"], best_fit(keys, capacity), strict=True) for k, b, o, n in own]
-        out = pd.DataFrame(found, columns=["doc_id", "piece", "bin_id", "bin_offset", "n_tokens"])
-        return out.astype({"doc_id": "Int64"})
-
-    return items.select("doc_id", "length", "source", "cluster", shard.alias("shard")).groupBy("shard").applyInPandas(run, SCHEMA)
+    def run(rows: pa.Table) -> pa.Table:
+        columns = [rows.column(c).to_pylist() for c in ("length", "doc_id", "cluster", "source")]
+        last = lambda v: (v is None, v or 0)
+        items = sorted(zip(*columns, strict=True), key=lambda x: (-x[0], last(x[1]), last(x[2])))
+        often = Counter(columns[2])
+        keys = [(n, source, cluster if often[cluster] > 1 else None) for n, _, cluster, source in items]
+        base = rows.column("shard")[0].as_py() << 32
+        found = [(x[1], k, base + b, o, n) for x, own in zip(items, best_fit(keys, capacity), strict=True) for k, b, o, n in own]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "piece", "bin_id", "bin_offset", "n_tokens"])
+
+    return items.select("doc_id", "length", "source", "cluster", shard.alias("shard")).groupBy("shard").applyInArrow(run, SCHEMA)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, tokenizer: str | None = None) -> DataFrame:

@@ -10,11 +10,12 @@ learned from document labels alone, locate the offending sentences.
 Features are words and word prefixes whose association with the label is
 significant on the training sample; neither labels, lang, source nor doc_id
 enter a score. Training reads at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled
-documents, the smallest by a hash of the id.
+documents of at most ``MAX_CHARS`` characters, the smallest by a hash of the id.
 
 Defined results: a null or empty text has no sentence and scores the leak;
 ties of the worst sentence go to the first; with no labels or no feature the
-score is the leak; repeated rows and extra columns are harmless.
+score is the leak; ids pass through untouched, null ones too (never held out);
+long texts are scored whole; repeated rows and extra columns are harmless.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: Bounds of the training sample, in documents.
-MAX_TOXIC, MAX_CLEAN = 1000, 2000
+#: Bounds of the training sample: documents of either label, and characters of one (longer ones are not trained on).
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2000, 30_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 BIAS = 3.0
@@ -186,11 +187,13 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
     key = F.col("doc_id").cast("string")
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (F.crc32(key.cast("binary")) % 4 != 2))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = docs.select("doc_id", "text").where(F.length("text") <= MAX_CHARS)
+    known = known.join(usable.select("doc_id"), "doc_id", "left_semi")
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), "doc_id"]
     parts = [known.where(F.col("toxic") == y).orderBy(*order).limit(most) for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     ids = parts[0].unionByName(parts[1])  # at most MAX_TOXIC + MAX_CLEAN rows of two numbers
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = usable.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     got = Counter(r["toxic"] for r in rows)
     return [r["text"] for r in rows], [r["toxic"] for r in rows], [totals[r["toxic"]] / got[r["toxic"]] / max(1, sum(totals.values())) * len(rows) for r in rows]
@@ -204,17 +207,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared.small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                p, worst = held.value.score(text if isinstance(text, str) else None, cache)
-                rows.append((doc_id, min(max(p, 0.0), 1.0), *(worst or (None, None, None))))
-            out = pd.DataFrame(rows, columns=["doc_id", "score", "worst_start", "worst_end", "worst_score"])
-            yield out.astype({"doc_id": "Int64", "worst_start": "Int64", "worst_end": "Int64", "worst_score": "Float64"})
-
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+            found = [held.value.score(text.as_py(), cache) for text in batch.column("text")]
+            worst = [w or (None, None, None) for _, w in found]
+            columns = [pa.array([min(max(p, 0.0), 1.0) for p, _ in found], pa.float64())]
+            columns += [pa.array([w[k] for w in worst], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "score", "worst_start", "worst_end", "worst_score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:

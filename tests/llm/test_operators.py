@@ -51,6 +51,19 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
+def test_jaccard_join_of_a_family(spark):
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(120)]
+    variants = []
+    for _ in range(140):  # edits in a row or apart, many near the threshold, some shared by several
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            k = rng.randrange(110)
+            t[k : k + rng.choice([1, 2, 8])] = [f"e{rng.randrange(12) if rng.random() < 0.5 else rng.random()}"] * rng.choice([0, 1, 3])
+        variants.append(" ".join(t[rng.choice([0, 0, 9]) :]))
+    test_jaccard_join(spark, [*variants, " ".join(base)])
+
+
 def test_jaccard_join(spark, texts):
     sets = [shingles(t) for t in texts]
     root = list(range(len(sets)))
@@ -185,7 +198,8 @@ def test_quality_counts_and_order(spark):
     assert (got[2]["n_dup_lines"], got[2]["n_symbols"], got[2]["word_chars"]) == (1, 1, 4)
     assert got[3]["kept"] and not got[4]["kept"]
     names = [r.name for r in quality.RULES]
-    assert sorted(r.name for r in quality.plan_order(["a b c"] * 5)) == sorted(names)
+    assert sorted(quality.plan_order(d)) == sorted(names)
+    assert quality.order_of([("a", 2.0, 4), ("b", 1.0, 4), ("c", 0.5, 0), ("d", 0.1, 0)]) == ["b", "a", "d", "c"]
 
 
 def test_toxicity_learns_and_locates():
@@ -225,8 +239,83 @@ def test_html_removes_the_site_template(spark):
     assert html_text.main_text("<nav>x</nav><article><header><h1>T</h1></header>a<br>b <script>'<p>'</script><aside>z</aside></article><p>out") == "T\n\na b"
 
 
+def test_html_keeps_what_only_sounds_like_a_template(spark):
+    keep = '<p class="notice-of-award">won <section class="related-work">others <p class="discussion">we <h2 id="related">R</h2>'
+    for page in (f'<div class="post">{keep}</div>', f"<article>{keep}</article>", f"<main>{keep}</main>"):
+        assert html_text.main_text(page) == "won\n\nothers\n\nwe\n\nR"
+    gone = '<div class="ad-box">x</div><div class="comments">x</div><ul id="related-links"><li>x</ul><p class="advert">x</p><div class="site-notice">x</div>'
+    assert html_text.main_text(f"<article>a{gone}<p>b</article>") == html_text.main_text(f"a{gone}<p>b") == "a\n\nb"
+    assert html_text.main_text("<article>teaser</article>" + "<p>the text itself, at length</p>" * 5).startswith("teaser\n\nthe text")
+    deep = "<div>" * 10_000 + "<span>" * 10_000 + "deep" + "</span>" * 10_000 + "</div>" * 10_000 + "<p>out"
+    assert html_text.main_text(deep) == "deep\n\nout"
+    rows = [(i, f"http://h.example/{i}", deep.replace("out", f"out {i}")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "out 2"  # the rest is on every page
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(4)
+    parts = [f"<div><p>{k} menu {k}</p></div>" for k in range(12)]
+    pages = [(i, f"http://h{i % 3}.example/{i}", "".join(rng.sample(parts, 5)) + f"<p>own {i // 2}</p>") for i in range(60)]
+    found = {r["host"]: set(r["drop"]) for r in html_text.templates(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for h in range(3):
+        trees = {p: html_text.subtrees(p)[1] for i, _, p in pages if i % 3 == h}
+        counts = {}
+        for of in trees.values():
+            for x in of:
+                counts[x] = counts.get(x, 0) + 1
+        assert found.get(f"h{h}.example", set()) == {x for x, n in counts.items() if n >= html_text.MIN_PAGES and n >= html_text.SHARE * len(trees)}
+
+
+def brute_quality(text):
+    words = (text or "").encode().split()
+    spots = {}
+    for k in range(len(words) - 2):
+        spots.setdefault(tuple(words[k : k + 3]), []).append(k)
+    again = {p for of in spots.values() if len(of) > 1 for k in of for p in (k, k + 1, k + 2)}
+    lines = [x for x in (text or "").split("\n") if x.encode().split()]
+    n = len(words)
+    return n, sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again), n < 50 or 100 * len(again) > 50 * n
+
+
+def test_quality_against_brute_force(spark, texts):
+    rng = random.Random(2)
+    more = ["\n".join(" ".join(rng.choices(["Ü#", "b", "c$", "dd"], k=rng.randrange(6))) for _ in range(rng.randrange(40))) for _ in range(60)]
+    all_texts = [*texts, *more, "w " * 200_000]
+    got = {r["doc_id"]: r for r in quality.apply_rules(documents(spark, all_texts)).collect()}
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert all(tuple(got[i][n] for n in names) == brute_quality(t) for i, t in enumerate(all_texts))
+    rules = {r.name: r for r in quality.RULES}
+    assert all(got[i]["kept"] == (not got[i]["base_failed"] and not any(r.rejects(quality.Measures(t)) for r in rules.values())) for i, t in enumerate(all_texts))
+
+
+BIG = (1 << 60) + 1
+
+
+def test_ids_beside_a_null_id_stay_exact(spark):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    rows = [(BIG, "the cat sat", "en", "s", 1, 7, "w"), (None, "le chat dort", "fr", "s", 1, 7, "w"), (BIG + 2, None, None, None, None, None, None)]
+    d = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    labels = spark.createDataFrame([(BIG, 1, 0)], "doc_id long, quality int, toxic int")
+    for out in (quality.apply_rules(d), toxicity.detect(d, labels), langid.identify(d), bpe.encode_documents(d, path), packing.pack_documents(d, tokenizer=path)):
+        assert {r["doc_id"] for r in out.collect()} == {BIG, None, BIG + 2}
+    pages = spark.createDataFrame([(BIG, None, "<p>a"), (None, "http://x/", None)], "page_id long, url string, html string").coalesce(1)
+    assert {r["page_id"] for r in html_text.extract(pages).collect()} == {BIG, None}
+
+
+def test_only_letters_make_a_language(spark):
+    rows = [(i, t, "en" if i % 2 else "fr", "s", 1, 7, "w") for i, t in enumerate(["le chat dort", "the cat sleeps"] * 8)]
+    rows += [(100, "½ ² ①", "en", "s", 1, 7, "w"), (101, "12 ٣", "en", "s", 1, 7, "w"), (102, "the ½ cat", None, "s", 1, 7, "w"), (103, None, "en", "s", 1, 7, "w")]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[k]["lang_pred"] for k in (100, 101, 102, 103)] == ["und", "und", "en", "und"]
+
+
 def test_empty_tables(spark):
     d = documents(spark, [""]).where("doc_id < 0")
     for f in (exact_dedup.deduplicate, jaccard_join.join, substring_dedup.remove, packing.pack_documents, pii.replace, langid.identify, quality.apply_rules):
         assert f(d).count() == 0
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    assert bpe.encode_documents(d, path).count() == 0
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert toxicity.detect(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
