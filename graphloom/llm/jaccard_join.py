@@ -465,6 +465,7 @@ def join(docs: DataFrame) -> DataFrame:
     ways = ways[0].unionByName(ways[1])
     links = ways.select("a", "b").distinct()
     known = shared.written(components(links), "jaccard-known")
+    shared.release(spark)
     centred = ways.join(ways.select(F.col("doc_id").alias("hub")).distinct(), "hub", "left_anti")  # the hub is itself no member
     pick = F.max_by(F.struct("hub", "inter", "total"), F.struct(F.col("inter") / F.col("total"), -F.col("hub")))
     members = shared.written(centred.groupBy("doc_id").agg(pick.alias("x")).select("doc_id", F.col("x.hub").alias("star"), (1 - F.col("x.inter") / F.col("x.total")).alias("away")), "jaccard-members")
@@ -476,7 +477,9 @@ def join(docs: DataFrame) -> DataFrame:
 
     # candidate pairs of stars, by their centres
     met = shared.written(candidates(posting_rows(starred, order)), "jaccard-candidates")
+    shared.release(spark)
     known, compared = settle(rest, met, known)
+    shared.release(spark)
 
     parts = by_members(rest, members, compared.where(f"not ({_LINKED})"), known)
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("n", "c", "d", F.coalesce("component", "rep").alias("component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -40,6 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 _paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that have been written: it does so once the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete written tables whose every use has itself been written."""
     for frame in frames:

@@ -211,11 +211,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     both = rows.join(names, "name").groupBy("doc_id").agg(*(F.collect_list(F.when(F.col("hot") == hot, F.struct("start", "n"))).alias(c) for c, hot in (("cold", False), ("hot", True))))
     lists = shared.written(both, "substring-spans")
     shared.discard(rows)
+    shared.release(docs.sparkSession)
     with_text = lambda c: docs.join(lists.where(F.size(c) > 0).select("doc_id", F.col(c).alias("spans")), "doc_id")
 
     first = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     later = window_rows(with_text("cold")).withColumn("first", first).where("doc_id > first").select("doc_id", "start", "n")
     parts = [shared.written(later, "substring-later")]
+    shared.release(docs.sparkSession)
     if not names.where("hot").isEmpty():
         hot = shared.written(window_rows(with_text("hot")), "substring-hot")
         heads = hot.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
