@@ -18,11 +18,13 @@ joined back to the texts that hold them.
 
 Defined results: null texts stay null, empty texts empty; texts without
 entities are unchanged; repeated rows are treated alike; extra columns pass
-through, and a column of the operator's own name is never needed.
+through whatever their names; long texts are searched whole.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,8 +98,14 @@ def canonical(e: Column, k: Column) -> Column:
 
 
 def _noise(key: str, k: Column, c: Column, attempt: Column) -> Column:
-    """Hex digits from the key, two for each character of the canonical form."""
-    block = lambda j: F.sha2(F.concat_ws("\x1f", F.lit(key), k, c, attempt.cast("string"), j.cast("string")), 512)
+    """Hex digits of HMAC-SHA-512 under the key, two for each character of the canonical form."""
+    secret = key.encode() if len(key.encode()) <= 128 else hashlib.sha512(key.encode()).digest()
+    inner, outer = (F.lit(bytes(b ^ pad for b in secret.ljust(128, b"\0"))) for pad in (0x36, 0x5C))
+
+    def block(j: Column) -> Column:
+        message = F.concat_ws("\x1f", k, c, attempt.cast("string"), j.cast("string"))
+        return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 512))), 512)
+
     return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(c) / 64).cast("int")), block), "")
 
 
@@ -266,6 +274,8 @@ def attempts(known: DataFrame, key: str = KEY) -> DataFrame:
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with every entity of ``text`` replaced, in the same columns."""
     columns = docs.columns
+    mine = max((len(c) for c in columns), default=0) * "_"  # longer than any name of the caller's
+    found_c, mark_c, late_c = (f"{mine}{c}" for c in ("found", "mark", "late"))
     known = shared.written(entities(docs), "pii-entities")
     late = shared.written(attempts(known, key), "pii-late")
     found = matches(F.col("text"))
@@ -273,21 +283,21 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     if n:
         # the texts that hold such an entity, by the text's hash: their map of later attempts
         mark = F.xxhash64("text")
-        each = docs.select(mark.alias("__mark"), F.explode(found).alias("entity")).distinct()
-        each = _table(each, _steps(key, lambda e: F.lit(0))[:2]).select("__mark", "entity", F.col("x.k").alias("kind"), F.col("x.c").alias("canonical"))
+        each = docs.select(mark.alias(mark_c), F.explode(found).alias("entity")).distinct()
+        each = _table(each, _steps(key, lambda e: F.lit(0))[:2]).select(mark_c, "entity", F.col("x.k").alias("kind"), F.col("x.c").alias("canonical"))
         small = F.broadcast(late) if n * 128 <= shared.BROADCAST_BYTES else late
-        held = each.join(small, ["kind", "canonical"]).groupBy("__mark").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("__late"))
+        held = each.join(small, ["kind", "canonical"]).groupBy(mark_c).agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias(late_c))
         held = shared.written(held, "pii-held")
         held = F.broadcast(held) if held.count() * 256 <= shared.BROADCAST_BYTES else held
-        docs = docs.withColumn("__mark", mark).join(held, "__mark", "left")
-        attempt = lambda e: F.coalesce(F.col("__late")[e], F.lit(0))
+        docs = docs.withColumn(mark_c, mark).join(held, mark_c, "left")
+        attempt = lambda e: F.coalesce(F.col(late_c)[e], F.lit(0))
     else:
         attempt = lambda e: F.lit(0)
-    docs = docs.withColumn("__found", found)
+    docs = docs.withColumn(found_c, found)
     for step in _steps(key, attempt):
-        docs = docs.withColumn("__found", F.transform("__found", step))
-    whole = F.array_join(F.zip_with(F.split("text", ANY, -1), "__found", lambda p, x: F.concat(p, F.coalesce(x["s"], F.lit("")))), "")
-    return docs.withColumn("text", F.when(F.size("__found") > 0, whole).otherwise(F.col("text"))).select(*columns)
+        docs = docs.withColumn(found_c, F.transform(found_c, step))
+    whole = F.array_join(F.zip_with(F.split("text", ANY, -1), found_c, lambda p, x: F.concat(p, F.coalesce(x["s"], F.lit("")))), "")
+    return docs.withColumn("text", F.when(F.size(found_c) > 0, whole).otherwise(F.col("text"))).select(*columns)
 
 
 def report(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -181,6 +181,19 @@ def test_surrogates(spark):
     assert pii.replace(documents(spark, t)).columns == documents(spark, t).columns
 
 
+def test_surrogates_are_keyed_and_leave_the_callers_columns(spark):
+    import hmac
+
+    noise = spark.range(1).select(pii._noise("k", F.lit("email"), F.lit("a@b.c"), F.lit(0)).alias("x")).first()["x"]
+    assert noise == hmac.new(b"k", b"\x1f".join([b"email", b"a@b.c", b"0", b"0"]), hashlib.sha512).hexdigest()
+    d = documents(spark, ["mail bob@x.example", None]).selectExpr("*", "'a' as __found", "1 as __mark", "2.5 as __late")
+    got = pii.replace(d).orderBy("doc_id").collect()
+    assert [(r["__found"], r["__mark"], float(r["__late"])) for r in got] == [("a", 1, 2.5)] * 2
+    assert pii.replace(d).schema == d.schema and got[0]["text"] != "mail bob@x.example"
+    other = pii.replace(d, key="another").orderBy("doc_id").first()["text"]
+    assert other != got[0]["text"] and other.endswith(".example")
+
+
 def test_spellings_of_one_phone_number_get_one_surrogate(spark):
     t = ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "+49 30 1234567", "+49301234567", "+353 86 123 4567", "+353861234567", "555-123-4567", "(555) 123-4567"]
     d = documents(spark, t)
