@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -34,11 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out), path)
+    if next(_steps) % RELEASE_EVERY == 0:
+        release(spark)
     return out
 
 
-#: Where the frames that ``written`` gave lie.
+#: Where the frames that ``written`` gave lie, and a count of them.
 _paths: dict[int, tuple[weakref.ref, str]] = {}
+_steps = itertools.count(1)
+#: Written tables after which the plans and shuffle files of the steps before are let go.
+RELEASE_EVERY = 6
 
 
 def release(spark: SparkSession) -> None:
