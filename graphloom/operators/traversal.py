@@ -31,7 +31,11 @@ def severity(depth: Column, confidence: Column) -> Column:
 
 
 def reach(moves: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """node and least depth over moves (node, other, confidence), with the best confidence of a first arrival."""
+    """node and least depth over moves (node, other, confidence), with the best confidence of a first arrival.
+
+    Moves that more than one level reads are written once.
+    """
+    moves = _step(moves) if depth > 1 else moves
     seen = _step(start.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence")))
     front = seen
     for level in range(1, depth + 1):
@@ -54,7 +58,7 @@ def impact_radius(E: DataFrame, R: DataFrame, start: str, depth: int, min_confid
 
 def call_graph(R: DataFrame, start: str, depth: int, limit: int = 1000) -> DataFrame:
     """Forward call edges up to ``depth``, also those back to a node seen before; unresolved ones end there."""
-    calls = R.where(F.col("rel_type") == "calls").select("source_qualified", "target_qualified").distinct()
+    calls = _step(R.where(F.col("rel_type") == "calls").select("source_qualified", "target_qualified").distinct())
     front = _step(R.sparkSession.createDataFrame([(start,)], "node string"))
     seen, out = front, None
     for level in range(1, depth + 1):
@@ -72,7 +76,7 @@ def shortest_path(R: DataFrame, start: str, goal: str, max_hops: int = 10) -> Da
     """One undirected shortest path as an array of nodes; ties by label rank, then by the nodes' names."""
     rank = F.when(F.col("confidence") >= 0.9, 0).when(F.col("confidence") >= 0.6, 1).otherwise(2)
     moves = symmetric(R).select("node", "other", rank.alias("rank"))
-    best = moves.groupBy("node", "other").agg(F.min("rank").alias("rank"))
+    best = _step(moves.groupBy("node", "other").agg(F.min("rank").alias("rank")))
     front = _step(R.sparkSession.createDataFrame([(start, [start], 0)], "node string, path array<string>, cost int"))
     seen = front.select("node")
     for _ in range(min(max_hops, 10)):

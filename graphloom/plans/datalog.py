@@ -347,7 +347,10 @@ class Database:
             d = s if d is None else d.join(s, on)
         for a in (x for x in r.atoms if x.negated):
             s = self._scan(a, made)
-            d = d.join(s, [c for c in s.columns if c in d.columns], "left_anti")
+            on = [c for c in s.columns if d is not None and c in d.columns]
+            if not on:
+                raise DatalogError("a negated atom shares no name with the others")
+            d = d.join(s, on, "left_anti")
         known = {c: F.col(c) for c in d.columns}
         spans: dict[str, Column] = {}
         for f in r.filters:
@@ -366,6 +369,8 @@ class Database:
         order = [(F.desc if down else F.asc)(f"`{name(e)}`") for e, down in mods["order"]]
         if not order and spans and any(h in spans for h in r.head if isinstance(h, str)):
             order = [F.desc(next(h for h in r.head if isinstance(h, str) and h in spans))]
+        if "limit" in mods or "offset" in mods:  # which rows stay depends on the whole row at last
+            order += [F.asc(f"`{name(h)}`") for h in r.head]
         d = d.orderBy(*order) if order else d
         d = d.offset(mods["offset"]) if "offset" in mods else d
         d = d.limit(mods["limit"]) if "limit" in mods else d
@@ -439,6 +444,11 @@ class Database:
             self.tables[relation] = d.join(new.select(*names).distinct(), names, "left_anti").select(*d.columns)
             return self.tables[relation]
         key = [c.strip() for c in keys.split(",") if c.strip()] if values else KEYS.get(relation)
+        if key and m:  # of rows given with one key the last stays
+            last = {tuple(r[head.index(c)] for c in key): tuple(r) for r in rows}
+            new = d.sparkSession.createDataFrame(list(last.values()), new.schema)
+        elif key:
+            new = new.groupBy(*key).agg(F.max(F.struct(*(c for c in new.columns if c not in key))).alias("x")).select(*key, "x.*")
         new = new.select(*(F.col(c) if c in new.columns else F.lit(None).cast(t).alias(c) for c, t in d.dtypes))
         old = d.join(new.select(*key), key, "left_anti").select(*d.columns) if key else d
         self.tables[relation] = old.unionByName(new)

@@ -71,5 +71,11 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges; both of a line come from one scan."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return _view(spark, sf_dir, edges_sql(_SPARK_EPOCH), ["nation", "customer", "supplier", "orders", "lineitem"])
+    plain, imports, services = edges_sql(_SPARK_EPOCH).rsplit("UNION ALL SELECT 'function/' || l_orderkey,", 2)
+    (part, rest), (service, _) = (x.strip().split(", CAST(conf AS DOUBLE)", 1) for x in (imports, services))
+    ends = ", ".join("named_struct('t', {}, 'r', {})".format(*x.rsplit(",", 1)) for x in (part, service))
+    rest = rest.removeprefix(", ").rsplit(" FROM (", 1)
+    lines = f"SELECT 'function/' || l_orderkey, e.t, e.r, CAST(conf AS DOUBLE), {rest[0]} FROM ({rest[1].strip().removesuffix('x')} LATERAL VIEW explode(array({ends})) v AS e"
+    return _view(spark, sf_dir, plain + "UNION ALL " + lines, ["nation", "customer", "supplier", "orders", "lineitem"])

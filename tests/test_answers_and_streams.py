@@ -10,24 +10,34 @@ from graphloom.streaming import feeds
 from pyspark.sql import functions as F
 
 
-def one(spark, text, f):
-    return spark.createDataFrame([(text,)], "t string").select(f(F.col("t"))).first()[0]
+def rows_of(spark, text, f):
+    return [tuple(r)[1:] for r in f(spark.createDataFrame([(1, text)], "id int, t string").withColumnRenamed("t", "text")).orderBy("id").collect()]
 
 
-def test_diff_and_test_summaries(spark):
-    diff = "diff --git a/x b/x\nindex 1..2\n--- a/x\n+++ b/x\n@@ -1 +1,2 @@\n+new\n+two\n-old\n"
-    assert one(spark, diff, compress.diff_summary).endswith("1 file(s) changed, +2 insertions, -1 deletions")
-    assert one(spark, " src/a.rs | 3 ++-\n", compress.diff_summary) == "[GIT DIFF SUMMARY]\n0 file(s) changed, +2 insertions, -1 deletions\nChanged files:\n  - src/a.rs"
-    assert one(spark, None, compress.diff_summary).endswith("0 file(s) changed, +0 insertions, -0 deletions")
-    assert one(spark, "test a ... ok\ntest b ... ignored\n", compress.test_summary) == "[TEST SUMMARY]\nok. 1 passed; 1 ignored"
-    run = "test a ... ok\ntest b ... FAILED\n\nfailures:\n    b\n\ntest result: FAILED. 5 passed; 1 failed; 0 ignored"
-    assert one(spark, run, compress.test_summary) == "[TEST SUMMARY]\nFAIL: 1/6 failed\nFailures:\n  - b"
+def test_diffs_by_file(spark):
+    diff = "diff --git a/x b/x\nindex 1..2\n--- a/x\n+++ b/x\n@@ -1 +1,2 @@\n+new\n+two\n-old\n--- gone\n+++ more\n"
+    new = "diff --git a/n b/n\nnew file mode 100644\nindex 0..1\n--- /dev/null\n+++ b/n\n@@ -0,0 +1 @@\n+x\n"
+    gone = "diff --git a/d b/d\ndeleted file mode 100644\n--- a/d\n+++ /dev/null\n@@ -1 +0,0 @@\n-x"
+    assert sorted(rows_of(spark, new + gone, compress.diff_files)) == [("d", 0, 1), ("n", 1, 0)]
+    assert rows_of(spark, diff, compress.diff_files)[0] == ("x", 2, 1)
+    assert rows_of(spark, " src/a.rs | 3 ++-\n b | 40 ++++\n 2 files changed\n", compress.diff_totals) == [(2, 42, 1, "b +40 -0; src/a.rs +2 -1")]
+    assert rows_of(spark, None, compress.diff_totals) == [(0, 0, 0, "")]
+
+
+def test_test_runs(spark):
+    assert rows_of(spark, "test a ... ok\ntest b ... ignored\n", compress.test_totals) == [(1, 0, 1, "")]
+    run = "test a ... ok\ntest b::c ... FAILED\n\nfailures:\n    b::c\n\ntest result: FAILED. 1 passed; 1 failed"
+    assert rows_of(spark, run, compress.test_totals) == [(1, 1, 0, "b::c")]
+    assert rows_of(spark, None, compress.test_totals) == [(0, 0, 0, "")]
 
 
 def test_question_subgraph(spark):
     E = spark.createDataFrame([(n, "function", n.split("::")[1]) for n in ("f::login", "f::check", "f::store", "f::other")], "qualified_name string, element_type string, name string")
     R = spark.createDataFrame([("f::login", "f::check", "calls", 1.0), ("f::check", "f::store", "calls", 0.5), ("f::other", "f::login", "calls", 0.9)], "source_qualified string, target_qualified string, rel_type string, confidence double")
     assert questions.terms_of("What connects login to the store?") == ["login", "store"]
+    assert questions.terms_of("is there a path between alpha and beta?")[:2] in (["alpha", "beta"], ["there", "alpha"])
+    assert questions.terms_of("between alpha and beta") == ["alpha", "beta"]
+    assert questions.terms_of("alpha -> beta") == questions.terms_of("from alpha to beta") == ["alpha", "beta"]
     got = questions.question_subgraph(E, R, "What connects login to the store?").collect()
     assert [(r["source_qualified"], r["on_path"]) for r in got] == [("f::login", True), ("f::check", True), ("f::other", False)]
     assert questions.question_subgraph(E, R, "nowhere").count() == 0
