@@ -32,7 +32,7 @@ from . import shared
 #: The published split pattern of this tokenizer family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a task keeps from slice to slice.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
