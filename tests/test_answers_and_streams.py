@@ -35,7 +35,7 @@ def test_question_subgraph(spark):
     E = spark.createDataFrame([(n, "function", n.split("::")[1]) for n in ("f::login", "f::check", "f::store", "f::other")], "qualified_name string, element_type string, name string")
     R = spark.createDataFrame([("f::login", "f::check", "calls", 1.0), ("f::check", "f::store", "calls", 0.5), ("f::other", "f::login", "calls", 0.9)], "source_qualified string, target_qualified string, rel_type string, confidence double")
     assert questions.terms_of("What connects login to the store?") == ["login", "store"]
-    assert questions.terms_of("is there a path between alpha and beta?")[:2] in (["alpha", "beta"], ["there", "alpha"])
+    assert questions.terms_of("is there a path between alpha and beta?") == ["alpha", "beta"]
     assert questions.terms_of("between alpha and beta") == ["alpha", "beta"]
     assert questions.terms_of("alpha -> beta") == questions.terms_of("from alpha to beta") == ["alpha", "beta"]
     got = questions.question_subgraph(E, R, "What connects login to the store?").collect()
