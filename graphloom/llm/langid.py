@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,9 +40,17 @@ MAX_DOCS, MAX_CHARS = 600, 30_000
 ORDERS = (5, 4, 3, 2, 1)
 STEP = math.log(0.4)
 UNKNOWN = "und"
-#: Characters that count as alphanumeric but are neither letters nor digits, such as fractions.
-_NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERIC}]+")
+#: Letters and what else counts as alphanumeric but no digit, such as fractions; ``letters`` parts those.
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def letters(word: str) -> list[str]:
+    """The stretches of letters (Unicode category L) of a word."""
+    return "".join(c if c.isalpha() else " " for c in word).split()
+
+
+def words_of(text: str) -> list[str]:
+    return [part for w in _WORD.findall(text.lower()) for part in ([w] if w.isalpha() else letters(w))]
 
 
 @dataclass(frozen=True)
@@ -92,7 +99,7 @@ def train(texts: list[str], langs: list[str]) -> Model:
     words = {n: Counter() for n in names}
     grams = {n: Counter() for n in names}
     for text, lang in zip(texts, langs, strict=True):
-        words[lang].update(_WORD.findall(text.lower()))
+        words[lang].update(words_of(text))
     for n in names:
         for w, c in words[n].items():
             marked = f"^{w}$"
@@ -157,12 +164,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             codes, fresh, owner = [np.zeros(0, np.int64)], [], []
             for text in batch.column("text"):
                 ids = []
-                for w in _WORD.findall((text.as_py() or "").lower()):
-                    k = cache.get(w)
-                    if k is None:
-                        k = cache[w] = len(cache)
-                        fresh.append(w)
-                    ids.append(k)
+                for word in _WORD.findall((text.as_py() or "").lower()):
+                    k = cache.get(word)
+                    if k is not None:
+                        ids.append(k)
+                        continue
+                    for w in [word] if word.isalpha() else letters(word):
+                        k = cache.get(w)
+                        if k is None:
+                            k = cache[w] = len(cache)
+                            fresh.append(w)
+                        ids.append(k)
                 codes.append(np.array(ids, np.int64))
                 owner.append(len(ids))
             if fresh and size:
