@@ -144,17 +144,26 @@ def order_of(measured: Iterable[tuple[str, float, int]]) -> list[str]:
     return [x[-1] for x in sorted((-n / max(seconds, 1e-9), seconds, name) for name, seconds, n in measured)]
 
 
-def plan_order(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
-    """The order of the rules by what they cost and reject on a few texts of the first partitions; only those sums reach the driver."""
+def plan_order(docs: DataFrame, rows: int = SAMPLE_ROWS, tasks: int = 4) -> list[str]:
+    """The order of the rules by what they cost and reject on the first texts of a few partitions.
+
+    Each task stops reading after its part of ``rows``, and no more tasks run
+    than give ``tasks`` answers; only times and counts reach the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, seconds, n = zip(*costs(x.as_py() for x in batch.column("text")), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(seconds), pa.array(n, pa.int64())], ["name", "seconds", "n"])
-
-    sums = docs.select("text").limit(rows).mapInArrow(run, "name string, seconds double, n long").groupBy("name").agg(F.sum("seconds").alias("seconds"), F.sum("n").alias("n"))
-    found = {r["name"]: (r["name"], r["seconds"], r["n"]) for r in sums.collect()}  # a row for each rule
-    return order_of(found.get(r.name, (r.name, 0.0, 0)) for r in RULES)
+            if batch.num_rows:
+                names, seconds, n = zip(*costs(x.as_py() for x in batch.column("text").slice(0, rows // tasks)), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(seconds), pa.array(n, pa.int64())], ["name", "seconds", "n"])
+                return
+
+    found = docs.select("text").mapInArrow(run, "name string, seconds double, n long").limit(tasks * len(RULES)).collect()
+    sums = {r.name: [0.0, 0] for r in RULES}
+    for r in found:
+        sums[r["name"]][0] += r["seconds"]
+        sums[r["name"]][1] += r["n"]
+    return order_of((name, seconds, n) for name, (seconds, n) in sums.items())
 
 
 def first_failure(m: Measures, order: list[Rule]) -> str | None:
