@@ -6,9 +6,11 @@ lower-casing A-Z; a null text counts as empty.
 1. Every row gives a 64-bit hash and the SHA-256 of its normalised text;
    these short keys are written once to the shared folder.
 2. The directory: starting from one bucket, a bucket with more distinct
-   hashes than ``CAPACITY`` splits on its next hash bit and the directory
+   hashes than it holds splits on its next hash bit and the directory
    doubles when the bucket's depth reached its own, as in extendible hashing.
-   The histogram it works on has at most ``2**MAX_DEPTH`` entries.
+   A bucket holds ``CAPACITY`` hashes, or on large tables as many as leave
+   about ``SLOTS`` buckets, so that the directory stays small enough to
+   broadcast and none of its buckets is left overfull at any size.
 3. Owner tasks: rows whose hash occurs once need no comparison. Of the others
    the texts are fetched and grouped by hash and bytes, copies combining
    before they are shuffled; different texts with one hash form a chain.
@@ -31,9 +33,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Distinct hashes in a bucket before it splits, and the most bits the directory may use.
-CAPACITY = 100_000
-MAX_DEPTH = 16
+#: Distinct hashes in a bucket before it splits, and the buckets from which on the capacity grows instead.
+CAPACITY = 8192
+SLOTS = 1 << 14
 
 
 def normalised(text: Column) -> Column:
@@ -76,7 +78,7 @@ def _slot(h: Column, bits: int) -> Column:
 
 
 def _with_bucket(rows: DataFrame, slots: list[tuple[int, int]]) -> DataFrame:
-    """Add the bucket of h: the directory, at most 2**MAX_DEPTH numbers, is broadcast."""
+    """Add the bucket of h: the directory, about 16 * SLOTS numbers at most, is broadcast."""
     bits = (len(slots) - 1).bit_length()
     if not bits:
         return rows.withColumn("bucket", F.lit(0))
@@ -93,11 +95,12 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, hash_of: Column | Non
     keys = shared.written(base.select("doc_id", *extra, h.alias("h"), F.unhex(F.sha2(norm, 256)).alias("digest")), "dedup-keys")
     heads = keys.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
     total = keys.count()
-    bits = min(MAX_DEPTH, max(0, (max(total, 1) // capacity).bit_length() + 3)) if total > capacity else 0
+    capacity = max(capacity, total // SLOTS)
+    bits = (total // capacity).bit_length() + 3 if total > capacity else 0
     histogram = {}
     if bits:
         rows = keys.select("h").distinct().groupBy(_slot(F.col("h"), bits).alias("slot")).agg(F.count("*").alias("n"))
-        histogram = {r["slot"]: r["n"] for r in rows.collect()}  # at most 2**MAX_DEPTH rows
+        histogram = {r["slot"]: r["n"] for r in rows.collect()}  # at most 16 * SLOTS rows
     slots = directory(histogram, bits, capacity)
     # heads carries a digest only where it is the only one of its hash
     singles = keys.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.max(F.hex("digest")).alias("hex")).where("n = 1")
