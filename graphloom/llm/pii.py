@@ -8,13 +8,20 @@ surrogate keeps type and format: letters stay letters of their case and
 script, digits digits; the country code of a phone number, the top-level
 domain, a secret's prefix and a title stay; octets remain octets, a valid card
 number remains valid, and a name after a title gets a given name of that
-gender in its own script.
+gender (of either after a title such as Dr) in its own script.
+
+A person is known by gender, given and family name, so "Mrs. Ann Lee", "Ms Ann
+Lee" and, later in the same text, "Ann Lee" without a title get one name. A
+family name has a surrogate of its own, which "Mrs. Lee" shares; persons of one
+family differ by their given names. Names that no title introduces in the text,
+and lone given or family names, are left.
 
 Distinctness is checked over the whole corpus: the distinct spellings are
 gathered (counted before they are shuffled), and entities with a spelling whose
 surrogate equals another entity's surrogate, or any entity, try again with the next attempt
 number until none is left. Only the few entities with an attempt above 0 are
-joined back to the texts that hold them.
+joined back to the texts that hold them. Of persons the given names are compared
+within a family, and the family names as entities.
 
 Defined results: null texts stay null, empty texts empty; texts without
 entities are unchanged; repeated rows are treated alike; extra columns pass
@@ -24,6 +31,7 @@ through whatever their names; long texts are searched whole.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +46,7 @@ MAX_ATTEMPTS = 32
 TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"],
     "m": ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"],
+    "n": ["Dr", "Dra", "Prof"],
 }
 GIVEN = {
     ("f", "latin"): ["Anna", "Clara", "Elena", "Ida", "Julia", "Lena", "Marta", "Nora", "Olga", "Paula", "Rita", "Sofia", "Tessa", "Vera", "Wanda", "Yara"],
@@ -53,7 +62,9 @@ SYLLABLES = {
     "greek": ["βα", "γα", "δα", "ζα", "θα", "κα", "λα", "μα", "να", "πα", "ρα", "σα", "τα", "φα", "χα", "ψα"],
 }
 
-_NAME = r"\p{Lu}[\p{Ll}\p{Lu}'’-]*\p{Ll}"
+GIVEN.update({("n", s): GIVEN["f", s] + GIVEN["m", s] for s in SYLLABLES})
+_TITLE = "(?:" + "|".join(t for of in TITLES.values() for t in of) + r")\.?"
+_NAME = r"\p{Lu}(?:[\p{Ll}\p{Lu}-]|['’](?!s(?!\p{L})))*\p{Ll}"  # a genitive's 's is no part of it
 _SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']? {0,3}[=:] {0,3}[\"']?"
 #: A calling code by its digits alone (assigned codes of one and two digits, else three), however it is set off.
 _SEP = "[^0-9]*"
@@ -70,19 +81,29 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(TITLES['f'] + TITLES['m'])})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME})?",
 }
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
 
 def kind(e: Column) -> Column:
     """The type of an entity: the first pattern that takes it whole."""
-    out = F.lit("secret")
+    out = F.when(F.regexp_like(e, F.lit(f"^{_NAME}$")), "family").otherwise("secret")
     for name in reversed(PATTERNS):
         out = F.when(F.regexp_like(e, F.lit(f"^(?:{PATTERNS[name]})$")), name).otherwise(out)
     return out
 
 
+def _gender(e: Column) -> Column:
+    """f, m or n by the title of a name."""
+    title = F.regexp_replace(F.substring_index(e, " ", 1), r"\.", "")
+    return F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m").otherwise("n")
+
+
+def _family_of(e: Column) -> Column:
+    return F.substring_index(e, " ", -1)
+
+
 def canonical(e: Column, k: Column) -> Column:
     """What two spellings of one entity have in common."""
     digits = F.regexp_replace(e, "[^0-9]", "")
@@ -92,7 +113,7 @@ def canonical(e: Column, k: Column) -> Column:
         .when(k.isin("phone", "card", "ssn"), digits)
         .when(k == "iban", F.regexp_replace(e, " ", ""))
         .when(k == "secret", F.regexp_replace(e, rf"^{_SECRET}", ""))
-        .when(k == "name", F.regexp_replace(e, r"^(\S+?)\.? ", "$1 "))
+        .when(k == "name", F.concat(_gender(e), F.regexp_replace(e, r"^\S+", "")))
         .otherwise(e)
     )
 
@@ -168,20 +189,34 @@ def _card(e: Column, made: Column) -> Column:
     return F.when(valid, F.concat(head, check.cast("string"))).otherwise(made)
 
 
-def _name(e: Column, noise: Column) -> Column:
+def _by_script(word: Column, of: Callable[[str], Column]) -> Column:
+    return F.when(F.regexp_like(word, F.lit(r"\p{IsCyrillic}")), of("cyrillic")).when(F.regexp_like(word, F.lit(r"\p{IsGreek}")), of("greek")).otherwise(of("latin"))
+
+
+def _pick(pool: list[str], n: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, pool)), n % len(pool) + 1)
+
+
+def _family(word: Column, noise: Column) -> Column:
+    """A family name of five syllables in the word's script."""
+    made = _by_script(word, lambda s: F.array_join(F.transform(F.sequence(F.lit(2), F.lit(6)), lambda k: _pick(SYLLABLES[s], _at(noise, k))), ""))
+    return F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, F.lit(2), F.length(made)))
+
+
+def _given(e: Column, noise: Column, attempt: Column) -> Column:
+    """A given name of the title's gender; after every three attempts of a large family one more, joined by a hyphen."""
+
+    def one(s: str) -> Column:
+        places = F.sequence(F.lit(1), 1 + (attempt / 3).cast("int"))
+        pick = lambda k: F.when(_gender(e) == "f", _pick(GIVEN["f", s], _at(noise, k))).when(_gender(e) == "m", _pick(GIVEN["m", s], _at(noise, k))).otherwise(_pick(GIVEN["n", s], _at(noise, k)))
+        return F.array_join(F.transform(places, pick), "-")
+
+    return _by_script(_family_of(e), one)
+
+
+def _name(e: Column, given: Column, family: Column) -> Column:
     title = F.substring_index(e, " ", 1)
-    bare = F.regexp_replace(title, r"\.", "")
-    gender = F.when(bare.isin(TITLES["f"]), "f").otherwise("m")
-    script = F.when(F.regexp_like(e, F.lit(r" [\p{IsCyrillic}]")), "cyrillic").when(F.regexp_like(e, F.lit(r" [\p{IsGreek}]")), "greek").otherwise("latin")
-    given, family = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for (g, s), names in GIVEN.items():
-        given = F.when((gender == g) & (script == s), F.element_at(F.array(*map(F.lit, names)), _at(noise, F.lit(1)) % len(names) + 1)).otherwise(given)
-    for s, parts in SYLLABLES.items():
-        pool = F.array(*map(F.lit, parts))
-        made = F.concat(*(F.element_at(pool, _at(noise, F.lit(k)) % len(parts) + 1) for k in range(2, 7)))
-        family = F.when(script == s, F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, F.lit(2), F.length(made)))).otherwise(family)
-    both = F.size(F.split(e, " ")) > 2
-    return F.when(both, F.concat_ws(" ", title, given, family)).otherwise(F.concat_ws(" ", title, family))
+    return F.when(F.size(F.split(e, " ")) > 2, F.concat_ws(" ", title, given, family)).otherwise(F.concat_ws(" ", title, family))
 
 
 def _steps(key: str, attempt) -> list:
@@ -207,15 +242,16 @@ def _steps(key: str, attempt) -> list:
         last = F.when(k == "email", F.length(e) - F.length(F.substring_index(e, ".", -1))).otherwise(F.length(e))
         hexed = k.isin("hex", "secret") & F.regexp_like(c, F.lit("^[0-9a-f]+$"))
         noise = _noise(key, k, F.concat(c, F.lit("0123456789")), attempt(e))
-        return F.struct(e.alias("e"), k.alias("k"), c.alias("c"), noise.alias("noise"), ahead.alias("ahead"), last.alias("last"), hexed.alias("hexed"))
+        of = F.when(k == "name", _noise(key, F.lit("family"), F.concat(_family_of(e), F.lit("0123456789")), attempt(_family_of(e))))
+        return F.struct(e.alias("e"), k.alias("k"), c.alias("c"), noise.alias("noise"), ahead.alias("ahead"), last.alias("last"), hexed.alias("hexed"), of.alias("of"), attempt(e).alias("attempt"))
 
     def with_like(x: Column) -> Column:
         made = _like(x["e"], x["noise"], x["ahead"], x["last"], x["hexed"])
-        return F.struct(*(x[n].alias(n) for n in ("e", "k", "c", "noise")), F.when(~x["k"].isin("ip", "name"), made).alias("like"))
+        return F.struct(*(x[n].alias(n) for n in ("e", "k", "c", "noise", "of", "attempt")), F.when(~x["k"].isin("ip", "name", "family"), made).alias("like"))
 
     def with_surrogate(x: Column) -> Column:
         e, k, like = x["e"], x["k"], x["like"]
-        made = F.when(k == "ip", _octets(e, x["noise"])).when(k == "name", _name(e, x["noise"])).when(k == "card", _card(e, like)).otherwise(like)
+        made = F.when(k == "ip", _octets(e, x["noise"])).when(k == "name", _name(e, _given(e, x["noise"], x["attempt"]), _family(_family_of(e), x["of"]))).when(k == "family", _family(e, x["noise"])).when(k == "card", _card(e, like)).otherwise(like)
         return F.struct(e.alias("e"), k.alias("k"), x["c"].alias("c"), made.alias("s"))
 
     return [with_kind, with_canonical, with_noise, with_like, with_surrogate]
@@ -232,30 +268,65 @@ def _table(found: DataFrame, steps: list) -> DataFrame:
     return found.withColumn("x", F.element_at(x, 1))
 
 
-def matches(text: Column) -> Column:
-    """All entities of a text, in order; the costly pattern runs only where a cheap test says it may match."""
+def _titled(text: Column) -> Column:
+    """The entities of a text but for untitled mentions; the costly pattern runs only where a cheap test says it may match."""
     may = F.regexp_like(text, F.lit("[0-9]|@"))
     for title in sorted({t for of in TITLES.values() for t in of}):
         may = may | text.contains(title)
     return F.when(may, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _full_names(found: Column) -> Column:
+    return F.filter(found, lambda e: F.regexp_like(e, F.lit(f"^{_TITLE} {_NAME} {_NAME}$")))
+
+
+def _bare(e: Column) -> Column:
+    return F.regexp_replace(e, r"^\S+ ", "")
+
+
+def with_matches(docs: DataFrame, pattern: str, raw: str, found: str) -> DataFrame:
+    """Add three columns: the pattern that finds the text's untitled mentions too (null if it has no full
+    name), the matches in order, and what each stands for, an untitled mention standing for the first titled one."""
+    docs = docs.withColumn(raw, _titled(F.col("text")))
+    persons = F.array_distinct(F.transform(_full_names(F.col(raw)), _bare))
+    ends = r")(?![\p{L}\p{N}]|-\p{L})"
+    docs = docs.withColumn(found, F.col(raw)).withColumn(pattern, F.array_join(persons, "|"))
+    docs = docs.withColumn(pattern, F.when(F.col(pattern) != "", F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), pattern, F.lit(ends))))
+    docs = docs.withColumn(raw, F.when(F.col(pattern).isNull(), F.col(found)).otherwise(F.regexp_extract_all("text", F.col(pattern), F.lit(0))))
+    whole = lambda e: F.coalesce(F.when(F.regexp_like(e, F.lit(f"^{_NAME} {_NAME}$")), F.get(F.filter(F.col(found), lambda t: _bare(t) == e), F.lit(0))), e)
+    return docs.withColumn(found, F.when(F.col(pattern).isNull(), F.col(found)).otherwise(F.transform(raw, whole)))
+
+
+def _and_families(found: Column) -> Column:
+    """The entities with the family names among them."""
+    names = F.filter(found, lambda e: F.regexp_like(e, F.lit(f"^{_TITLE} {_NAME}( {_NAME})?$")))
+    return F.concat(found, F.transform(names, _family_of))
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """The distinct spellings of all texts with their kind and canonical form, and the count of each."""
-    found = docs.select(F.explode(matches(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
+    """The distinct spellings of all texts with their kind and canonical form, and the count of each; family names besides."""
+    found = with_matches(docs.select("text"), "pattern", "raw", "found").select(F.explode(_and_families(F.col("found"))).alias("entity"))
+    found = found.groupBy("entity").agg(F.count("*").alias("n"))
     found = _table(found, _steps("", lambda e: F.lit(0))[:2])
     return found.select(F.col("x.k").alias("kind"), F.col("x.c").alias("canonical"), "entity", "n")
 
 
+def _comparable(e: Column, k: Column, made: Column) -> Column:
+    """What must differ: the canonical surrogate; of a person the given one within the true family."""
+    person = F.concat_ws(" ", _gender(e), F.get(F.split(made, " "), F.lit(1)), _family_of(e))
+    return F.when(k == "name", person).otherwise(canonical(made, k))
+
+
 def attempts(known: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canonical, attempt) of the entities whose attempt is above 0 once no two surrogates meet.
 
     known: a written table of the distinct spellings; each of them is made and compared.
     """
+    known = known.where("kind <> 'name' or size(split(entity, ' ')) > 2")  # a name without a given one follows its family's
     state = known.select("kind", "canonical", "entity", F.lit(0).alias("attempt"))
     own = known.select("kind", F.col("canonical").alias("made"))
     for _ in range(MAX_ATTEMPTS):
-        made = _table(state, _steps(key, lambda e: F.col("attempt"))).withColumn("made", canonical(F.col("x.s"), F.col("kind"))).drop("x")
+        made = _table(state, _steps(key, lambda e: F.col("attempt"))).withColumn("made", _comparable(F.col("entity"), F.col("kind"), F.col("x.s"))).drop("x")
         now = shared.written(made, "pii-attempts")
         taken = now.join(own, ["kind", "made"], "left_semi").select("kind", "canonical")
         of_entity = now.select("kind", "made", "canonical", "attempt").distinct()
@@ -271,19 +342,24 @@ def attempts(known: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with every entity of ``text`` replaced, in the same columns."""
+def _own(columns: list[str], *names: str) -> list[str]:
+    """``names`` made longer than any of the caller's."""
+    mine = max((len(c) for c in columns), default=0) * "_"
+    return [f"{mine}{c}" for c in names]
+
+
+def replace(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:
+    """``docs`` with every entity of ``text`` replaced, in the same columns, and their number in ``count`` if one is named."""
     columns = docs.columns
-    mine = max((len(c) for c in columns), default=0) * "_"  # longer than any name of the caller's
-    found_c, mark_c, late_c = (f"{mine}{c}" for c in ("found", "mark", "late"))
+    found_c, raw_c, pattern_c, mark_c, late_c = _own(columns, "found", "raw", "pattern", "mark", "late")
     known = shared.written(entities(docs), "pii-entities")
     late = shared.written(attempts(known, key), "pii-late")
-    found = matches(F.col("text"))
     n = late.count()
     if n:
         # the texts that hold such an entity, by the text's hash: their map of later attempts
         mark = F.xxhash64("text")
-        each = docs.select(mark.alias(mark_c), F.explode(found).alias("entity")).distinct()
+        each = with_matches(docs.select("text", mark.alias(mark_c)), pattern_c, raw_c, found_c)
+        each = each.select(mark_c, F.explode(_and_families(F.col(found_c))).alias("entity")).distinct()
         each = _table(each, _steps(key, lambda e: F.lit(0))[:2]).select(mark_c, "entity", F.col("x.k").alias("kind"), F.col("x.c").alias("canonical"))
         small = F.broadcast(late) if n * 128 <= shared.BROADCAST_BYTES else late
         held = each.join(small, ["kind", "canonical"]).groupBy(mark_c).agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias(late_c))
@@ -293,14 +369,17 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
         attempt = lambda e: F.coalesce(F.col(late_c)[e], F.lit(0))
     else:
         attempt = lambda e: F.lit(0)
-    docs = docs.withColumn(found_c, found)
+    docs = with_matches(docs, pattern_c, raw_c, found_c)
     for step in _steps(key, attempt):
         docs = docs.withColumn(found_c, F.transform(found_c, step))
-    whole = F.array_join(F.zip_with(F.split("text", ANY, -1), found_c, lambda p, x: F.concat(p, F.coalesce(x["s"], F.lit("")))), "")
-    return docs.withColumn("text", F.when(F.size(found_c) > 0, whole).otherwise(F.col("text"))).select(*columns)
+    new = F.zip_with(raw_c, found_c, lambda r, x: F.when(r != x["e"], _bare(x["s"])).otherwise(x["s"]))
+    pieces = F.when(F.col(pattern_c).isNull(), F.split("text", ANY, -1)).otherwise(F.split("text", F.col(pattern_c), -1))
+    whole = F.array_join(F.zip_with(pieces, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    text = F.when(F.size(raw_c) > 0, whole).otherwise(F.col("text")).alias("text")
+    more = [F.coalesce(F.greatest(F.size(raw_c), F.lit(0)), F.lit(0)).cast("long").alias(count)] if count else []
+    return docs.select(*(text if c == "text" else docs[c] for c in columns), *more)
 
 
 def report(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, the new text and how many entities it replaced, of every row."""
-    count = F.size(matches(F.coalesce("text", F.lit("")))).cast("long")
-    return replace(docs.select("doc_id", "text", count.alias("n_entities")), key)
+    return replace(docs.select("doc_id", "text"), key, count="n_entities")

@@ -41,6 +41,14 @@ def test_exact_dedup_chains_colliding_hashes(spark, texts):
             assert rows[i]["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_index_has_no_overfull_bucket(spark):
+    d = documents(spark, [f"t{k % 900}" for k in range(1000)])
+    keys, index = exact_dedup.build_index(d, capacity=20)
+    sizes = [r["count"] for r in index.groupBy("bucket").count().collect()]
+    assert len(sizes) > 45 and max(sizes) <= 20 and sum(sizes) == 900
+    assert index.groupBy("h").agg(F.countDistinct("bucket").alias("n")).where("n > 1").isEmpty()
+
+
 def test_directory_doubles_only_where_full():
     slots = exact_dedup.directory({0: 50, 1: 50, 7: 5}, 3, 60)
     assert len(slots) == 8 and slots[0] != slots[1] and slots[4] == slots[7]
@@ -203,6 +211,17 @@ def test_spellings_of_one_phone_number_get_one_surrogate(spark):
     assert {r["entity"] for r in pii.entities(d).collect()} == set(t)
 
 
+def test_mentions_of_a_person_agree(spark):
+    t = ["Mrs. Ann Lee met Mrs. Lee. Then Ann Lee left, Ms Ann Lee's dog too.", "Dr Bob Ray, Bob Ray", "Ann Lee untitled", "Frau Stein", *(f"Mrs. {c}ab Lee" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+    got = [r["text"] for r in pii.replace(documents(spark, t)).orderBy("doc_id").collect()]
+    given, family = got[0].split()[1:3]
+    assert got[0] == f"Mrs. {given} {family} met Mrs. {family}. Then {given} {family} left, Ms {given} {family}'s dog too."
+    assert "Lee" not in got[0] and got[2] == t[2] and got[3] != t[3]
+    name = got[1].removeprefix("Dr ").split(", ")
+    assert name[0] == name[1] != "Bob Ray"
+    assert len(set(got[4:])) == 26 and all(x.split()[2] == family for x in got[4:])
+
+
 def test_quality_counts_and_order(spark):
     d = documents(spark, [None, "a b c d a b c", "x\nx\n y#\n", ("good words here to read " + " ".join(f"v{k}" for k in range(60))), "!! " * 60])
     got = {r["doc_id"]: r for r in quality.apply_rules(d).collect()}
