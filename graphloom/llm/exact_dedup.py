@@ -82,7 +82,8 @@ def _with_bucket(rows: DataFrame, slots: list[tuple[int, int]]) -> DataFrame:
     bits = (len(slots) - 1).bit_length()
     if not bits:
         return rows.withColumn("bucket", F.lit(0))
-    table = rows.sparkSession.createDataFrame([(s, b) for s, (b, _) in enumerate(slots)], "slot int, bucket int")
+    buckets = F.split(F.lit(",".join(str(b) for b, _ in slots)), ",")
+    table = rows.sparkSession.range(1).select(F.posexplode(buckets).alias("slot", "b")).select("slot", F.col("b").cast("int").alias("bucket"))
     return rows.withColumn("slot", _slot(F.col("h"), bits)).join(F.broadcast(table), "slot").drop("slot")
 
 
@@ -93,18 +94,17 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, hash_of: Column | Non
     h = F.xxhash64(norm) if hash_of is None else hash_of
     base = docs.select("doc_id", "text", *extra)
     keys = shared.written(base.select("doc_id", *extra, h.alias("h"), F.unhex(F.sha2(norm, 256)).alias("digest")), "dedup-keys")
-    heads = keys.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
-    total = keys.count()
+    heads = keys.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.max(F.hex("digest")).alias("hex"))
+    heads = shared.written(heads, "dedup-heads")
+    total = heads.count()
     capacity = max(capacity, total // SLOTS)
     bits = (total // capacity).bit_length() + 3 if total > capacity else 0
     histogram = {}
     if bits:
-        rows = keys.select("h").distinct().groupBy(_slot(F.col("h"), bits).alias("slot")).agg(F.count("*").alias("n"))
+        rows = heads.groupBy(_slot(F.col("h"), bits).alias("slot")).agg(F.count("*").alias("n"))
         histogram = {r["slot"]: r["n"] for r in rows.collect()}  # at most 16 * SLOTS rows
     slots = directory(histogram, bits, capacity)
-    # heads carries a digest only where it is the only one of its hash
-    singles = keys.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.max(F.hex("digest")).alias("hex")).where("n = 1")
-    singles = singles.select("h", F.unhex("hex").alias("digest"), "keep_id", F.col("n").alias("group_size"))
+    singles = heads.where("n = 1").select("h", F.unhex("hex").alias("digest"), "keep_id", F.col("n").alias("group_size"))
     repeated = shared.written(heads.where("n > 1").select("h"), "dedup-repeated")
     few = repeated.count() * 16 <= shared.BROADCAST_BYTES
     wanted = F.broadcast(repeated) if few else repeated
