@@ -72,10 +72,10 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return truth.select("query_id").distinct().join(hit, "query_id", "left").agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("recall"))
 
 
-def text_blob(E: DataFrame, most: int = 2000) -> DataFrame:
-    """The text that is embedded, and its hash."""
+def text_blob(E: DataFrame) -> DataFrame:
+    """The whole text that is embedded, and its hash."""
     blob = F.concat_ws("\n", F.concat_ws(" ", "element_type", "name"), "file_path", F.concat(F.lit("parent "), "parent_qualified"), "metadata")
-    return E.select("qualified_name", F.substring(blob, 1, most).alias("blob")).withColumn("content_hash", F.sha2("blob", 256))
+    return E.select("qualified_name", blob.alias("blob")).withColumn("content_hash", F.sha2("blob", 256))
 
 
 def hashing_embedder(dim: int = 64):

@@ -137,7 +137,6 @@ _add("f6_explain_node", lambda E, R: A.node_explanation(R, START), f"SELECT CASE
 _METHOD = "coalesce(json_extract_string(metadata, '$.resolution_method'), 'name')"
 _LABEL = f"CASE WHEN {_METHOD} IN ('typed', 'name_file_hint') THEN 'EXTRACTED' WHEN {_METHOD} = 'unresolved' OR confidence < 0.6 THEN 'AMBIGUOUS' ELSE 'INFERRED' END"
 _add("f7_confidence", lambda E, R: A.confidence_distribution(R), f"SELECT label, n, round(100.0 * n / sum(n) OVER (), 6) AS percent FROM (SELECT {_LABEL} AS label, count(*) AS n FROM edges GROUP BY 1)")
-_add("f8_service_graph", lambda E, R: A.service_graph(R).where("call_count > 1"), "SELECT source_qualified, target_qualified, count(*) AS call_count, CAST(1 AS BIGINT) AS n_protocols FROM edges WHERE rel_type = 'service_calls' GROUP BY 1, 2 HAVING count(*) > 1")
 _METRIC = "event_type AS tool_name, CAST(round(value) AS BIGINT) - 50 AS tokens_saved, value - 50 AS savings_percent, event_id % 5 AS correct, event_id % 7 AS total"
 _raw("f9_metrics", lambda s, d: A.metrics_summary(load(s, d, "events").selectExpr(*(x.strip() for x in _METRIC.split(", ")))),
      f"""SELECT tool_name, count(*) AS n, coalesce(CAST(sum(CASE WHEN tokens_saved > 0 THEN tokens_saved END) AS BIGINT), 0) AS total_saved, round(avg(CASE WHEN savings_percent > 0 THEN savings_percent END), 6) AS avg_positive_percent,
@@ -188,7 +187,6 @@ _COS = "round(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / s
 _raw("i4_k_nearest", lambda s, d: V.k_nearest(load(s, d, "embeddings"), load(s, d, "embeddings").where("vec_id = 0").first()["embedding"], 50).select("vec_id", "cosine"), "SELECT e.vec_id, " + _COS.format(a="e.embedding", b="q.embedding") + " AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY cosine DESC, vec_id LIMIT 50")
 _raw("i4_k_nearest_of_set", lambda s, d: V.k_nearest_of_set(load(s, d, "embeddings"), load(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")).select("query_id", "vec_id", "rank"),
      "SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INT) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, " + _COS.format(a="e.embedding", b="q.embedding") + " AS cosine FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q) QUALIFY rank <= 10")
-_e("i2_text_blob", lambda E: V.text_blob(E.where("element_type = 'directory'")), "SELECT qualified_name, blob, sha256(blob) AS content_hash FROM (SELECT qualified_name, element_type || ' ' || name || chr(10) || file_path || chr(10) || 'parent ' || parent_qualified || chr(10) || metadata AS blob FROM elements WHERE element_type = 'directory')")
 _e("i5_filter_reason", lambda E: E.withColumn("reason", V.filter_reason("local", ["class", "service"], False)).groupBy("reason").agg(F.count("*").alias("n")),
    "SELECT CASE WHEN contains(file_path, '/worktrees/') THEN 'worktree' WHEN env <> 'local' THEN 'env' WHEN contains(lower(name), 'test') OR contains(lower(file_path), 'test') THEN 'test' WHEN element_type NOT IN ('class', 'service') THEN 'type' END AS reason, count(*) AS n FROM elements GROUP BY 1")
 
@@ -201,33 +199,24 @@ _e("b11_structure", lambda E: T.physical_structure(E.where("element_type in ('di
    """SELECT DISTINCT array_to_string(p[1:i], '/') AS source_qualified, array_to_string(p[1:i + 1], '/') AS target_qualified, 'contains' AS rel_type FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT DISTINCT string_split(file_path, '/') AS p FROM elements WHERE element_type IN ('directory', 'service')))""")
 
 # Writing semantics and exports
-_e("a26_upsert", lambda E: W.upsert(E.where("element_type = 'module'").select("qualified_name", "name"), E.where("element_type in ('module', 'directory') and line_end > 2").select("qualified_name", F.upper("qualified_name").alias("name")), ["qualified_name"]),
-   "SELECT qualified_name, CASE WHEN line_end > 2 THEN upper(qualified_name) ELSE name END AS name FROM elements WHERE element_type = 'module' OR element_type = 'directory' AND line_end > 2")
 _e("a31_delete_where", lambda E: W.delete_where(E, F.col("parent_qualified").startswith("class/")).groupBy("element_type").agg(F.count("*").alias("n")), "SELECT element_type, count(*) AS n FROM elements WHERE NOT coalesce(starts_with(parent_qualified, 'class/'), false) GROUP BY 1")
 _raw("s6_retention", lambda s, d: W.retention(load(s, d, "events").select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("timestamp")), 1706745600, 10)[0], "SELECT count(*) AS n_deleted FROM events WHERE epoch(date_trunc('second', ts)) < 1706745600 - 864000")
 _add("c6_export_selection", lambda E, R: W.select_for_export(E, R, 50)[0].select("qualified_name", "degree"), f"SELECT qualified_name, coalesce(degree, 0) AS degree FROM (SELECT DISTINCT qualified_name FROM elements) LEFT JOIN ({_DEG}) USING (qualified_name) ORDER BY degree DESC, qualified_name LIMIT 50")
-_add("c5_graphml", lambda E, R: W.graphml(E.where("element_type = 'module'"), R.where("source_qualified = 'module/1'")),
-     """SELECT '<node id="' || qualified_name || '"><data key="type">module</data></node>' AS value FROM elements WHERE element_type = 'module' UNION ALL SELECT '<edge source="' || source_qualified || '" target="' || target_qualified || '"><data key="rel">contains</data></edge>' FROM edges WHERE source_qualified = 'module/1'""")
-_add("c5_obsidian", lambda E, R: W.obsidian(E.where("element_type = 'module'"), R.where("source_qualified = 'module/1'")).select("note", "place", "value"),
-     """SELECT replace(qualified_name, '/', '_') AS note, place, CASE place WHEN 0 THEN '# ' || name ELSE 'type: module, file: ' || file_path END AS value FROM elements, (SELECT unnest([0, 1]) AS place) WHERE element_type = 'module'
-     UNION ALL SELECT DISTINCT 'module_1', 2, '- ' || rel_type || ' [[' || regexp_replace(target_qualified, '[^A-Za-z0-9_-]', '_', 'g') || ']]' FROM edges WHERE source_qualified = 'module/1'""")
 _SAFE_NAME = "replace(replace(name, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39))"
 _add("c5_cypher", W.cypher,
      f"""SELECT 'MERGE (:' || element_type || ' {{id: ' || chr(39) || qualified_name || chr(39) || ', name: ' || chr(39) || {_SAFE_NAME} || chr(39) || '}});' AS value FROM elements
      UNION ALL SELECT 'MATCH (a {{id: ' || chr(39) || source_qualified || chr(39) || '}}), (b {{id: ' || chr(39) || target_qualified || chr(39) || '}}) MERGE (a)-[:' || upper(rel_type) || ']->(b);' FROM edges""")
 _add("c5_json", W.json_snapshot)
-_e("c5_wiki", lambda E: W.wiki(E.where("element_type = 'directory'")), "SELECT file_path, '# ' || file_path || chr(10) || chr(10) || string_agg('- `' || name || '` directory, lines ' || line_start || ' to ' || line_end, chr(10) ORDER BY line_start, qualified_name) AS page FROM elements WHERE element_type = 'directory' GROUP BY 1")
-# The same operators over whole tables; the queries of the shorter names above hold a selection
-_add("f8_service_graph_all", lambda E, R: A.service_graph(R), "SELECT source_qualified, target_qualified, count(*) AS call_count, CAST(1 AS BIGINT) AS n_protocols FROM edges WHERE rel_type = 'service_calls' GROUP BY 1, 2")
-_e("i2_text_blob_all", V.text_blob, "SELECT qualified_name, blob, sha256(blob) AS content_hash FROM (SELECT qualified_name, concat_ws(chr(10), element_type || ' ' || name, file_path, 'parent ' || parent_qualified, metadata) AS blob FROM elements)")
-_e("a26_upsert_all", lambda E: W.upsert(E.select("qualified_name", "name"), E.select(F.expr("CASE WHEN line_end > 2 THEN qualified_name ELSE 'new/' || qualified_name END AS qualified_name"), F.upper("qualified_name").alias("name")), ["qualified_name"]),
+_add("f8_service_graph", lambda E, R: A.service_graph(R), "SELECT source_qualified, target_qualified, count(*) AS call_count, CAST(1 AS BIGINT) AS n_protocols FROM edges WHERE rel_type = 'service_calls' GROUP BY 1, 2")
+_e("i2_text_blob", V.text_blob, "SELECT qualified_name, blob, sha256(blob) AS content_hash FROM (SELECT qualified_name, concat_ws(chr(10), element_type || ' ' || name, file_path, 'parent ' || parent_qualified, metadata) AS blob FROM elements)")
+_e("a26_upsert", lambda E: W.upsert(E.select("qualified_name", "name"), E.select(F.expr("CASE WHEN line_end > 2 THEN qualified_name ELSE 'new/' || qualified_name END AS qualified_name"), F.upper("qualified_name").alias("name")), ["qualified_name"]),
    "SELECT qualified_name, CASE WHEN line_end > 2 THEN upper(qualified_name) ELSE name END AS name FROM elements UNION ALL SELECT 'new/' || qualified_name, upper(qualified_name) FROM elements WHERE line_end <= 2")
-_add("c5_graphml_all", W.graphml,
+_add("c5_graphml", W.graphml,
      """SELECT '<node id="' || qualified_name || '"><data key="type">' || element_type || '</data></node>' AS value FROM elements UNION ALL SELECT '<edge source="' || source_qualified || '" target="' || target_qualified || '"><data key="rel">' || rel_type || '</data></edge>' FROM edges""")
-_add("c5_obsidian_all", lambda E, R: W.obsidian(E, R).select("note", "place", "value"),
+_add("c5_obsidian", lambda E, R: W.obsidian(E, R).select("note", "place", "value"),
      """SELECT replace(qualified_name, '/', '_') AS note, 0 AS place, '# ' || name AS value FROM elements UNION ALL SELECT replace(qualified_name, '/', '_'), 1, 'type: ' || element_type || ', file: ' || file_path FROM elements
      UNION ALL SELECT DISTINCT replace(source_qualified, '/', '_'), 2, '- ' || rel_type || ' [[' || replace(target_qualified, '/', '_') || ']]' FROM edges""")
-_e("c5_wiki_all", W.wiki, "SELECT file_path, '# ' || file_path || chr(10) || chr(10) || string_agg('- `' || name || '` ' || element_type || ', lines ' || line_start || ' to ' || line_end, chr(10) ORDER BY line_start, qualified_name) AS page FROM elements GROUP BY 1")
+_e("c5_wiki", W.wiki, "SELECT file_path, '# ' || file_path || chr(10) || chr(10) || string_agg('- `' || name || '` ' || element_type || ', lines ' || line_start || ' to ' || line_end, chr(10) ORDER BY line_start, qualified_name) AS page FROM elements GROUP BY 1")
 _add("m8_labels", lambda E, R: W.backfill_labels(R).groupBy("label").agg(F.count("*").alias("n")), f"SELECT {_LABEL} AS label, count(*) AS n FROM edges GROUP BY 1")
 
 # The query language

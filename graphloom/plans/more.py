@@ -175,7 +175,7 @@ _of("h6_first_wins", "lineitem", lambda x: K.best_per_key(x.select("l_partkey",
 _e("n9_assign_clusters", lambda E: A.assign_clusters(E, E.where("element_type = 'class'").select("qualified_name", F.lit("k").alias("cluster_id"))).select("qualified_name", "cluster_id"), "SELECT qualified_name, CASE WHEN element_type = 'class' THEN 'k' ELSE cluster_id END AS cluster_id FROM elements")
 _of("n4_eviction", "lineitem", lambda x: x.select("l_orderkey", "l_linenumber", F.round(A.eviction_score(F.col("l_quantity"), F.col("l_linenumber"), F.col("l_extendedprice")), 9).alias("score")), "SELECT l_orderkey, l_linenumber, round(0.4 / (1 + sqrt(l_quantity)) + 0.3 * ln(l_linenumber + 1.0) + 0.3 * ln(l_extendedprice + 1.0), 9) AS score FROM lineitem")
 _of("i7_composite", "embeddings", lambda v: V.composite_score(v, [1.0] * 4 + [0.0] * 60).select("vec_id", "score"), "SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + embedding[2] + embedding[3] + embedding[4]) / sqrt(4.0 * list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS score FROM embeddings")
-_of("i9_recall", "embeddings", lambda v: V.recall(v.where("vec_id < 100 and label % 2 = 0").select(F.col("label").alias("query_id"), "vec_id"), v.where("vec_id < 100").select(F.col("label").alias("query_id"), "vec_id"), 10).withColumn("recall", F.round("recall", 9)), "SELECT round(avg(CASE WHEN label % 2 = 0 THEN n / 10.0 ELSE 0 END), 9) AS recall FROM (SELECT label, count(*) AS n FROM embeddings WHERE vec_id < 100 GROUP BY 1)")
+_of("i9_recall", "embeddings", lambda v: V.recall(v.where("label % 2 = 0").select(F.col("label").alias("query_id"), "vec_id"), v.select(F.col("label").alias("query_id"), "vec_id"), 10).withColumn("recall", F.round("recall", 9)), "SELECT round(avg(CASE WHEN label % 2 = 0 THEN n / 10.0 ELSE 0 END), 9) AS recall FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)")
 
 # Satellite tables
 _of("m2_promote", "orders", lambda o: W.promote(o.select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "upcoming").otherwise("local").alias("env"), F.col("o_orderpriority").alias("branch")), "1-URGENT", "staging"), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'staging' WHEN o_orderstatus = 'O' THEN 'upcoming' ELSE 'local' END AS env, o_orderpriority AS branch FROM orders")

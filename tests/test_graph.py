@@ -134,9 +134,9 @@ def test_whole_tables_are_exported(spark):
     tables = {"elements": views.elements(spark, SF), "edges": views.edges(spark, SF)}
     n, m = tables["elements"].count(), tables["edges"].count()
     assert catalog.QUERIES["c5_json"](spark, SF).count() == catalog.QUERIES["c5_cypher"](spark, SF).count() == n + m
-    for name in ("c5_cypher", "c5_graphml_all", "c5_obsidian_all", "i2_text_blob_all", "a26_upsert_all", "f8_service_graph_all"):
+    for name in ("c5_cypher", "c5_graphml", "c5_obsidian", "i2_text_blob", "a26_upsert", "f8_service_graph"):
         sql = catalog.ORACLES[name].removeprefix(views.CTE).replace("sha256(blob)", "sha2(blob, 256)").replace("{", "{{").replace("}", "}}")
         want = spark.sql(sql.replace("FROM elements", "FROM {elements}").replace("FROM edges", "FROM {edges}"), **tables)
         got = catalog.QUERIES[name](spark, SF)
         assert want.count() > 100 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty(), name
-    assert sum(r["page"].count("\n- `") for r in catalog.QUERIES["c5_wiki_all"](spark, SF).collect()) == n
+    assert sum(r["page"].count("\n- `") for r in catalog.QUERIES["c5_wiki"](spark, SF).collect()) == n
