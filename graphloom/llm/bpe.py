@@ -333,7 +333,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(shared.lean(run), SCHEMA + (", ids array<int>, decoded string" if with_ids else ""))
 
 
 def with_token_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -351,4 +351,4 @@ def with_token_counts(docs: DataFrame, path: str) -> DataFrame:
             columns = [batch.column(f.name) for f in others]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], [*(f.name for f in others), "n_tokens"])
 
-    return docs.mapInArrow(run, StructType([*others, StructField("n_tokens", LongType())]))
+    return docs.mapInArrow(shared.lean(run), StructType([*others, StructField("n_tokens", LongType())]))

@@ -304,7 +304,7 @@ def templates(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "page", "subtree"])
 
     known = pages.select(_host(F.col("url")).alias("host"), "html").where(F.col("host").isNotNull())
-    seen = known.mapInArrow(run, "host string, page long, subtree long").distinct()
+    seen = known.mapInArrow(shared.lean(run), "host string, page long, subtree long").distinct()
     counts = shared.written(seen.groupBy("host", "subtree").agg(F.count("*").alias("n")), "html-counts")
     sizes = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
     often = counts.where((F.col("n") >= MIN_PAGES) & F.col("subtree").isNotNull()).join(sizes, "host")
@@ -328,4 +328,4 @@ def extract(pages: DataFrame) -> DataFrame:
             columns = [batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "drop").mapInArrow(run, SCHEMA)
+    return joined.select("page_id", "url", "html", "drop").mapInArrow(shared.lean(run), SCHEMA)

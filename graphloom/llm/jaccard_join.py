@@ -128,7 +128,7 @@ def facts(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(tokens), pa.int64())
             yield table(1, pa.array(_signed(tokens)), pa.array(times.astype(np.int64)), none, none)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, a long, b long, c long, d long")
+    return docs.select("doc_id", "text").mapInArrow(shared.lean(run), "kind int, a long, b long, c long, d long")
 
 
 class Order:
@@ -166,7 +166,7 @@ def band_rows(docs: DataFrame, order: object) -> DataFrame:
             found = np.concatenate(bands) if bands else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(found)), pa.array(rare, pa.int32()), pa.array(owner, pa.int64())], ["band", "rare", "doc_id"])
 
-    return docs.mapInArrow(run, "band long, rare int, doc_id long")
+    return docs.mapInArrow(shared.lean(run), "band long, rare int, doc_id long")
 
 
 #: What a posting stands for: a document in no star with others, one of such a star, several of one.
@@ -207,7 +207,7 @@ def posting_rows(docs: DataFrame, order: object) -> DataFrame:
                 token, star, part, posting = token[keep], star[keep], part[keep], posting[keep]
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(star), pa.array(part), pa.array(posting)], ["token", "star", "part", "posting"])
 
-    return docs.mapInArrow(run, "token long, star long, part long, posting long")
+    return docs.mapInArrow(shared.lean(run), "token long, star long, part long, posting long")
 
 
 #: Postings of a list that are compared at once.
@@ -297,7 +297,7 @@ def candidates(postings: DataFrame) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield walk(rest)
 
-    met = lists.select("token", "star", "part", "posting").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    met = lists.select("token", "star", "part", "posting").mapInArrow(shared.lean(run), ", ".join(f"{n} long" for n in names))
     met = met.groupBy("a", "b").agg(*(F.max(n).alias(n) for n in names[2:8]), F.min("solo").alias("solo"), F.count("*").alias("met"))
     bound = F.col("met") + F.least(F.col("n_a") - 1 - F.col("i"), F.col("n_b") - 1 - F.col("j"))
     least = F.ceil((F.col("n_a") + F.col("n_b")) * PERCENT / (100 + PERCENT) - 1e-6)
@@ -337,7 +337,7 @@ def verify(docs: DataFrame, pairs: DataFrame, beyond: bool = False) -> DataFrame
                 columns.append(pa.array(rest, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "inter", "total", *(["n", "rest"] if beyond else [])])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, inter long, total long" + ", n long, rest array<bigint>" * beyond)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(shared.lean(run), "a long, b long, inter long, total long" + ", n long, rest array<bigint>" * beyond)
 
 
 _LINKED = f"100 * inter >= {PERCENT} * total"

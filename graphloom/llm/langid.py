@@ -191,7 +191,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 scores = np.where(n > 0, share, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(shared.lean(run), SCHEMA)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def plan_order(docs: DataFrame, rows: int = SAMPLE_ROWS, tasks: int = 4) -> list
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(seconds), pa.array(n, pa.int64())], ["name", "seconds", "n"])
                 return
 
-    found = docs.select("text").mapInArrow(run, "name string, seconds double, n long").limit(tasks * len(RULES)).collect()
+    found = docs.select("text").mapInArrow(shared.lean(run), "name string, seconds double, n long").limit(tasks * len(RULES)).collect()
     sums = {r.name: [0.0, 0] for r in RULES}
     for r in found:
         sums[r["name"]][0] += r["seconds"]
@@ -189,7 +189,7 @@ def apply_rules(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(shared.lean(run), SCHEMA)
 
 
 SCHEMA = (

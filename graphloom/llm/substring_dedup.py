@@ -161,7 +161,7 @@ def sequences(docs: DataFrame) -> DataFrame:
                 digest.append(hashlib.sha256(b" ".join(words)).digest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["doc_id", "n_words", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, digest binary")
+    return docs.select("doc_id", "text").mapInArrow(shared.lean(run), "doc_id long, n_words long, digest binary")
 
 
 def symbol_rows(docs: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def symbol_rows(docs: DataFrame) -> DataFrame:
             ids = batch.column("doc_id").take(pa.array(text))
             yield pa.RecordBatch.from_arrays([pa.array(_signed(name)), ids, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["name", "doc_id", "start", "n"])
 
-    return docs.mapInArrow(run, "name long, doc_id long, start int, n int")
+    return docs.mapInArrow(shared.lean(run), "name long, doc_id long, start int, n int")
 
 
 def window_rows(docs: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def window_rows(docs: DataFrame) -> DataFrame:
             place = (at[begin] - w.first[text[begin]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(h1[begin])), pa.array(h2[begin].view(np.int32)), ids, pa.array(place), pa.array(n.astype(np.int32))], ["h1", "h2", "doc_id", "start", "n"])
 
-    return docs.select("doc_id", "text", "spans").mapInArrow(run, "h1 long, h2 int, doc_id long, start int, n int")
+    return docs.select("doc_id", "text", "spans").mapInArrow(shared.lean(run), "h1 long, h2 int, doc_id long, start int, n int")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def remove(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, n_removed long, left binary" + ", kept string" * with_text
-    changed = shared.written(rest.join(small, "doc_id").mapInArrow(run, schema).dropDuplicates(["doc_id"]), "substring-changed")
+    changed = shared.written(rest.join(small, "doc_id").mapInArrow(shared.lean(run), schema).dropDuplicates(["doc_id"]), "substring-changed")
     out = facts.join(near.withColumn("copy", F.lit(True)), "doc_id", "left").join(changed, "doc_id", "left")
     whole = F.col("copy") & (F.col("n_words") >= WIDTH)
     empty = F.unhex(F.lit(hashlib.sha256(b"").hexdigest()))

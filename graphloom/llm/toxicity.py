@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             columns += [pa.array([w[k] for w in worst], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "score", "worst_start", "worst_end", "worst_score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(shared.lean(run), SCHEMA)
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
