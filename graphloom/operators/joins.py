@@ -58,11 +58,18 @@ def tunnels(E: DataFrame, R: DataFrame) -> DataFrame:
 
 
 def surprising_edges(E: DataFrame, R: DataFrame, gods: DataFrame, limit: int = 10) -> DataFrame:
-    """Edges across clusters that touch one of ``gods`` (qualified_name)."""
-    g = F.broadcast(gods.select(F.col("qualified_name").alias("god")).limit(200))
-    across = tunnels(E, R)
-    out = across.join(g, (F.col("god") == F.col("source_qualified")) | (F.col("god") == F.col("target_qualified")), "left_semi")
-    return out.orderBy(F.desc("confidence"), "source_qualified", "target_qualified", "rel_type").limit(limit)
+    """Edges across clusters that touch one of ``gods`` (qualified_name).
+
+    Both ends are looked up by equality, and only the edges that touch a god go
+    on to have their clusters compared. A list of gods that Spark knows to be
+    short, as a top list is, is broadcast; one of any other length is shuffled.
+    """
+    known = gods.select("qualified_name").distinct()
+    source = known.select(F.col("qualified_name").alias("source_qualified"), F.lit(True).alias("__source_god"))
+    target = known.select(F.col("qualified_name").alias("target_qualified"), F.lit(True).alias("__target_god"))
+    touched = R.join(source, "source_qualified", "left").join(target, "target_qualified", "left")
+    touched = touched.where("__source_god or __target_god").drop("__source_god", "__target_god")
+    return tunnels(E, touched).orderBy(F.desc("confidence"), "source_qualified", "target_qualified", "rel_type").limit(limit)
 
 
 def induced(E: DataFrame, R: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:

@@ -140,3 +140,12 @@ def test_whole_tables_are_exported(spark):
         got = catalog.QUERIES[name](spark, SF)
         assert want.count() > 100 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty(), name
     assert sum(r["page"].count("\n- `") for r in catalog.QUERIES["c5_wiki"](spark, SF).collect()) == n
+
+
+def test_surprising_edges_touch_a_god_at_either_end(graph, spark):
+    e, r = graph
+    gods = lambda *names: spark.createDataFrame([(n and f"f.rs::{n}",) for n in names], "qualified_name string")
+    for given in (("b", "b", None), ("c",), ("b", "c")):
+        assert [(x["source_qualified"], x["target_qualified"]) for x in J.surprising_edges(e, r, gods(*given)).collect()] == [("f.rs::b", "f.rs::c")]
+    assert J.surprising_edges(e, r, gods("a", "d")).isEmpty() and J.surprising_edges(e, r, gods()).isEmpty()
+    assert "NestedLoop" not in J.surprising_edges(e, r, gods("b"))._jdf.queryExecution().toString()
