@@ -24,7 +24,8 @@ the manifest, written once all tasks have ended, makes files part of the
 dataset: what lost or repeated tasks leave is never read. What the driver holds
 is a bound and a line of the manifest for each shard.
 
-Each distinct word is encoded by the library once for each task: the words are
+Each distinct word is encoded by the library once for each worker (as long as it
+is kept): the words are
 found by the splitting rule of byte-level tokenizers, of which the library finds
 the same, and a word's characters are compared before its ids are taken. For
 tokenizer files with other rules, and for texts that hold an added token, whole
@@ -68,6 +69,10 @@ SHARD_TEXT_BYTES = 1 << 30
 #: Ids that a reading task takes, if its documents are shorter than that.
 READ_IDS = 1 << 22
 END_ID = 0
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 400_000
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 1 << 19
 FORMAT = "packed_token_ids"
 MANIFEST = "manifest.json"
 COLUMNS = "doc_id long, start long, n_tokens long, ids array<int>, ids_crc32 long"
@@ -309,7 +314,11 @@ def unwrap(data: bytes, width: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Encodes texts with the library, each distinct word once as long as it is kept."""
+    """Encodes texts with the library, each distinct word once as long as it is kept.
+
+    Words are recognised by a 64-bit hash, looked up in a sorted array, and their
+    characters are compared with the kept ones before their ids are taken.
+    """
 
     def __init__(self, spec: str, classes: np.ndarray | None) -> None:
         from tokenizers import Tokenizer
@@ -322,27 +331,46 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys, self.key_codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.points, self.point_starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.ids, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the words that were met more than once, at most half of what may be kept, those most often met."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > KEPT_WORDS // 2:
+            kept = kept[np.argsort(-self.uses[kept], kind="stable")[: KEPT_WORDS // 2]]
+        number = np.full(len(self.uses), -1)
+        number[kept] = np.arange(len(kept))
+        self.points, self.point_starts = bpe.gather(self.points, self.point_starts, kept), np.concatenate([[0], np.cumsum(np.diff(self.point_starts)[kept])])
+        self.ids, self.starts = bpe.gather(self.ids, self.starts, kept), np.concatenate([[0], np.cumsum(np.diff(self.starts)[kept])])
+        self.uses = np.zeros(len(kept), np.int32)
+        held = number[self.key_codes] >= 0
+        self.keys, self.key_codes = self.keys[held], number[self.key_codes[held]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if self.classes is None:
             return [self._whole(t) for t in texts]
-        if len(self.index) > bpe.CACHE_WORDS:
-            self.reset()
+        if len(self.keys) > KEPT_WORDS:
+            self._forget()
         plain = [not any(s in t for s in self.added) for t in texts]
         found = iter(self._words([t for t, p in zip(texts, plain, strict=True) if p]))
         return [next(found) if p else self._whole(t) for t, p in zip(texts, plain, strict=True)]
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
     def _words(self, texts: list[str]) -> list[np.ndarray]:
         joined = "".join(texts)
         if not joined:
-            return [np.zeros(0, np.int64)] * len(texts)
+            return [np.zeros(0, np.int32)] * len(texts)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         cuts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         starts = bpe.split_words(points, cuts[:-1][cuts[:-1] < len(points)], self.classes)
@@ -356,29 +384,43 @@ class WordEncoder:
 
     def _codes(self, joined: str, points: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """The number of each word; words met for the first time are encoded by the library."""
-        mixed = shared.mix(points.astype(np.uint64) + np.uint64(1))
-        place = np.arange(len(points)) - np.repeat(edges[:-1], np.diff(edges))
+        place = np.arange(len(points), dtype=np.int32) - np.repeat(edges[:-1].astype(np.int32), np.diff(edges))
         factor = shared.mix(np.arange(1, int(place.max()) + 2, dtype=np.uint64)) | np.uint64(1)
-        sums = np.add.reduceat(mixed * factor[place], edges[:-1])
-        distinct, where, back = np.unique(shared.mix(sums), return_index=True, return_inverse=True)
-        index, codes, fresh = self.index, np.empty(len(distinct), np.int64), []
-        for k, h in enumerate(distinct.tolist()):
-            c = index.get(h)
-            if c is None:
-                c = index[h] = len(index)
-                fresh.append(k)
-            codes[k] = c
-        if fresh:
-            at = where[np.array(fresh)]
-            words = [joined[a:b] for a, b in zip(edges[at].tolist(), edges[at + 1].tolist(), strict=True)]
-            found = [e.ids for k in range(0, len(words), 1000) for e in self.library.encode_batch_fast(words[k : k + 1000], add_special_tokens=False)]
-            self.points = np.concatenate([self.points, bpe.gather(points, edges, at)])
-            self.point_starts = np.concatenate([self.point_starts, self.point_starts[-1] + np.cumsum(edges[at + 1] - edges[at])])
-            self.ids = np.concatenate([self.ids, *(np.array(x, np.int64) for x in found)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in found])])
+        sums = np.add.reduceat(shared.mix(points.astype(np.uint64) + np.uint64(1)) * factor[place], edges[:-1])
+        distinct, where, back, times = np.unique(shared.mix(sums), return_index=True, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.keys, distinct)
+        held = at < len(self.keys)
+        held[held] = self.keys[at[held]] == distinct[held]
+        codes = np.empty(len(distinct), np.int64)
+        codes[held] = self.key_codes[at[held]]
+        fresh = np.flatnonzero(~held)
+        if len(fresh):
+            codes[fresh] = len(self.keys) + np.arange(len(fresh))
+            first = where[fresh]
+            words = [joined[a:b] for a, b in zip(edges[first].tolist(), edges[first + 1].tolist(), strict=True)]
+            parts = [self._each(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+            self.points = np.concatenate([self.points, bpe.gather(points, edges, first)])
+            self.point_starts = np.concatenate([self.point_starts, self.point_starts[-1] + np.cumsum(edges[first + 1] - edges[first])])
+            self.ids = np.concatenate([self.ids, *(ids for ids, _ in parts)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([n for _, n in parts]))])
+            self.keys = np.insert(self.keys, at[fresh], distinct[fresh])
+            self.key_codes = np.insert(self.key_codes, at[fresh], codes[fresh])
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int32)])
+        self.uses[codes] += times
         return codes[back]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def worker_encoder(spec: str, classes: np.ndarray | None) -> WordEncoder:
+    """The encoder of this worker, which later tasks find with the words it has met."""
+    if spec not in _encoders:
+        _encoders.clear()
+        _encoders[spec] = WordEncoder(spec, classes)
+    return _encoders[spec]
+
+
 def splits_like_bytes(spec: dict) -> bool:
     """Whether the tokenizer parts texts by the byte-level pattern and nothing else, so that words can be encoded alone."""
     split = spec.get("pre_tokenizer") or {}
@@ -411,10 +453,10 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, bounds
     held = spark.sparkContext.broadcast((spec, bpe.char_classes() if splits_like_bytes(json.loads(spec)) else None))  # the tokenizer's file and a byte for each code point: a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(*held.value)
-        tail = np.array([] if end_id is None else [end_id], np.int64)
+        encoder = worker_encoder(*held.value)
+        tail = np.array([] if end_id is None else [end_id], np.int32)
         for batch in batches:
-            for a, b in shared.text_slices(batch.column("text")):
+            for a, b in shared.text_slices(batch.column("text"), SLICE_BYTES):
                 ids = batch.column("doc_id").slice(a, b - a).cast(pa.int64())
                 found = encoder.encode([t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
                 payload = [wrap(np.concatenate([x, tail]), width) for x in found]
