@@ -40,6 +40,7 @@ can write (local or mounted folders, HDFS, S3, GCS).
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import math
@@ -70,7 +71,7 @@ SHARD_TEXT_BYTES = 1 << 30
 READ_IDS = 1 << 22
 END_ID = 0
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 1 << 19
 FORMAT = "packed_token_ids"
@@ -313,6 +314,33 @@ def unwrap(data: bytes, width: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+class Grown:
+    """An array that grows at its end; what it holds is moved only when its room doubles."""
+
+    def __init__(self, kind: type) -> None:
+        self.room, self.n = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.zeros(self.n + 2 * len(values), self.room.dtype)])
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def view(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+def pick(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """values[starts[p]:starts[p] + sizes[p]] of each p in picks, one after the other."""
+    n = sizes[picks]
+    ends = np.cumsum(n, dtype=np.int32)
+    if not len(n):
+        return values[:0]
+    at = np.repeat(starts[picks] - (ends - n), n)
+    at += np.arange(len(at), dtype=np.int32)
+    return values[at]
+
+
 class WordEncoder:
     """Encodes texts with the library, each distinct word once as long as it is kept.
 
@@ -331,29 +359,44 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.keys, self.key_codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.points, self.point_starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.uses = np.zeros(0, np.int32)
+        """``known`` and ``recent``: sorted hashes and the words' numbers; the recent ones are few and join the others from time to time."""
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.known, self.recent = none, none
+        self.points, self.point_starts, self.point_sizes = Grown(np.uint32), Grown(np.int32), Grown(np.int32)
+        self.ids, self.starts, self.sizes = Grown(np.int32), Grown(np.int32), Grown(np.int32)
+        self.uses = Grown(np.int32)
 
     def _forget(self) -> None:
         """Keep the words that were met more than once, at most half of what may be kept, those most often met."""
-        kept = np.flatnonzero(self.uses > 1)
+        uses = self.uses.view()
+        kept = np.flatnonzero(uses > 1)
         if len(kept) > KEPT_WORDS // 2:
-            kept = kept[np.argsort(-self.uses[kept], kind="stable")[: KEPT_WORDS // 2]]
-        number = np.full(len(self.uses), -1)
+            kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[: KEPT_WORDS // 2]])
+        hashes, numbers = self._both()
+        before = self.points, self.point_starts, self.point_sizes, self.ids, self.starts, self.sizes
+        points, point_starts, point_sizes, ids, starts, sizes = (x.view() for x in before)
+        self.reset()
+        self._learn(pick(points, point_starts, point_sizes, kept), point_sizes[kept], pick(ids, starts, sizes, kept), sizes[kept])
+        number = np.full(len(uses), -1, np.int32)
         number[kept] = np.arange(len(kept))
-        self.points, self.point_starts = bpe.gather(self.points, self.point_starts, kept), np.concatenate([[0], np.cumsum(np.diff(self.point_starts)[kept])])
-        self.ids, self.starts = bpe.gather(self.ids, self.starts, kept), np.concatenate([[0], np.cumsum(np.diff(self.starts)[kept])])
-        self.uses = np.zeros(len(kept), np.int32)
-        held = number[self.key_codes] >= 0
-        self.keys, self.key_codes = self.keys[held], number[self.key_codes[held]]
+        held = number[numbers] >= 0
+        self.known = hashes[held], number[numbers[held]]
+
+    def _both(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.known[0], self.recent[0])
+        return np.insert(self.known[0], at, self.recent[0]), np.insert(self.known[1], at, self.recent[1])
+
+    def _learn(self, points: np.ndarray, point_sizes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.point_starts.add(self.points.n + np.cumsum(point_sizes) - point_sizes)
+        self.starts.add(self.ids.n + np.cumsum(sizes) - sizes)
+        for store, values in ((self.points, points), (self.point_sizes, point_sizes), (self.ids, ids), (self.sizes, sizes), (self.uses, np.zeros(len(sizes), np.int32))):
+            store.add(values)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if self.classes is None:
             return [self._whole(t) for t in texts]
-        if len(self.keys) > KEPT_WORDS:
+        if self.uses.n > KEPT_WORDS:
             self._forget()
         plain = [not any(s in t for s in self.added) for t in texts]
         found = iter(self._words([t for t, p in zip(texts, plain, strict=True) if p]))
@@ -376,40 +419,47 @@ class WordEncoder:
         starts = bpe.split_words(points, cuts[:-1][cuts[:-1] < len(points)], self.classes)
         edges = np.append(starts, len(points))
         codes = self._codes(joined, points, edges)
-        if not np.array_equal(bpe.gather(self.points, self.point_starts, codes), points):  # two words with one hash
+        if not np.array_equal(pick(self.points.view(), self.point_starts.view(), self.point_sizes.view(), codes), points):  # two words with one hash
             return [self._whole(t) for t in texts]
-        ids = bpe.gather(self.ids, self.starts, codes)
-        ends = np.concatenate([[0], np.cumsum(np.diff(self.starts)[codes])])[np.searchsorted(starts, cuts)]
+        sizes = self.sizes.view()
+        ids = pick(self.ids.view(), self.starts.view(), sizes, codes)
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.searchsorted(starts, cuts)]
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def _codes(self, joined: str, points: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """The number of each word; words met for the first time are encoded by the library."""
         place = np.arange(len(points), dtype=np.int32) - np.repeat(edges[:-1].astype(np.int32), np.diff(edges))
         factor = shared.mix(np.arange(1, int(place.max()) + 2, dtype=np.uint64)) | np.uint64(1)
-        sums = np.add.reduceat(shared.mix(points.astype(np.uint64) + np.uint64(1)) * factor[place], edges[:-1])
+        sums = np.add.reduceat(_mixed_points()[points] * factor[place], edges[:-1])
         distinct, where, back, times = np.unique(shared.mix(sums), return_index=True, return_inverse=True, return_counts=True)
-        at = np.searchsorted(self.keys, distinct)
-        held = at < len(self.keys)
-        held[held] = self.keys[at[held]] == distinct[held]
-        codes = np.empty(len(distinct), np.int64)
-        codes[held] = self.key_codes[at[held]]
-        fresh = np.flatnonzero(~held)
+        codes = np.full(len(distinct), -1, np.int32)
+        for hashes, numbers in (self.known, self.recent):
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+                held = hashes[at] == distinct
+                codes[held] = numbers[at[held]]
+        fresh = np.flatnonzero(codes < 0)
         if len(fresh):
-            codes[fresh] = len(self.keys) + np.arange(len(fresh))
+            codes[fresh] = self.uses.n + np.arange(len(fresh))
             first = where[fresh]
             words = [joined[a:b] for a, b in zip(edges[first].tolist(), edges[first + 1].tolist(), strict=True)]
-            parts = [self._each(words[k : k + 1000]) for k in range(0, len(words), 1000)]
-            self.points = np.concatenate([self.points, bpe.gather(points, edges, first)])
-            self.point_starts = np.concatenate([self.point_starts, self.point_starts[-1] + np.cumsum(edges[first + 1] - edges[first])])
-            self.ids = np.concatenate([self.ids, *(ids for ids, _ in parts)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([n for _, n in parts]))])
-            self.keys = np.insert(self.keys, at[fresh], distinct[fresh])
-            self.key_codes = np.insert(self.key_codes, at[fresh], codes[fresh])
-            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int32)])
-        self.uses[codes] += times
+            ids, sizes = zip(*(self._each(words[k : k + 1000]) for k in range(0, len(words), 1000)), strict=True)
+            point_sizes = np.diff(edges)[first].astype(np.int32)
+            self._learn(pick(points, edges[:-1].astype(np.int32), np.diff(edges).astype(np.int32), first), point_sizes, np.concatenate(ids), np.concatenate(sizes))
+            at = np.searchsorted(self.recent[0], distinct[fresh])
+            self.recent = np.insert(self.recent[0], at, distinct[fresh]), np.insert(self.recent[1], at, codes[fresh])
+            if len(self.recent[0]) > 1 << 15:
+                self.known, self.recent = self._both(), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.uses.view()[codes] += times.astype(np.int32)
         return codes[back]
 
 
+@functools.cache
+def _mixed_points() -> np.ndarray:
+    """A well mixed number for each code point."""
+    return shared.mix(np.arange(1, 0x110001, dtype=np.uint64))
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
