@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +40,8 @@ MIN_PAGES = 5
 SHARE = 0.5
 #: Share of the remaining text that article (or main) elements hold if they are the article.
 LEAST = 0.25
+#: Share of a page's text from which a form is a wrapper of the page, and share of main's text below which article elements are teasers.
+WRAPPER, WHOLE = 0.5, 0.5
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,7 +52,7 @@ BLOCK = frozenset(
     "tfoot thead tr ul caption".split()
 )
 NEVER = frozenset(
-    "script style noscript template head title meta link nav footer aside form button select input textarea iframe svg "
+    "script style noscript template head title meta link nav footer aside button select input textarea iframe svg "
     "canvas object embed audio video dialog menu map noframes noembed datalist".split()
 )
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "tbody", "thead", "tfoot", "tr", "caption", "legend"}
@@ -80,10 +83,10 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("attrs", "digest", "full", "kids", "tag")
+    __slots__ = ("attrs", "digest", "full", "kids", "size", "tag")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
-        self.tag, self.attrs, self.kids, self.digest, self.full = tag, attrs, [], "", False
+        self.tag, self.attrs, self.kids, self.digest, self.full, self.size = tag, attrs, [], "", False, 0
 
     def get(self) -> dict[str, str]:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(self.attrs)} if self.attrs.strip() else {}
@@ -92,10 +95,10 @@ class Node:
 def parse(page: str) -> Node:
     """A tree of the page; elements left open end where their parent ends or HTML implies their end.
 
-    Each element gets a digest of its subtree's tags and text, and whether there is text.
+    Each element gets a digest of its subtree's tags and text, and how much text there is.
     """
     root = Node("html")
-    stack, made, body = [root], [root], False
+    stack, made, body = Stack(root), [root], False
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -112,9 +115,9 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if stack.has(tag) else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    stack.cut(k)
                     break
                 if tag not in BLOCK and stack[k].tag in BLOCK and stack[k].tag != "p":
                     break  # an inline end tag closes nothing beyond its block
@@ -149,21 +152,45 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue  # raw text is never part of the article
-        stack.append(node)
+        stack.push(node)
     for node in reversed(made):  # what an element holds was made after it
         h = hashlib.blake2b(digest_size=8)
         h.update(node.tag.encode())
         for kid in node.kids:
             h.update(b"<" + kid.digest.encode() if isinstance(kid, Node) else b"=" + " ".join(kid.split()).encode("utf-8", "replace"))
-            node.full = node.full or (kid.full if isinstance(kid, Node) else bool(kid.strip()))
+            node.size += kid.size if isinstance(kid, Node) else len(kid.strip())
+        node.full = node.size > 0
         node.digest = h.hexdigest()
+    for node in made:
+        if node.tag == "form" and node.size >= WRAPPER * root.size:
+            node.tag = "div"
     return root
 
 
-def _close(stack: list[Node], names: tuple[str, ...], walls: tuple[str, ...]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
+class Stack(list):
+    """The open elements, and how many of each name are open, so that an end tag without a beginning costs nothing."""
+
+    def __init__(self, root: Node) -> None:
+        super().__init__([root])
+        self.names = Counter()
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.names[node.tag] += 1
+
+    def cut(self, k: int) -> None:
+        """The elements from the k-th on end."""
+        self.names.subtract(n.tag for n in self[k:])
+        del self[k:]
+
+    def has(self, *names: str) -> bool:
+        return any(self.names[n] > 0 for n in names)
+
+
+def _close(stack: Stack, names: tuple[str, ...], walls: tuple[str, ...]) -> None:
+    for k in range(len(stack) - 1, 0, -1) if stack.has(*names) else ():
         if stack[k].tag in names:
-            del stack[k:]
+            stack.cut(k)
             return
         if stack[k].tag in walls:
             return
@@ -172,7 +199,7 @@ def _close(stack: list[Node], names: tuple[str, ...], walls: tuple[str, ...]) ->
 def marked(node: Node, inside: bool) -> bool:
     """Whether HTML itself says that this element is not the article. ``inside``: it lies in an article."""
     tag = node.tag
-    if tag in NEVER or tag == "header" and not inside:
+    if tag in NEVER or tag == "form" or tag == "header" and not inside:
         return True
     if not node.attrs or tag in ("html", "body"):
         return False
@@ -194,7 +221,7 @@ def marked(node: Node, inside: bool) -> bool:
 
 
 def text_of(pieces: list[str]) -> str:
-    return " ".join(html.unescape("".join(pieces)).split())
+    return " ".join("".join(map(html.unescape, pieces)).split())
 
 
 def number(node: Node) -> int:
@@ -270,14 +297,16 @@ def main_text(page: str | None, drop: frozenset[int] = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
-    whole = None
-    for names in (("article",), ("main",)):
-        if tops := _roots(root, names, drop):
-            blocks = blocks_of(tops, True, drop)
-            whole = blocks_of([root], False, drop) if whole is None else whole
-            if sum(map(len, blocks)) >= LEAST * sum(map(len, whole)) and blocks:
-                return "\n\n".join(blocks)
-    return "\n\n".join(blocks_of([root], False, drop) if whole is None else whole)
+    article, main = (blocks_of(_roots(root, names, drop), True, drop) for names in (("article",), ("main",)))
+    if main and sum(map(len, article)) < WHOLE * sum(map(len, main)):
+        article, main = main, article
+    if not article and not main:
+        return "\n\n".join(blocks_of([root], False, drop))
+    whole = blocks_of([root], False, drop)
+    for blocks in (article, main):
+        if blocks and sum(map(len, blocks)) >= LEAST * sum(map(len, whole)):
+            return "\n\n".join(blocks)
+    return "\n\n".join(whole)
 
 
 FLUSH = Node("flush")
