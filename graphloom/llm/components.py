@@ -31,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> node, component (the least node it reaches), for nodes that have a link."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = shared.written(edges, "components-0")
-    mark = F.struct(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v") % 1_000_003))
+    mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")))  # no sum of ids, which may be of any size
     before = edges.agg(mark.alias("x")).first()["x"]
     for k in range(MAX_ROUNDS):
         edges = shared.written(_star(_star(edges, True), False), f"components-{k + 1}")

@@ -351,3 +351,37 @@ def test_empty_tables(spark):
     assert bpe.encode_documents(d, path).count() == 0
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert toxicity.detect(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_forms_teasers_entities_and_stray_end_tags():
+    body = "This is the article, long enough to be the text of the page, with some words more."
+    wrapped = f'<body><form id="aspnetForm"><div><p>{body}</p><input value="x"><button>go</button></div></form></body>'
+    assert html_text.main_text(wrapped) == body
+    asked = f"<body><p>{body}</p><p>{body}</p><form><p>Your name</p></form></body>"
+    assert html_text.main_text(asked) == f"{body}\n\n{body}"
+    own = " ".join(["The main part has much text of its own."] * 8)
+    teaser = " ".join(["A teaser of another article."] * 6)
+    page = f"<body><main><p>{own}</p><article><p>{teaser}</p></article></main></body>"
+    assert own in html_text.main_text(page)
+    whole = f"<body><main><article><p>{own}</p></article><p>{teaser}</p></main></body>"
+    assert html_text.main_text(whole) == own
+    assert html_text.main_text("<p>R&<b>amp;D</b> and R&amp;D</p>") == "R&amp;D and R&D"
+
+
+def test_pages_with_many_stray_or_open_tags_take_linear_time():
+    import time
+
+    for page in ("<div>" * 30_000 + "</section>" * 30_000, "<span>" * 30_000 + "</i>" * 30_000, "<span>" * 30_000 + "<li>" * 30_000, "<p>x" * 60_000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 5
+
+
+def test_components_and_links_of_large_ids(spark):
+    big = 1 << 61
+    links = spark.createDataFrame([(big + k, big + k + 1) for k in range(7)] + [(big * 2 - 1, big)], "a long, b long")
+    assert {r["component"] for r in components.components(links).collect()} == {big}
+    t = " ".join(f"w{k}" for k in range(60))
+    rows = [(big + k, f"{t} end{k}") for k in range(8)] + [((1 << 62) + 5, "other words")]
+    found = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {big + k: big for k in range(8)} | {(1 << 62) + 5: (1 << 62) + 5}

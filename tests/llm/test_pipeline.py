@@ -85,3 +85,16 @@ def test_stages_against_brute_force(spark):
                 assert len(set(sources)) == len(sources)
     whole = corpus_pipeline.run(spark, SF)
     assert whole.agg(F.sum("n_tokens")).first()[0] == sum(tokens.values()) and whole.count() == len(rows)
+
+
+def test_toxic_rows_go_with_or_without_an_id(spark, tmp_path):
+    rows = [(k, ("you are a vile stupid zorgle. " if k % 2 else "a calm day by the sea. ") + f"word{k} more text here", "en", "s", 1) for k in range(400)]
+    vile = "you are a vile stupid zorgle. so it is"
+    rows += [(None, vile, "en", "s", 1), (None, "a calm day by the sea", "en", "s", 1), ((1 << 61) + 1, "quiet hours by the sea", "en", "s", 1), ((1 << 61) + 1, vile, "en", "s", 1), (None, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(k, 1, k % 2) for k in range(400)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert not [t for _, t in left if t and "zorgle" in t]
+    assert sorted(str(k) for k, t in left if not t or "word" not in t) == sorted(["None", "None", str((1 << 61) + 1)])
