@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import scopes, structured, symbols
-from graphloom.operators import ann, graphs, vectors
+from graphloom.operators import ann, graphs, layout, vectors
 from graphloom.operators.store import KeyedTable, reindex
 from graphloom.sources import walk
 
@@ -259,3 +259,37 @@ def test_dense_lines_by_their_own_distribution(spark):
         assert [x for x in symbols.dense_lines(t).split("\n") if x.strip()] == [x for x in lines if x not in dropped]
     docs = spark.createDataFrame([(1, text, 5), (2, None, 6)], "doc_id long, text string, n long")
     assert {r["doc_id"]: (r["n"], r["dense_text"]) for r in symbols.with_dense_text(docs).collect()} == {1: (5, "\n".join(kept)), 2: (6, "")}
+
+
+def exact_forces(at, k):
+    apart = at[:, None] - at[None]
+    square = (apart**2).sum(axis=2)
+    np.fill_diagonal(square, 1)
+    return (k * k * apart / square[:, :, None]).sum(axis=1)
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+def test_layout_against_exact_forces(spark, dims):
+    rng = random.Random(dims)
+    n = 200
+    pairs = [(k, rng.randrange(k)) for k in range(1, n)] + [(0, k) for k in range(1, 40)]  # a tree and a hub
+    R = spark.createDataFrame([(f"n{a}", f"n{b}", "x", 1.0) for a, b in pairs] + [("alone", "alone", "x", 1.0)], "source_qualified string, target_qualified string, rel_type string, confidence double")
+    names = [f"x{d}" for d in range(dims)]
+    k = (1 / (n + 1)) ** (1 / dims)
+
+    def energy(rows):
+        at = {r["node"]: np.array([r[x] for x in names]) for r in rows}
+        every = np.array(list(at.values()))
+        distance = np.sqrt(((every[:, None] - every[None]) ** 2).sum(axis=2))[np.triu_indices(len(every), 1)]
+        ends = {tuple(sorted((f"n{a}", f"n{b}"))) for a, b in pairs}
+        return sum(np.linalg.norm(at[a] - at[b]) ** 3 / (3 * k) for a, b in ends) - k * k * np.log(distance).sum()
+
+    first = layout.force_layout(R, dims, rounds=0)
+    rows = first.collect()
+    assert len(rows) == n + 1
+    found = {r["node"]: np.array([r[f"f{d}"] for d in range(dims)]) for r in layout.repulsion(first, dims, k, 4).collect()}
+    want = exact_forces(np.array([[r[x] for x in names] for r in rows]), k)
+    got = np.array([found[r["node"]] for r in rows])
+    assert (got * want).sum() / np.sqrt((got**2).sum() * (want**2).sum()) > 0.9
+    assert energy(layout.force_layout(R, dims, rounds=5).collect()) < energy(rows)
+    assert layout.force_layout(R.where("false"), dims).collect() == []
