@@ -145,9 +145,15 @@ def conversation_kind(text: Column) -> Column:
 def mine_conversations(M: DataFrame) -> DataFrame:
     """M has conv_id, turn, text; messages that say something, with topic and code targets."""
     kept = M.withColumn("kind", conversation_kind(F.col("text"))).where("kind <> 'general'")
-    topic = F.array_join(F.slice(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w) > 3), 1, 4), "-")
-    targets = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\w/-]+\.(?:py|rs|go|ts|js|java))"), F.lit(1)))
-    return kept.select("conv_id", "turn", "kind", topic.alias("topic"), targets.alias("code_targets"))
+    return kept.select("conv_id", "turn", "kind", message_topic("text").alias("topic"), code_targets("text").alias("code_targets"))
+
+
+def message_topic(text: str) -> Column:
+    return F.array_join(F.slice(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 3), 1, 4), "-")
+
+
+def code_targets(text: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\w/-]+\.(?:py|rs|go|ts|js|java))"), F.lit(1)))
 
 
 def drop_low_entropy_lines(docs: DataFrame, least: float = 2.0) -> DataFrame:

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scopes, structured, symbols
+from ..functions import documents, scopes, structured, symbols
 from ..operators import ann, graphs
 from ..operators import vectors as V
 from ..operators.store import KeyedTable
@@ -353,3 +353,65 @@ k AS (SELECT doc_id, count(*) AS n FROM c WHERE n * (t - 1) > t + 3 GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(k.n, 0) AS INT) AS n_symbols, true AS restored FROM documents d LEFT JOIN k USING (doc_id)""".replace("\\\\", "\\"),
 )
 _raw("j_dense_lines", lambda s, d: symbols.with_dense_text(load(s, d, "documents")).select("doc_id", F.length("dense_text").alias("n_chars"), F.round("compressed_share", 4).alias("compressed_share")))
+
+# Every document as a page of its source, with headings around its own text; B16: every message, some with a decision
+
+
+def pages_of(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    head = F.format_string("# Doc %d\n", k)
+    tail = F.format_string("\n## Notes\n```\n# no heading\n```\nSee `src/a%d.py` and `src/b.rs::run`.\n### Needs ##\n| FR-DOC-%d | P%d | with `src/c%d.go` |\nUS-DOC-TWO, FR-DOC-%d\n## End", k % 7, k % 5, k % 4, k % 3, k % 5)
+    return load(spark, d, "documents").select(F.format_string("docs/%s/%d.md", "source", k).alias("path"), F.concat(head, F.regexp_replace(F.coalesce("text", F.lit("")), "[#`|~]", "."), tail).alias("text"))
+
+
+_PAGES = """WITH d AS (SELECT doc_id AS k, 'docs/' || source || '/' || doc_id || '.md' AS p, doc_id || '.md' AS name,
+    CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS INT) AS n FROM documents),
+s AS (SELECT *, p || '::Doc ' || k || '#L1' AS top, p || '::Notes#L' || (n + 3) AS notes FROM d)
+"""
+_raw(
+    "b13_document_nodes",
+    lambda s, d: documents.document_graph(pages_of(s, d))[0],
+    _PAGES + """SELECT p AS qualified_name, 'document' AS element_type, name, p AS file_path, 1 AS line_start, n + 11 AS line_end, NULL AS parent_qualified FROM s
+UNION ALL SELECT top, 'doc_section', 'Doc ' || k, p, 1, n + 11, p FROM s
+UNION ALL SELECT notes, 'doc_section', 'Notes', p, n + 3, n + 10, top FROM s
+UNION ALL SELECT p || '::Needs#L' || (n + 8), 'doc_section', 'Needs', p, n + 8, n + 10, notes FROM s
+UNION ALL SELECT p || '::End#L' || (n + 11), 'doc_section', 'End', p, n + 11, n + 11, top FROM s""",
+)
+_raw(
+    "b13_document_edges",
+    lambda s, d: documents.document_graph(pages_of(s, d))[1].groupBy("rel_type").agg(F.count("*").alias("n"), F.count_distinct("source_qualified").alias("sources"), F.count_distinct("target_qualified").alias("targets")),
+    _PAGES + """, e AS (SELECT p AS a, top AS b, 'contains' AS t FROM s UNION ALL SELECT top, notes, 'contains' FROM s UNION ALL SELECT notes, p || '::Needs#L' || (n + 8), 'contains' FROM s
+UNION ALL SELECT top, p || '::End#L' || (n + 11), 'contains' FROM s UNION ALL SELECT p, unnest(['src/a' || (k % 7) || '.py', 'src/b.rs::run', 'src/c' || (k % 3) || '.go']), 'references' FROM s
+UNION ALL SELECT unnest(['src/a' || (k % 7) || '.py', 'src/b.rs::run', 'src/c' || (k % 3) || '.go']), p, 'documented_by' FROM s)
+SELECT t AS rel_type, count(*) AS n, count(DISTINCT a) AS sources, count(DISTINCT b) AS targets FROM e GROUP BY 1""",
+)
+_raw(
+    "b14_requirement_nodes",
+    lambda s, d: documents.requirement_graph(pages_of(s, d))[0],
+    _PAGES + """SELECT p || '::FR-DOC-' || (k % 5) AS qualified_name, 'requirement' AS element_type, 'FR-DOC-' || (k % 5) AS name, p AS file_path, n + 9 AS line_start, 'P' || (k % 4) AS priority FROM s
+UNION ALL SELECT p || '::US-DOC-TWO', 'user_story', 'US-DOC-TWO', p, n + 10, '' FROM s""",
+)
+_raw(
+    "b14_requirement_edges",
+    lambda s, d: documents.requirement_graph(pages_of(s, d))[1],
+    _PAGES + """SELECT p AS source_qualified, p || '::FR-DOC-' || (k % 5) AS target_qualified, 'contains' AS rel_type FROM s UNION ALL SELECT p, p || '::US-DOC-TWO', 'contains' FROM s
+UNION ALL SELECT p || '::FR-DOC-' || (k % 5), 'src/c' || (k % 3) || '.go', 'implemented_by' FROM s""",
+)
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("turn") % 3 == 0, F.format_string(" We decided on src/m%d.py and lib/x.rs.", F.col("conv_id") % 9)).otherwise(F.lit(""))
+    return load(spark, d, "conversations").withColumn("text", F.concat(F.coalesce("text", F.lit("")), said))
+
+
+_raw(
+    "b16_decisions",
+    lambda s, d: documents.conversation_graph(messages(s, d))[1],
+    """SELECT 'conversations/' || conv_id || '::decision/' || turn AS source_qualified, unnest(['src/m' || (conv_id % 9) || '.py', 'lib/x.rs']) AS target_qualified, 'decided_about' AS rel_type FROM conversations WHERE turn % 3 = 0""",
+)
+_raw(
+    "b16_nodes",
+    lambda s, d: documents.conversation_graph(messages(s, d))[0].select("qualified_name", "element_type", "file_path", "participant", "verbatim"),
+    """SELECT 'conversations/' || conv_id || '::decision/' || turn AS qualified_name, 'decision' AS element_type, 'conversations/' || conv_id AS file_path, role AS participant,
+    coalesce(text, '') || ' We decided on src/m' || (conv_id % 9) || '.py and lib/x.rs.' AS verbatim FROM conversations WHERE turn % 3 = 0""",
+)
