@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 UNRESOLVED = "__unresolved__"
 
@@ -186,13 +188,33 @@ def valid_at(R: DataFrame, at: int) -> DataFrame:
     return R.where((start.isNull() | (start <= at)) & (end.isNull() | (end >= at)))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str) -> DataFrame:
-    """For each row of ``left`` the latest ``value`` of ``right`` no later than it; one shuffle on the keys, no range join."""
-    marked = left.withColumn("__t", F.col(left_time)).withColumn("__v", F.lit(None).cast(right.schema[value].dataType)).withColumn("__own", F.lit(1))
-    facts = right.select(*keys, F.col(right_time).alias("__t"), F.col(value).alias("__v")).withColumn("__own", F.lit(0))
-    w = Window.partitionBy(*keys).orderBy("__t", "__own").rowsBetween(Window.unboundedPreceding, 0)
-    both = marked.unionByName(facts, allowMissingColumns=True).withColumn(value, F.last("__v", ignorenulls=True).over(w))
-    return both.where("__own = 1").drop("__t", "__v", "__own")
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, part: Callable[[Column], Column] | None = None) -> DataFrame:
+    """For each row of ``left`` the latest ``value`` of ``right`` no later than it (null if none), as a column of that name.
+
+    Time is cut into parts (days, if it is a timestamp, else a number's 86,400ths; ``part``
+    says otherwise), so that a task sorts a key's rows of one part; the last value of each earlier part
+    is carried on from a row for each key and part. Of values of one time the largest counts; null values don't.
+    """
+    number = isinstance(left.schema[left_time].dataType, NumericType)
+    coarse = part or ((lambda t: F.floor(t / 86_400)) if number else (lambda t: F.date_trunc("day", t)))
+    mark = "as_of_" + uuid.uuid4().hex[:8]  # no column of the caller's
+    at, own, held, when, last = (f"{mark}_{c}" for c in ("time", "own", "held", "part", "last"))
+    names = [f"{mark}_{k}" for k in range(len(keys))]
+    kind = right.schema[value].dataType
+    key = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    facts = right.where(F.col(value).isNotNull() & F.col(right_time).isNotNull()).select(*key, F.col(right_time).alias(at), F.col(value).alias(held)).withColumn(when, coarse(F.col(at)))
+    asked = left.select("*", *key, F.col(left_time).alias(at)).withColumn(when, coarse(F.col(at)))
+    both = asked.withColumn(held, F.lit(None).cast(kind)).withColumn(own, F.lit(1)).unionByName(facts.withColumn(own, F.lit(0)), allowMissingColumns=True)
+    inside = Window.partitionBy(*names, when).orderBy(at, own, held).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn(held, F.last(held, ignorenulls=True).over(inside)).where(F.col(own) == 1).drop(own)
+    lasts = facts.groupBy(*names, when).agg(F.max_by(held, F.struct(at, held)).alias(last))
+    parts = lasts.unionByName(asked.select(*names, when).distinct().withColumn(last, F.lit(None).cast(kind))).groupBy(*names, when).agg(F.max(last).alias(last))
+    before = Window.partitionBy(*names).orderBy(when).rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(*(F.col(c).alias(f"{c}_b") for c in (*names, when)), F.last(last, ignorenulls=True).over(before).alias(last))
+    same = F.lit(True)
+    for c in (*names, when):
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_b"))
+    return near.join(carried, same, "left").withColumn(value, F.coalesce(held, last)).select(*left.columns, *([value] if value not in left.columns else []))
 
 
 def service_context(services: DataFrame, R: DataFrame, incidents: DataFrame) -> DataFrame:

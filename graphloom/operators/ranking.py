@@ -112,6 +112,19 @@ def search_knowledge(K: DataFrame, needle: str, limit: int = 50, **equal: str) -
     return out.orderBy("id").limit(limit)
 
 
+def search_notes(K: DataFrame, A: DataFrame, I: DataFrame, needle: str, limit: int = 50) -> DataFrame:  # noqa: E741
+    """Knowledge (id, title, content), annotations (element_qualified, description) and incidents (id, title, root_cause, resolution) that hold the needle: kind, id and title, the limit's first of each kind."""
+    low = needle.lower()
+    holds = lambda *columns: F.lower(F.concat_ws("\n", *columns)).contains(low)
+    parts = (
+        K.where(holds("title", "content")).select(F.lit("knowledge").alias("kind"), F.col("id").cast("string").alias("id"), "title"),
+        A.where(holds("element_qualified", "description")).select(F.lit("annotation").alias("kind"), F.col("element_qualified").alias("id"), F.col("description").alias("title")),
+        I.where(holds("title", "root_cause", "resolution")).select(F.lit("incident").alias("kind"), F.col("id").cast("string").alias("id"), "title"),
+    )
+    first = [p.orderBy("id", "title").limit(limit) for p in parts]
+    return first[0].unionByName(first[1]).unionByName(first[2])
+
+
 def classify_intent(text: Column) -> Column:
     """A struct (score, intent): the share of an intent's words in the text; context at .5 where none is higher."""
     words = keywords(text)

@@ -14,10 +14,15 @@ def append(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], version: str | None = None) -> DataFrame:
-    """Rows replace those of the same key; of several new ones the latest version stays."""
-    if version:
-        w = Window.partitionBy(*keys).orderBy(F.desc(version))
-        rows = rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """Rows replace those of the same key; of several new ones the latest version stays, of equal or no versions that with the largest hash.
+
+    The best of a key is found before the shuffle, so a key that many rows share needs no task of its own.
+    """
+    hashed = F.xxhash64(*rows.columns)
+    order = F.struct(F.col(version), hashed) if version else hashed
+    names = [f"key_{k}" for k in range(len(keys))]
+    best = rows.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.max_by(F.struct(*rows.columns), order).alias("best"))
+    rows = best.select("best.*")
     return table.join(rows, list(keys), "left_anti").select(*table.columns).unionByName(rows, allowMissingColumns=True)
 
 
@@ -57,6 +62,17 @@ def incident_problem() -> Column:
     )
 
 
+def incident_texts_problem() -> Column:
+    """M4: the rules on the texts that an incident must or may have; null if none is broken."""
+    ticket = F.trim("linked_ticket")
+    return (
+        F.when(F.coalesce(F.trim("root_cause"), F.lit("")) == "", "root_cause")
+        .when(F.coalesce(F.trim("resolution"), F.lit("")) == "", "resolution")
+        .when(F.col("linked_ticket").isNotNull() & ((ticket == "") | ~(ticket.contains("-") | ticket.startswith("#"))), "linked_ticket")
+        .when(F.col("resolved_at") <= 0, "resolved_at")
+    )
+
+
 def may_read(member: str) -> Column:
     """M6: the permission predicate over members (array of struct user, role)."""
     return F.exists("members", lambda m: m["user"] == member)
@@ -153,7 +169,11 @@ def compress_response(df: DataFrame, by: str, order: Sequence[str | Column], mos
 
 
 def toon(df: DataFrame, name: str) -> DataFrame:
-    """One header line with the fields, then a line of comma-separated values for each row."""
+    """One header line with the fields, then a line of comma-separated values for each row.
+
+    A value with a comma, a quote, a backslash, a line end or a blank at an end is quoted, as JSON quotes it; so is a text that reads null.
+    """
     spark = df.sparkSession
+    plain = lambda c: F.coalesce(F.when(F.col(c).cast("string").rlike('[,"\\\\\\x00-\\x1f]|^ | $|^$|^null$'), F.regexp_extract(F.to_json(F.struct(F.col(c).cast("string").alias("v"))), r'^\{"v":([\s\S]*)\}$', 1)).otherwise(F.col(c).cast("string")), F.lit("null"))
     head = spark.createDataFrame([(f"{name}{{{','.join(df.columns)}}}:",)], "value string")
-    return head.unionByName(df.select(F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in df.columns)).alias("value")))
+    return head.unionByName(df.select(F.concat_ws(",", *map(plain, df.columns)).alias("value")))

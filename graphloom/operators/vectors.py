@@ -78,25 +78,31 @@ def text_blob(E: DataFrame) -> DataFrame:
     return E.select("qualified_name", blob.alias("blob")).withColumn("content_hash", F.sha2("blob", 256))
 
 
-def hashing_embedder(dim: int = 64):
-    """A deterministic embedder: signed hashed words, scaled to length 1."""
+def embedded(rows: DataFrame, text: str, dim: int = 64, name: str = "embedding") -> DataFrame:
+    """``rows`` with a vector of each text: the sums of its words' signed hashes, scaled to length 1 (without words, zeros).
+
+    A batch's distinct words are hashed once; their signs are added up by numpy.
+    """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
     import xxhash
+    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        def one(text):
-            v = np.zeros(dim)
-            for w in (text or "").lower().split():
-                h = xxhash.xxh64_intdigest(w)
-                v[h % dim] += 1 if h >> 63 else -1
-            n = np.linalg.norm(v)
-            return (v / n if n else v).astype("float32").tolist()
-
-        return texts.map(one)
+    def run(batches):
+        for batch in batches:
+            words = [(t or "").lower().split() for t in batch.column(text).to_pylist()]
+            row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            code: dict[str, int] = {}
+            number = np.array([code.setdefault(w, len(code)) for own in words for w in own], np.int64)
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in code], np.uint64)[number]
+            place = row * dim + (hashes % np.uint64(dim)).astype(np.int64)
+            x = np.bincount(place, np.where(hashes >> np.uint64(63), 1.0, -1.0), len(words) * dim).reshape(-1, dim)
+            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            flat = (x / np.where(norm == 0, 1, norm)).astype(np.float32).ravel()
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dim, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns, vectors], [*batch.schema.names, name])
 
-    return embed
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, ArrayType(FloatType()))]))
 
 
 def refresh(blobs: DataFrame, state: DataFrame) -> DataFrame:
@@ -104,7 +110,7 @@ def refresh(blobs: DataFrame, state: DataFrame) -> DataFrame:
     from .joins import stale_items
 
     todo = stale_items(blobs.select("qualified_name", "content_hash"), state).join(blobs, ["qualified_name", "content_hash"])
-    return todo.select("qualified_name", "content_hash", hashing_embedder()("blob").alias("embedding"), F.lit("fresh").alias("state"))
+    return embedded(todo.select("qualified_name", "content_hash", "blob"), "blob").select("qualified_name", "content_hash", "embedding", F.lit("fresh").alias("state"))
 
 
 def composite_score(functions: DataFrame, query: list[float]) -> DataFrame:

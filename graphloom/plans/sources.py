@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, scopes, structured, symbols
 from ..operators import ann, graphs
+from ..operators import joins as J
+from ..operators import ranking as K
+from ..operators import tables as W
+from ..operators import traversal as G
 from ..operators import vectors as V
 from ..operators.store import KeyedTable
 from ..sources import ontology
@@ -415,3 +419,100 @@ _raw(
     """SELECT 'conversations/' || conv_id || '::decision/' || turn AS qualified_name, 'decision' AS element_type, 'conversations/' || conv_id AS file_path, role AS participant,
     coalesce(text, '') || ' We decided on src/m' || (conv_id % 9) || '.py and lib/x.rs.' AS verbatim FROM conversations WHERE turn % 3 = 0""",
 )
+
+# Graphs more than one level deep: part k calls parts k / 2 and k / 3; suppliers' services call one another
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    k = load(spark, d, "part").select(F.col("p_partkey").alias("k"), F.explode(F.array(F.lit(2), F.lit(3))).alias("by")).where("k > 0")
+    return k.select(F.format_string("function/%d", "k").alias("source_qualified"), F.format_string("function/%d", F.floor(F.col("k") / F.col("by"))).alias("target_qualified"), F.lit("calls").alias("rel_type"), F.lit(1.0).alias("confidence"), F.lit("local").alias("env")).distinct()
+
+
+_CALLS = """WITH RECURSIVE e AS (SELECT DISTINCT 'function/' || p_partkey AS a, 'function/' || (p_partkey // q) AS b FROM part, (SELECT unnest([2, 3]) AS q) WHERE p_partkey > 0),
+"""
+_raw(
+    "g2_calls_in_depth",
+    lambda s, d: G.call_graph(_calls(s, d), "function/199", 4),
+    _CALLS + """r AS (SELECT 'function/199' AS n, 0 AS l UNION SELECT b, l + 1 FROM r JOIN e ON a = n WHERE l < 4), m AS (SELECT n, min(l) AS l FROM r GROUP BY 1)
+SELECT a AS source_qualified, b AS target_qualified, CAST(l + 1 AS INT) AS depth FROM e JOIN m ON a = n WHERE l < 4""",
+)
+_raw(
+    "g8_subgraph_in_depth",
+    lambda s, d: G.subgraph(_calls(s, d), "function/30", 3).select("source_qualified", "target_qualified"),
+    _CALLS + """w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT 'function/30' AS n, 0 AS l UNION SELECT b, l + 1 FROM r JOIN w ON a = n WHERE l < 3)
+SELECT a AS source_qualified, b AS target_qualified FROM e WHERE a IN (SELECT n FROM r) AND b IN (SELECT n FROM r)""",
+)
+
+
+def _services(spark: SparkSession, d: str) -> DataFrame:
+    supplier = load(spark, d, "supplier")
+    R = supplier.select(F.format_string("service/%d", "s_nationkey").alias("source_qualified"), F.format_string("service/%d", F.col("s_suppkey") % 25).alias("target_qualified"), F.lit("service_calls").alias("rel_type"))
+    services = load(spark, d, "nation").select(F.format_string("service/%d", "n_nationkey").alias("qualified_name"))
+    incidents = supplier.where("s_acctbal < 0").select(F.format_string("service/%d", "s_nationkey").alias("qualified_name"))
+    return J.service_context(services, R, incidents).select("qualified_name", "calls_out", "calls_in", "incidents")
+
+
+_raw(
+    "e20_calls_both_ways",
+    _services,
+    """SELECT 'service/' || n_nationkey AS qualified_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS calls_out, (SELECT count(*) FROM supplier WHERE s_suppkey % 25 = n_nationkey) AS calls_in,
+    (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < 0) AS incidents FROM nation""",
+)
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    part, supplier = load(spark, d, "part"), load(spark, d, "supplier")
+    knowledge = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("content"))
+    notes = part.select(F.format_string("function/%d", "p_partkey").alias("element_qualified"), F.col("p_name").alias("description"))
+    incidents = supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.lit("ring broken").alias("root_cause"), F.lit(None).cast("string").alias("resolution"))
+    return K.search_notes(knowledge, notes, incidents, "Ring", 30)
+
+
+_raw(
+    "d16_all_notes",
+    _notes,
+    """SELECT * FROM (SELECT 'knowledge' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name AS title FROM part WHERE contains(lower(p_name || chr(10) || p_type), 'ring') ORDER BY id, title LIMIT 30)
+UNION ALL SELECT * FROM (SELECT 'annotation', 'function/' || p_partkey AS id, p_name AS title FROM part WHERE contains(lower(p_name), 'ring') ORDER BY id, title LIMIT 30)
+UNION ALL SELECT * FROM (SELECT 'incident', CAST(s_suppkey AS VARCHAR) AS id, s_name AS title FROM supplier ORDER BY id, title LIMIT 30)""",
+)
+_raw(
+    "c7_toon_quoted",
+    lambda s, d: W.toon(load(s, d, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.concat_ws(", ", "p_name", "p_brand")).otherwise(F.concat("p_name", F.lit('"'))).alias("label")), "part"),
+    """SELECT 'part{p_partkey,label}:' AS value UNION ALL
+SELECT p_partkey || ',' || CASE WHEN p_size > 25 THEN '"' || p_name || ', ' || p_brand || '"' ELSE '"' || p_name || '\\"' || '"' END FROM part""",
+)
+
+
+def _tickets(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = load(spark, d, "orders").select(
+        "o_orderkey", F.when(k % 11 == 0, " ").otherwise("cause").alias("root_cause"), F.when(k % 7 != 0, "done").alias("resolution"), F.when(k % 5 == 0, F.lit("12")).when(k % 5 == 1, F.lit("#12")).when(k % 5 == 2, F.lit("T-1")).when(k % 5 == 3, F.lit("")).alias("linked_ticket"),
+        F.when(k % 3 == 0, F.lit(0)).when(k % 3 == 1, F.lit(5)).cast("long").alias("resolved_at"),
+    )
+    return rows.select("o_orderkey", W.incident_texts_problem().alias("problem"))
+
+
+_raw(
+    "m4_incident_texts",
+    _tickets,
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'root_cause' WHEN o_orderkey % 7 = 0 THEN 'resolution' WHEN o_orderkey % 5 IN (0, 3) THEN 'linked_ticket' WHEN o_orderkey % 3 = 0 THEN 'resolved_at' END AS problem FROM orders",
+)
+
+
+def _embedded(spark: SparkSession, d: str) -> DataFrame:
+    """I8: parts are embedded where their state is missing, stale or of another text; then all states are fresh but those of parts that are gone."""
+    part = load(spark, d, "part").select(F.format_string("function/%d", "p_partkey").alias("qualified_name"), F.concat_ws(" ", "p_name", "p_type").alias("blob"), F.col("p_size").alias("size")).withColumn("content_hash", F.sha2("blob", 256))
+    states = KeyedTable.satellite(spark, shared_folder(spark), "embedding_state", buckets=8)
+    old = F.when(F.col("size") % 3 == 0, "other").otherwise(F.col("content_hash"))
+    states.upsert(part.where("size % 5 > 0").select("qualified_name", old.alias("content_hash"), F.when(F.col("size") % 4 == 0, "stale").otherwise("fresh").alias("state"), F.lit(1).alias("updated_at")))
+    done = V.refresh(part.select("qualified_name", "content_hash", "blob"), states.read())
+    states.upsert(done.select("qualified_name", "content_hash", "state", F.lit(2).alias("updated_at")))
+    states.delete(states.read().join(part.where("size <> 1"), "qualified_name", "left_anti"))
+    return states.read().groupBy("state", "updated_at").agg(F.count("*").alias("n"))
+
+
+_raw(
+    "i8_embedding_states",
+    _embedded,
+    "SELECT 'fresh' AS state, CAST(CASE WHEN p_size % 5 = 0 OR p_size % 4 = 0 OR p_size % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS updated_at, count(*) AS n FROM part WHERE p_size <> 1 GROUP BY ALL",
+)

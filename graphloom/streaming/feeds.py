@@ -31,21 +31,22 @@ def distinct_within(E: DataFrame, keys: list[str], late: str) -> DataFrame:
     return E.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_sink(target: str, keys: list[str]):
-    """A foreachBatch function that merges each batch into versioned snapshots of a table.
+def upsert_sink(target: str, keys: list[str], version: str | None = None, buckets: int = 64):
+    """A foreachBatch function that merges each batch into the keyed table in ``target``, made by the first one.
 
-    A batch writes the whole new version beside the old ones; repeating a batch
-    writes the same version again, so a restart changes nothing.
+    Only the buckets of a batch's keys are rewritten. A stream may begin at any
+    batch, and one that is delivered again changes nothing. Of rows of one key the largest
+    ``version`` stays; without one, the number of the batch counts as version.
     """
-    from ..operators.tables import upsert
+    from ..operators.store import KeyedTable
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        out = new
-        if batch_id > 0:
-            out = upsert(spark.read.parquet(f"{target}/version={batch_id - 1}"), new, keys)
-        out.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        rows = batch if version else batch.withColumn("batch", F.lit(batch_id).cast("long"))
+        table = KeyedTable(spark, target)
+        if not table.files.names("manifests"):
+            table = KeyedTable.create(spark, target, rows.schema, keys, version or "batch", buckets)
+        table.upsert(rows, "feed", batch_id)
 
     return merge
 

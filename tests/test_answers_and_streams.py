@@ -5,7 +5,9 @@ import datetime
 import pytest
 from graphloom.functions import compress
 from graphloom.operators import questions
+from graphloom.operators import joins as J
 from graphloom.operators import tables as W
+from graphloom.operators.store import KeyedTable
 from graphloom.streaming import feeds
 from pyspark.sql import functions as F
 
@@ -73,4 +75,36 @@ def test_upsert_sink_is_idempotent(spark, tmp_path):
     merge(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), 0)
     for _ in range(2):
         merge(spark.createDataFrame([(2, "c")], "k int, v string"), 1)
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t/version=1").collect())) == [(1, "a"), (2, "c")]
+    assert sorted((r["k"], r["v"]) for r in KeyedTable(spark, f"{tmp_path}/t").read().collect()) == [(1, "a"), (2, "c")]
+    merge = feeds.upsert_sink(f"{tmp_path}/late", ["k"], "at", 4)
+    merge(spark.createDataFrame([(1, 5), (1, 7), (1, 6)], "k int, at long"), 40)  # a stream may begin at any batch
+    merge(spark.createDataFrame([(1, 3), (2, 1)], "k int, at long"), 41)
+    assert sorted(map(tuple, KeyedTable(spark, f"{tmp_path}/late").read().collect())) == [(1, 7), (2, 1)]
+
+
+def test_as_of_over_days_and_clashing_names(spark):
+    import random
+
+    rng = random.Random(5)
+    day = 86_400
+    right = [(rng.choice("ab"), rng.randrange(6) * day + rng.choice([0, 5, 900]), rng.choice([None, 1, 2, 3])) for _ in range(60)] + [(None, 3, 9), ("a", None, 7)]
+    left = [(k, rng.choice("abc"), rng.randrange(-1, 8) * day + rng.choice([0, 4, 5, 6, 901]), 70 + k) for k in range(80)] + [(900, None, 5, 0), (901, "a", None, 1)]
+    L = spark.createDataFrame(left, "id int, __t string, at long, __v int")
+    R = spark.createDataFrame(right, "__t string, when long, found int")
+    got = {r["id"]: (r["found"], r["__v"]) for r in J.as_of(L, R, ["__t"], "at", "when", "found").collect()}
+    for k, key, at, v in left:
+        best = max(((t, f) for q, t, f in right if q == key and t is not None and f is not None and at is not None and t <= at), default=(0, None))
+        assert got[k] == (best[1], v)
+    assert len(got) == len(left)
+
+
+def test_toon_quotes_what_would_break_a_row(spark):
+    rows = spark.createDataFrame([("plain", 1), ("a,b", 2), ('say "x"', None), ("two\nlines", 3), (" blank", 4), ("null", 5), (None, 6), ("", 7)], "s string, n int")
+    assert {r["value"] for r in W.toon(rows, "t").collect()} == {"t{s,n}:", "plain,1", '"a,b",2', '"say \\"x\\"",null', '"two\\nlines",3', '" blank",4', '"null",5', "null,6", '"",7'}
+
+
+def test_upsert_without_a_version_keeps_one_row_of_a_key(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    n = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "k int, v string")
+    out = sorted(map(tuple, W.upsert(t, n, ["k"]).collect()))
+    assert [k for k, _ in out] == [1, 2, 3] and out[1][1] in "cd"

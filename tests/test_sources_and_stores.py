@@ -293,3 +293,16 @@ def test_layout_against_exact_forces(spark, dims):
     assert (got * want).sum() / np.sqrt((got**2).sum() * (want**2).sum()) > 0.9
     assert energy(layout.force_layout(R, dims, rounds=5).collect()) < energy(rows)
     assert layout.force_layout(R.where("false"), dims).collect() == []
+
+
+def test_embedder_against_plain_sums(spark):
+    import xxhash
+
+    texts = ["One two one", "", None, "ünï çode two", "two " * 500]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, blob string")
+    for r in vectors.embedded(rows, "blob", 16).collect():
+        v = np.zeros(16)
+        for w in (texts[r["k"]] or "").lower().split():
+            h = xxhash.xxh64_intdigest(w)
+            v[h % 16] += 1 if h >> 63 else -1
+        assert np.allclose(r["embedding"], v / max(np.linalg.norm(v), 1e-12), atol=1e-6)
