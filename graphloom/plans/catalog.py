@@ -101,16 +101,16 @@ _add("e6_surprising_edges", lambda E, R: J.surprising_edges(E, R, A.god_nodes(E,
 _add("e7_focus", lambda E, R: J.induced(E, R, F.col("element_type").isin("module", "directory"))[1].select(_REDGE), f"SELECT {_redge} FROM edges WHERE source_qualified IN (SELECT qualified_name FROM elements WHERE element_type IN ('module', 'directory')) AND target_qualified IN (SELECT qualified_name FROM elements WHERE element_type IN ('module', 'directory'))")
 _add("e8_consistency", lambda E, R: J.consistency(E, R, AT).groupBy("issue").agg(F.count("*").alias("n")),
      f"SELECT issue, count(*) AS n FROM (SELECT CASE WHEN {_TO} < {AT} THEN 'STALE' WHEN target_qualified NOT IN (SELECT qualified_name FROM elements) THEN 'TARGET_MISSING' WHEN source_qualified NOT IN (SELECT qualified_name FROM elements) THEN 'SOURCE_MISSING' END AS issue FROM edges) WHERE issue IS NOT NULL GROUP BY 1")
-_add("e9_dead_code", lambda E, R: J.dead_code(E, R.where("rel_type <> 'calls' or target_qualified < 'class/5'"), 50).select("qualified_name"),
-     "SELECT qualified_name FROM elements e WHERE element_type = 'function' AND line_end - line_start >= 99 AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.rel_type = 'calls' AND r.target_qualified < 'class/5' AND r.source_qualified = e.qualified_name)")
+_raw("e9_dead_code", lambda s, d: J.dead_code(elements(s, d), load(s, d, "lineitem").select(F.format_string("function/%d", "l_orderkey").alias("source_qualified"), F.format_string("function/%d", F.col("l_partkey") * 3).alias("target_qualified"), F.lit("calls").alias("rel_type")), 50).select("qualified_name"),
+     CTE + "SELECT qualified_name FROM elements WHERE element_type = 'function' AND line_end - line_start >= 99 AND qualified_name NOT IN (SELECT 'function/' || l_orderkey FROM lineitem) AND qualified_name NOT IN (SELECT 'function/' || (l_partkey * 3) FROM lineitem)")
 _raw("e10_orphans", lambda s, d: J.orphans(load(s, d, "embeddings").select(F.concat(F.lit("struct/"), F.col("vec_id") * 5).alias("qualified_name")), elements(s, d)), CTE + "SELECT 'struct/' || (vec_id * 5) AS qualified_name FROM embeddings WHERE 'struct/' || (vec_id * 5) NOT IN (SELECT qualified_name FROM elements)")
 _raw("e11_stale", lambda s, d: J.stale_items(load(s, d, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("qualified_name"), F.md5("text").alias("content_hash")),
      load(s, d, "documents").where("lang = 'en'").select(F.concat(F.lit("doc/"), "doc_id").alias("qualified_name"), F.when(F.col("source") == "src1", F.md5("text")).otherwise("").alias("content_hash"), F.lit("fresh").alias("state"))),
      "SELECT 'doc/' || doc_id AS qualified_name, md5(text) AS content_hash FROM documents WHERE NOT coalesce(lang = 'en' AND source = 'src1', false)")
 _raw("e12_changed_files", lambda s, d: J.changed_files(load(s, d, "documents").select(F.col("doc_id").alias("path"), F.md5("text").alias("hash")), load(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("path"), F.md5(F.lower("text")).alias("hash"))),
      "SELECT doc_id AS path, md5(text) AS hash FROM documents WHERE coalesce(lang <> 'en', true) OR md5(text) <> md5(lower(text))")
-_e("e13_cross_repo", lambda E: J.cross_repo_similar(E.where("element_type in ('struct', 'function')"), F.col("language"), F.concat_ws(":", "line_end", "env"), 100),
-   "SELECT x.symbol, x.repo AS repo_a, x.q AS a, y.repo AS repo_b, y.q AS b FROM (SELECT line_end || ':' || env AS symbol, language AS repo, min(qualified_name) AS q FROM elements WHERE element_type IN ('struct', 'function') GROUP BY 1, 2) x JOIN (SELECT line_end || ':' || env AS symbol, language AS repo, min(qualified_name) AS q FROM elements WHERE element_type IN ('struct', 'function') GROUP BY 1, 2) y ON x.symbol = y.symbol AND x.repo < y.repo ORDER BY x.symbol, a, b LIMIT 100")
+_e("e13_cross_repo", lambda E: J.cross_repo_similar(E, F.col("language"), F.concat_ws(":", "line_end", "env"), 100),
+   "SELECT x.symbol, x.repo AS repo_a, x.q AS a, y.repo AS repo_b, y.q AS b FROM (SELECT line_end || ':' || env AS symbol, language AS repo, min(qualified_name) AS q FROM elements GROUP BY 1, 2) x JOIN (SELECT line_end || ':' || env AS symbol, language AS repo, min(qualified_name) AS q FROM elements GROUP BY 1, 2) y ON x.symbol = y.symbol AND x.repo < y.repo ORDER BY x.symbol, a, b LIMIT 100")
 _add("e17_tests", lambda E, R: J.tests_of(R, "function/1").select(_REDGE), f"SELECT {_redge} FROM edges WHERE source_qualified = 'function/1' AND (rel_type IN ('tested_by', 'tests') OR contains(target_qualified, 'test') OR contains(target_qualified, 'spec'))")
 _add("e17_related_docs", lambda E, R: J.related_docs(R, "service/3"), "SELECT DISTINCT source_qualified AS doc FROM edges WHERE target_qualified = 'service/3' AND rel_type = 'references'")
 _add("e17_files_of_doc", lambda E, R: J.files_of_doc(R, "function/3"), "SELECT DISTINCT target_qualified FROM edges WHERE source_qualified = 'function/3' AND rel_type = 'references'")
@@ -157,8 +157,8 @@ _e("f14_top_directories", A.top_directories, "SELECT split_part(file_path, '/',
 _e("f14_folder_children", lambda E: A.folder_children(E, "nation"), "SELECT split_part(substr(file_path, 8), '/', 1) AS child, count(*) AS n FROM elements WHERE starts_with(file_path, 'nation/') GROUP BY 1")
 _raw("f15_cost", lambda s, d: A.cost_estimate(load(s, d, "documents").select(F.col("doc_id").alias("path"), "text")).select("lines", "sloc", "bytes", "tokens"),
      "SELECT CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, CAST(sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))) AS BIGINT) AS sloc, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(CAST(ceil(strlen(text) / 4) AS BIGINT)) AS BIGINT) AS tokens FROM documents")
-_e("f17_file_summary", lambda E: A.file_summary(E.where("element_type in ('module', 'directory', 'service')")),
-   "SELECT file_path, file_path || ' has ' || count(*) || ' elements: ' || string_agg(DISTINCT element_type || ' ' || name, ', ' ORDER BY element_type || ' ' || name) AS summary FROM elements WHERE element_type IN ('module', 'directory', 'service') GROUP BY 1")
+_e("f17_file_summary", lambda E: A.file_summary(E),
+   "SELECT file_path, file_path || ' has ' || count(*) || ' elements: ' || string_agg(DISTINCT element_type || ' ' || name, ', ' ORDER BY element_type || ' ' || name) AS summary FROM elements GROUP BY 1")
 _e("f19_rollup", A.rolled_up, "SELECT element_type, env, count(*) AS n, CAST(grouping(element_type, env) AS BIGINT) AS level FROM elements GROUP BY ROLLUP (element_type, env)")
 
 # Traversal
@@ -179,8 +179,8 @@ _add("g9_communities", lambda E, R: G.communities(R).groupBy("community").agg(F.
 _add("g10_processes", lambda E, R: G.processes(R, E))
 _add("g11_timeline", lambda E, R: G.timeline(R).groupBy("event").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last")),
      f"SELECT 'added' AS event, count({_FROM}) AS n, min({_FROM}) AS first, max({_FROM}) AS last FROM edges UNION ALL SELECT 'invalidated', count({_TO}), min({_TO}), max({_TO}) FROM edges")
-_e("g13_budget", lambda E: G.budgeted(E.where("element_type = 'class'"), 500).select("qualified_name", "tokens", "running"),
-   "SELECT * FROM (SELECT qualified_name, tokens, CAST(sum(tokens) OVER (PARTITION BY file_path ORDER BY tokens DESC, qualified_name ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM (SELECT *, CAST(ceil((line_end - line_start + 1) * 10 / 4) AS BIGINT) AS tokens FROM elements WHERE element_type = 'class')) WHERE running <= 500")
+_e("g13_budget", lambda E: G.budgeted(E, 500).select("qualified_name", "tokens", "running"),
+   "SELECT * FROM (SELECT qualified_name, tokens, CAST(sum(tokens) OVER (PARTITION BY file_path ORDER BY tokens DESC, qualified_name ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM (SELECT *, CAST(ceil((line_end - line_start + 1) * 10 / 4) AS BIGINT) AS tokens FROM elements)) WHERE running <= 500")
 
 # Vectors
 _COS = "round(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[])) * list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))), 6)"
@@ -195,8 +195,8 @@ _raw("j_entropy", lambda s, d: load(s, d, "part").select("p_partkey", F.round(T.
      "SELECT p_partkey, round(-sum(n / strlen(p_name) * log2(n / strlen(p_name))), 6) + 0 AS entropy FROM (SELECT p_partkey, p_name, c, count(*) AS n FROM (SELECT p_partkey, p_name, unnest(string_split(p_name, '')) AS c FROM part) GROUP BY 1, 2, 3) GROUP BY 1, p_name")
 _raw("j_tokens", lambda s, d: load(s, d, "conversations").groupBy("role").agg(F.sum(T.token_estimate(F.col("text"))).alias("tokens")), "SELECT role, CAST(sum(CAST(ceil(strlen(text) / 4) AS BIGINT)) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
 _e("b3_languages", lambda E: E.groupBy(T.language_of(F.col("file_path")).alias("lang")).agg(F.count("*").alias("n")), "SELECT CASE split_part(file_path, '.', -1) WHEN 'md' THEN 'markdown' WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'go' THEN 'go' ELSE 'yaml' END AS lang, count(*) AS n FROM elements GROUP BY 1")
-_e("b11_structure", lambda E: T.physical_structure(E.where("element_type in ('directory', 'service')").select(F.col("file_path").alias("path")).distinct()),
-   """SELECT DISTINCT array_to_string(p[1:i], '/') AS source_qualified, array_to_string(p[1:i + 1], '/') AS target_qualified, 'contains' AS rel_type FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT DISTINCT string_split(file_path, '/') AS p FROM elements WHERE element_type IN ('directory', 'service')))""")
+_e("b11_structure", lambda E: T.physical_structure(E.select(F.col("file_path").alias("path")).distinct()),
+   """SELECT DISTINCT array_to_string(p[1:i], '/') AS source_qualified, array_to_string(p[1:i + 1], '/') AS target_qualified, 'contains' AS rel_type FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT DISTINCT string_split(file_path, '/') AS p FROM elements))""")
 
 # Writing semantics and exports
 _e("a31_delete_where", lambda E: W.delete_where(E, F.col("parent_qualified").startswith("class/")).groupBy("element_type").agg(F.count("*").alias("n")), "SELECT element_type, count(*) AS n FROM elements WHERE NOT coalesce(starts_with(parent_qualified, 'class/'), false) GROUP BY 1")

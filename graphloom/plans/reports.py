@@ -55,8 +55,8 @@ def _supply(s, d):
 
 _raw("g15_triangles", lambda s, d: P.triangles(_supply(s, d)), f"WITH e AS ({_SUPPLY}), u AS (SELECT DISTINCT least(s, t) AS a, greatest(s, t) AS b FROM e) SELECT x.a AS a, x.b AS b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b")
 _SWEEP = "r{k} AS (SELECT node, 0.15 / (SELECT count(*) FROM v) + 0.85 * coalesce(got, 0) AS rank FROM v LEFT JOIN (SELECT t AS node, sum(rank / fan) AS got FROM m JOIN r{j} ON s = node GROUP BY 1) USING (node))"
-_raw("g15_page_rank", lambda s, d: P.page_rank(_supply(s, d), 4).withColumn("rank", F.round("rank", 9)), f"WITH e AS ({_SUPPLY}), m AS (SELECT s, t, count(*) OVER (PARTITION BY s) AS fan FROM e), v AS (SELECT s AS node FROM e UNION SELECT t FROM e), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v), "
-     + ", ".join(_SWEEP.format(k=k, j=k - 1) for k in range(1, 5)) + " SELECT node, round(rank, 9) AS rank FROM r4")
+_raw("g15_page_rank", lambda s, d: P.page_rank(_supply(s, d), 10).withColumn("rank", F.round("rank", 9)), f"WITH e AS ({_SUPPLY}), m AS (SELECT s, t, count(*) OVER (PARTITION BY s) AS fan FROM e), v AS (SELECT s AS node FROM e UNION SELECT t FROM e), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v), "
+     + ", ".join(_SWEEP.format(k=k, j=k - 1) for k in range(1, 11)) + " SELECT node, round(rank, 9) AS rank FROM r10")
 _add("c5_html", P.html, """SELECT 0 AS place, '<!doctype html><title>Graph</title>' AS value UNION ALL SELECT 1, '<section id="' || qualified_name || '">' || element_type || ' ' || name || '</section>' FROM elements
     UNION ALL SELECT 2, '<a href="#' || target_qualified || '" data-from="' || source_qualified || '">' || rel_type || '</a>' FROM edges""")
 _AT = f"SELECT qualified_name, name, CAST(500 + round(400 * cos(t)) AS BIGINT) AS x, CAST(500 + round(400 * sin(t)) AS BIGINT) AS y FROM (SELECT *, 2 * pi() * (row_number() OVER (ORDER BY degree DESC, qualified_name) - 1) / 100 AS t FROM (SELECT qualified_name, name, coalesce(degree, 0) AS degree FROM elements LEFT JOIN ({_DEG}) USING (qualified_name) ORDER BY degree DESC, qualified_name LIMIT 100))"
