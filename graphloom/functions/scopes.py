@@ -1,11 +1,12 @@
-"""Elements and calls of source files with their scopes (rows B4, B10).
+"""Elements, calls and notes of source files with their scopes (rows B4, B10, B12).
 
 One pass over a file's tokens keeps a stack of open scopes. Comments and strings
 are passed over. In languages with braces, the tokens since the last statement
 say, when a brace opens, whether it opens a class, a function or a plain block;
 in those with indents a scope ends before the first logical line that is
 indented no further than its head. A call belongs to the innermost function
-around it, or to the file.
+around it, or to the file; so does a note (a comment with one of a few marks) to
+the innermost scope.
 
 Whole files are read in Arrow batches: a file is one row, and nothing is
 gathered across files here; ``resolved_calls`` joins callees with definitions in
@@ -74,13 +75,15 @@ EXTENSIONS = {
 }
 #: Scopes that only hold others and are no elements.
 _HOLDERS = frozenset({"impl", "namespace", "mod", "extension"})
+#: Marks of comments that say why (fixed values), and what follows on their line.
+NOTE = re.compile(r"\b(WHY|NOTE|HACK|FIXME|XXX)\b:?[ \t]*([^\n]*)")
 _WORD = r"(?P<number>\d\w*)|(?P<name>[^\W\d]\w*)|(?P<mark>=>|->|::|[{}()\[\];=<>:.,@!*&?])|(?P<line>\n)"
 _patterns: dict[str, re.Pattern] = {}
 
 
 @dataclass
 class Token:
-    kind: str  # name, mark, line, or value (a number or string, of which only the place counts)
+    kind: str  # name, mark, line, note, or value (a number or string, of which only the place counts)
     value: str
     line: int
     column: int
@@ -109,6 +112,9 @@ def tokens(text: str, language: str) -> Iterator[Token]:
                 line, begin = line + n, text.rfind("\n", m.start(), at) + 1
             if m.group().lstrip()[:1] not in ("/", "#"):
                 yield Token("value", "0", line, column)
+            else:
+                for note in NOTE.finditer(text, m.start(), at):
+                    yield Token("note", f"{note[1]} {note[2].removesuffix('*/').strip()}", line - text.count("\n", note.start(), at), column)
             continue
         yield Token(kind, m.group(), line, m.start() - begin)
         if kind == "line":
@@ -126,6 +132,7 @@ class Scope:
     end: int = 0
     indent: int = -1
     calls: list[tuple[str, int]] = field(default_factory=list)
+    notes: list[tuple[str, int]] = field(default_factory=list)
 
 
 class Walk:
@@ -166,6 +173,9 @@ def indented(path: str, text: str) -> list[Scope]:
     walk, rules = Walk(path), RULES["python"]
     depth, fresh, last, before, head = 0, True, 1, None, None
     for t in tokens(text.expandtabs(8), "python"):
+        if t.kind == "note":
+            next(s for s in reversed(walk.open) if s.indent < t.column).notes.append((t.value, t.line))
+            continue
         if t.kind == "line":
             fresh = fresh or depth == 0
             continue
@@ -253,7 +263,7 @@ def braced(path: str, text: str, language: str) -> list[Scope]:
     stream = list(tokens(text, language))
     follows = [""] * len(stream)  # the next token that is no line end
     for k in reversed(range(len(stream) - 1)):
-        follows[k] = stream[k + 1].value if stream[k + 1].kind != "line" else follows[k + 1]
+        follows[k] = stream[k + 1].value if stream[k + 1].kind not in ("line", "note") else follows[k + 1]
 
     def statement(line: int) -> None:
         """A statement ends without a brace: maybe a function without a body, or with an expression for one."""
@@ -279,6 +289,9 @@ def braced(path: str, text: str, language: str) -> list[Scope]:
     before, last = None, 1
     for k, t in enumerate(stream):
         f = frames[-1]
+        if t.kind == "note":
+            walk.open[-1].notes.append((t.value, t.line))
+            continue
         if t.kind == "line":
             tail = f.header[-1][0] if f.header else ""
             if rules.lines and f.depth == 0 and f.header and tail not in ("=", ",", "=>", "->", ":", ".", "<", "&", "?") and tail not in rules.functions | rules.classes and follows[k] not in ("{", ".", "=", "=>", "->", ":", "?", "where", "throws", "else"):
@@ -334,11 +347,11 @@ def scopes(path: str, text: str | None) -> list[Scope]:
     return indented(path, text or "") if language == "python" else braced(path, text or "", language)
 
 
-SCHEMA = "file_path string, kind string, element_type string, name string, qualified_name string, parent_qualified string, line_start int, line_end int"
+SCHEMA = "file_path string, kind string, element_type string, name string, qualified_name string, parent_qualified string, line_start int, line_end int, detail string"
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """files (path, text) -> a row for each element (kind 'element') and call (kind 'call': qualified_name is the caller, name the callee)."""
+    """files (path, text) -> a row for each element (kind 'element') and call (kind 'call': qualified_name is the caller, name the callee) and note (kind 'note': its scope, its mark, and the detail that it says)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,18 +359,45 @@ def scan(files: DataFrame) -> DataFrame:
                 rows = []
                 for s in scopes(path or "", text):
                     if s.kind != "file" and s.element:
-                        rows.append((path, "element", s.element, s.name, s.qualified, s.parent, s.line, s.end))
-                    rows += [(path, "call", None, name, s.qualified, None, line, line) for name, line in s.calls]
+                        rows.append((path, "element", s.element, s.name, s.qualified, s.parent, s.line, s.end, None))
+                    rows += [(path, "call", None, name, s.qualified, None, line, line, None) for name, line in s.calls]
+                    rows += [(path, "note", None, said.split(" ", 1)[0], s.qualified, None, line, line, said.split(" ", 1)[1]) for said, line in s.notes]
                 if rows:
-                    kinds = [pa.string()] * 6 + [pa.int32()] * 2
+                    kinds = [pa.string()] * 6 + [pa.int32()] * 2 + [pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return files.select("path", "text").mapInArrow(run, SCHEMA)
 
 
+def signatures(files: DataFrame) -> DataFrame:
+    """J: files (path, text) -> path and outline: the lines on which elements begin, each with its number and indented by its depth; files without elements have an empty one."""
+
+    def outline(path: str | None, text: str | None) -> str:
+        lines, out = (text or "").split("\n"), []
+        for s in scopes(path or "", text):
+            if s.kind != "file" and s.element:
+                depth = s.qualified.count("::") - 1
+                out.append(f"{s.line}: {'  ' * depth}{lines[s.line - 1].strip().rstrip('{:').rstrip()}")
+        return "\n".join(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [outline(p, t) for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "outline"])
+
+    return files.select("path", "text").mapInArrow(run, "path string, outline string")
+
+
 def elements(found: DataFrame) -> DataFrame:
     """The elements among what ``scan`` found."""
-    return found.where("kind = 'element'").drop("kind")
+    return found.where("kind = 'element'").drop("kind", "detail")
+
+
+def rationale_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The notes among what ``scan`` found as nodes, and explained_by edges from their scopes."""
+    notes = found.where("kind = 'note'").withColumn("node", F.concat(F.col("file_path"), F.lit("::note#L"), F.col("line_start").cast("string"))).dropDuplicates(["node"])
+    nodes = notes.select(F.col("node").alias("qualified_name"), F.lit("rationale").alias("element_type"), "name", "file_path", "line_start", "detail")
+    return nodes, notes.select(F.col("qualified_name").alias("source_qualified"), F.col("node").alias("target_qualified"), F.lit("explained_by").alias("rel_type"))
 
 
 def calls(found: DataFrame, noise: frozenset[str] = NOISE) -> DataFrame:

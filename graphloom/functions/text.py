@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 # Languages by file extension.
 LANGUAGES = {"py": "python", "rs": "rust", "go": "go", "ts": "typescript", "js": "javascript", "java": "java", "kt": "kotlin", "sql": "sql", "md": "markdown", "yaml": "yaml", "yml": "yaml", "c": "c", "cpp": "cpp", "rb": "ruby", "swift": "swift", "tf": "terraform", "xml": "xml", "json": "json", "sh": "shell"}
+LANGUAGES |= dict(
+    h="c", cc="cpp", cxx="cpp", hpp="cpp", hh="cpp", hxx="cpp", bash="shell", zsh="shell", fish="fish", rake="ruby", gemspec="ruby", php="php", phtml="php", pl="perl", pm="perl", r="r", ex="elixir", exs="elixir", erl="erlang", hrl="erlang",
+    scala="scala", sc="scala", jsx="javascript", mjs="javascript", cjs="javascript", tsx="typescript", vue="vue", svelte="svelte", kts="kotlin", dart="dart", m="objective-c", mm="objective-c", cs="csharp", fs="fsharp", vb="visualbasic", lua="lua",
+    hs="haskell", ml="ocaml", mli="ocaml", clj="clojure", cljs="clojure", groovy="groovy", gradle="groovy", jl="julia", nim="nim", zig="zig", sol="solidity", proto="protobuf", graphql="graphql", html="html", htm="html", css="css", scss="scss", less="less",
+    toml="toml", ini="ini", hcl="terraform", tfvars="terraform", cmake="cmake", ps1="powershell", tex="latex", rst="restructuredtext", cu="cuda", asm="assembly", s="assembly", v="verilog", sv="verilog", vhd="vhdl", f90="fortran", pas="pascal", lisp="lisp", el="lisp", scm="scheme", rkt="racket", d="d",
+)
 
 
 def language_of(path: Column) -> Column:

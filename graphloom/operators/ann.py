@@ -48,7 +48,7 @@ def _row(*values: tuple[object, pa.DataType]) -> list[pa.Array]:
 
 
 def blocks(V: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, embedding) as blocks (n, ids, matrix) of at most ``size`` unit vectors; rows without a vector or key have no part in a search."""
+    """(key, embedding) as blocks (n, ids, matrix) of at most ``size`` unit vectors; rows without a vector of numbers or without a key have no part in a search; all vectors must have one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,7 +57,7 @@ def blocks(V: DataFrame, key: str, size: int) -> DataFrame:
                 x = _matrix(part.column(1))
                 yield pa.RecordBatch.from_arrays(_row((len(x), pa.int32()), (np.asarray(part.column(0)).astype("<i8").tobytes(), pa.binary()), (x.astype("<f8").tobytes(), pa.binary())), ["n", "ids", "matrix"])
 
-    usable = V.select(F.col(key).cast("long").alias("id"), "embedding").where(f"id IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL)")
+    usable = V.select(F.col(key).cast("long").alias("id"), "embedding").where(f"id IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL OR isnan(x))")
     return usable.mapInArrow(run, BLOCK)
 
 
@@ -152,7 +152,8 @@ class Index:
 def train(V: DataFrame, lists: int, parts: int, seed: int = 1) -> Books:
     """Train on a sample of at most ``TRAIN_ROWS`` vectors, taken by hash of the id, so that a repeat takes the same."""
     rows = V.select(F.col("vec_id").cast("long").alias("id"), "embedding").where("id IS NOT NULL AND size(embedding) > 0")
-    share = min(1.0, TRAIN_ROWS / max(1, rows.count()))
+    n = rows.count()
+    share = 1.0 if n <= TRAIN_ROWS else 0.95 * TRAIN_ROWS / n
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)).limit(TRAIN_ROWS)
     held = [np.frombuffer(bytes(r["matrix"]), "<f8").reshape(r["n"], -1) for r in blocks(picked.withColumnRenamed("id", "vec_id"), "vec_id", VECTOR_BLOCK).collect()]
     x = np.concatenate(held)

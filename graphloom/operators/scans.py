@@ -19,7 +19,7 @@ def among(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     if len(values) <= LIST_LIMIT:
         return df.where(F.col(column).isin(list(values)))
     keys = df.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(values)], f"{column} string")
-    return df.join(F.broadcast(keys), column, "left_semi")
+    return df.join(keys, column, "left_semi")  # Spark broadcasts them if they are few
 
 
 def find_element(E: DataFrame, qualified_name: str) -> DataFrame:

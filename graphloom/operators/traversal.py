@@ -47,12 +47,30 @@ def reach(moves: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def reach_by_scans(R: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """As ``reach``, both ways along edges, for searches of a few levels from few nodes: a level scans the edges by source and by target.
+
+    Only frontiers are written, so the join with one broadcasts it as long as Spark's own bound allows, and nothing of the graph is shuffled.
+    """
+    seen = _step(start.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence")))
+    front = seen
+    for level in range(1, depth + 1):
+        out = R.join(front.select(F.col("node").alias("source_qualified")), "source_qualified").select(F.col("target_qualified").alias("node"), "confidence")
+        back = R.join(front.select(F.col("node").alias("target_qualified")), "target_qualified").select(F.col("source_qualified").alias("node"), "confidence")
+        step = out.unionByName(back).groupBy("node").agg(F.max("confidence").alias("confidence"))
+        front = _step(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("depth"), "confidence"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def impact_radius(E: DataFrame, R: DataFrame, start: str, depth: int, min_confidence: float = 0.0, cap: int = 10_000) -> DataFrame:
     """G1: elements within ``depth`` steps either way, with the severity."""
-    moves = symmetric(R.where(F.col("confidence") >= min_confidence)).select("node", "other", "confidence")
+    sure = R.where(F.col("confidence") >= min_confidence).select("source_qualified", "target_qualified", "confidence")
     origin = E.sparkSession.createDataFrame([(start,)], "node string")
     known = E.select(F.col("qualified_name").alias("node")).distinct()
-    found = reach(moves, origin, depth).where("depth > 0").join(known, "node", "left_semi")
+    found = reach_by_scans(sure, origin, depth).where("depth > 0").join(known, "node", "left_semi")
     return found.withColumn("severity", severity(F.col("depth"), F.col("confidence"))).orderBy("depth", "node").limit(cap)
 
 

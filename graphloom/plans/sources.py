@@ -12,9 +12,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import documents, scopes, structured, symbols
-from ..operators import ann, graphs
+from ..functions import changes, documents, scopes, services, structured, symbols
+from ..operators import ann, graphs, pack
 from ..operators import joins as J
+from ..operators import questions as Q
 from ..operators import ranking as K
 from ..operators import tables as W
 from ..operators import traversal as G
@@ -22,7 +23,7 @@ from ..operators import vectors as V
 from ..operators.store import KeyedTable
 from ..sources import ontology
 from .catalog import ORACLES, _raw
-from .views import load
+from .views import CTE, edges, elements, load
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,10 +41,10 @@ def _texts(rows: DataFrame, path: Column, head: Column, line: Column, tail: Colu
 # Part k is a function of the file of its group of twenty, in the group's language
 
 _BODIES = {
-    0: ("py", "class Box:\n", "    def make_{k}(self, n):\n        # gone_{k}(1) {{\n        text = \"def not_here(x): {{\"\n        def inner_{k}(x):\n            return helper_{k}(x)\n        return inner_{k}(n) + self.make_{f}(\n            n)\n\n", ""),
-    1: ("js", "class Box {{\n", "  make_{k}(n) {{\n    // gone_{k}(1) {{\n    const text = `function not_here(x) {{`;\n    function inner_{k}(x) {{\n      return helper_{k}(x); }}\n    return inner_{k}(n) + this.make_{f}(\n      n); }}\n\n", "}}\n"),
-    2: ("java", "public class Box {{\n", "  public int make_{k}(int n) throws Exception {{\n    /* gone_{k}(1) {{ */\n    String text = \"int not_here(int x) {{\"; char c = '{{';\n    if (n > 0) {{\n      return helper_{k}(n); }}\n    return inner_{k}(n) + this.make_{f}(\n      n); }}\n\n", "}}\n"),
-    3: ("go", "type Box struct {{ n int }}\n", "func (b *Box) make_{k}(n int) int {{\n\t// gone_{k}(1) {{\n\ttext := `func not_here(x int) {{`; c := '{{'\n\tif n > 0 {{\n\t\treturn helper_{k}(n) }}\n\treturn inner_{k}(n) + b.make_{f}(\n\t\tn) }}\n\n", ""),
+    0: ("py", "class Box:\n", "    def make_{k}(self, n):\n        # NOTE: gone_{k}(1) {{\n        text = \"def not_here(x): {{\"\n        def inner_{k}(x):\n            return helper_{k}(x)\n        return inner_{k}(n) + self.make_{f}(\n            n)\n\n", ""),
+    1: ("js", "class Box {{\n", "  make_{k}(n) {{\n    // NOTE: gone_{k}(1) {{\n    const text = `function not_here(x) {{`;\n    function inner_{k}(x) {{\n      return helper_{k}(x); }}\n    return inner_{k}(n) + this.make_{f}(\n      n); }}\n\n", "}}\n"),
+    2: ("java", "public class Box {{\n", "  public int make_{k}(int n) throws Exception {{\n    /* NOTE: gone_{k}(1) {{ */\n    String text = \"int not_here(int x) {{\"; char c = '{{';\n    if (n > 0) {{\n      return helper_{k}(n); }}\n    return inner_{k}(n) + this.make_{f}(\n      n); }}\n\n", "}}\n"),
+    3: ("go", "type Box struct {{ n int }}\n", "func (b *Box) make_{k}(n int) int {{\n\t// NOTE: gone_{k}(1) {{\n\ttext := `func not_here(x int) {{`; c := '{{'\n\tif n > 0 {{\n\t\treturn helper_{k}(n) }}\n\treturn inner_{k}(n) + b.make_{f}(\n\t\tn) }}\n\n", ""),
 }
 
 
@@ -516,3 +517,124 @@ _raw(
     _embedded,
     "SELECT 'fresh' AS state, CAST(CASE WHEN p_size % 5 = 0 OR p_size % 4 = 0 OR p_size % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS updated_at, count(*) AS n FROM part WHERE p_size <> 1 GROUP BY ALL",
 )
+
+
+# A repository for each nation, whose customers are changed files; J: outlines of the code files
+
+
+def _statuses(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    line = F.when(k % 7 == 0, F.format_string("?? new%d.py", k)).when(k % 7 == 1, F.format_string("M  a%d.py", k)).when(k % 7 == 2, F.format_string(" D b%d.py", k)).when(k % 7 == 3, F.format_string("R  old%d.py -> c%d.py", k, k)).when(k % 7 == 4, F.format_string("MM d%d.py", k)).when(k % 7 == 5, F.format_string('A  "e \\"%d\\".py"', k)).otherwise(F.format_string("!! f%d.py", k))
+    rows = load(spark, d, "customer").select(F.format_string("repo%d", "c_nationkey").alias("folder"), line.alias("line"))
+    return changes.status_changes(rows.groupBy("folder").agg(F.array_join(F.collect_list("line"), "\n").alias("status")))
+
+
+_STATUS = """WITH c AS (SELECT c_custkey AS k, 'repo' || c_nationkey || '/' AS p FROM customer),
+s AS (SELECT p || 'new' || k || '.py' AS path, NULL AS old_path, 'untracked' AS stage, 'added' AS change FROM c WHERE k % 7 = 0 UNION ALL SELECT p || 'a' || k || '.py', NULL, 'staged', 'modified' FROM c WHERE k % 7 = 1
+UNION ALL SELECT p || 'b' || k || '.py', NULL, 'unstaged', 'deleted' FROM c WHERE k % 7 = 2 UNION ALL SELECT p || 'c' || k || '.py', p || 'old' || k || '.py', 'staged', 'renamed' FROM c WHERE k % 7 = 3
+UNION ALL SELECT p || 'd' || k || '.py', NULL, unnest(['staged', 'unstaged']), 'modified' FROM c WHERE k % 7 = 4 UNION ALL SELECT p || 'e "' || k || '".py', NULL, 'staged', 'added' FROM c WHERE k % 7 = 5)
+"""
+_raw("n6_status_changes", _statuses, _STATUS + "SELECT * FROM s")
+_raw(
+    "n6_files_to_index",
+    lambda s, d: changes.files_to_index(_statuses(s, d)),
+    _STATUS + "SELECT path, CASE WHEN max(CASE change WHEN 'deleted' THEN 1 ELSE 0 END) = 1 THEN 'remove' ELSE 'index' END AS action FROM s GROUP BY 1 UNION ALL SELECT old_path, 'remove' FROM s WHERE old_path IS NOT NULL",
+)
+_raw(
+    "j_signatures",
+    lambda s, d: scopes.signatures(code_files(s, d)).select("path", F.explode(F.split("outline", "\n")).alias("line")),
+    _CODE + """SELECT path, (2 + 8 * r) || ': ' || CASE l WHEN 3 THEN '  func (b *Box) make_' || k || '(n int) int' WHEN 2 THEN '  public int make_' || k || '(int n) throws Exception' WHEN 1 THEN '  make_' || k || '(n)' ELSE '  def make_' || k || '(self, n)' END AS line FROM b
+UNION ALL SELECT path, (5 + 8 * r) || ':     ' || CASE l WHEN 1 THEN 'function' ELSE 'def' END || ' inner_' || k || '(x)' FROM b WHERE nest IS NOT NULL
+UNION ALL SELECT DISTINCT path, '1: ' || ['class Box', 'class Box', 'public class Box', 'type Box struct { n int }'][l + 1] FROM b""",
+)
+_raw(
+    "b12_rationale_nodes",
+    lambda s, d: scopes.rationale_graph(scopes.scan(code_files(s, d)))[0],
+    _CODE + "SELECT path || '::note#L' || (3 + 8 * r) AS qualified_name, 'rationale' AS element_type, 'NOTE' AS name, path AS file_path, CAST(3 + 8 * r AS INT) AS line_start, 'gone_' || k || '(1) {' AS detail FROM b",
+)
+_raw("b12_explained_by", lambda s, d: scopes.rationale_graph(scopes.scan(code_files(s, d)))[1], _CODE + "SELECT make AS source_qualified, path || '::note#L' || (3 + 8 * r) AS target_qualified, 'explained_by' AS rel_type FROM b")
+
+# Parts as tables, customers as routes and callers, suppliers as services
+
+
+def ddl_files(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "part").select(F.col("p_partkey").alias("k"), F.expr("p_partkey div 20").alias("g"))
+    line = F.format_string("CREATE TABLE IF NOT EXISTS t%d (\n  id int PRIMARY KEY,\n  up int REFERENCES t%d(id),\n  FOREIGN KEY (id) REFERENCES gone(id)\n);\n", "k", F.col("g") * 20)
+    return _texts(rows, F.format_string("db%d/schema.sql", "g"), F.lit("-- tables\n"), line, F.lit(""), "k")
+
+
+_raw(
+    "b6_table_edges",
+    lambda s, d: services.table_edges(ddl_files(s, d)),
+    """WITH t AS (SELECT p_partkey AS k, 'db' || (p_partkey // 20) || '/schema.sql' AS p, p_partkey // 20 * 20 AS f FROM part)
+SELECT p AS source_qualified, p || '::t' || k AS target_qualified, 'contains' AS rel_type FROM t UNION ALL SELECT p || '::t' || k, p || '::t' || k || '::' || unnest(['id', 'up']), 'defines' FROM t
+UNION ALL SELECT p || '::t' || k, p || '::t' || f, 'references' FROM t""",
+)
+
+
+def route_files(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    text = F.format_string("app.get('/c/%d', f)\nrouter.delete(\"/d/%d\", g)\nfetch(`https://h.x/c/%d?a=1#b`)\naxios.delete('/d/%d'); client.post('/c/%d')\n", k, F.col("c_nationkey"), k + 1, F.col("c_nationkey"), k)
+    return load(spark, d, "customer").select(F.format_string("web/r%d.js", k).alias("path"), text.alias("text"))
+
+
+_ROUTES = "WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, 'web/r' || c_custkey || '.js' AS p FROM customer)\n"
+_raw(
+    "b8_route_nodes",
+    lambda s, d: services.route_graph(route_files(s, d))[0],
+    _ROUTES + "SELECT 'route::' || name AS qualified_name, 'route' AS element_type, name, p AS file_path FROM (SELECT p, unnest(['GET /c/' || k, 'DELETE /d/' || n]) AS name FROM c)",
+)
+_raw(
+    "b8_route_edges",
+    lambda s, d: services.route_graph(route_files(s, d))[1],
+    _ROUTES + """SELECT p AS source_qualified, 'route::' || unnest(['GET /c/' || k, 'DELETE /d/' || n]) AS target_qualified, 'defines_route' AS rel_type FROM c
+UNION ALL SELECT p, 'route::GET /c/' || (k + 1), 'http_calls' FROM c WHERE k + 1 IN (SELECT k FROM c) UNION ALL SELECT p, 'route::DELETE /d/' || n, 'http_calls' FROM c""",
+)
+
+
+def service_files(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    config = F.format_string("server:\n  be_svc_%d_address: \"http://h:1\"\n  deep:\n  - be_pay_address: h:%d\n  other_address: x\n", n, k)
+    code = F.format_string("conn := grpc.NewClient(\"dns:///Svc-%d:80\") // dns://own-%d\n", n, k)
+    rows = load(spark, d, "supplier")
+    return rows.select(F.format_string("own-%d/config.yaml", k).alias("path"), config.alias("text")).unionByName(rows.select(F.format_string("own-%d/main.go", k).alias("path"), code.alias("text")))
+
+
+_raw(
+    "b9_service_calls",
+    lambda s, d: services.service_calls(service_files(s, d)),
+    """SELECT 'own-' || s_suppkey AS source_qualified, unnest(['svc-' || s_nationkey, 'pay', 'svc-' || s_nationkey]) AS target_qualified, 'service_calls' AS rel_type, unnest(['http', 'grpc', 'grpc']) AS protocol FROM supplier""",
+)
+
+# Packs and pages
+
+
+def _pack(spark: SparkSession, d: str) -> DataFrame:
+    E, R = elements(spark, d), edges(spark, d)
+    once = pack.context_pack(E, R, "nation/3", 100_000, "r1")[1]
+    again = pack.context_pack(E.repartition(7), R.repartition(5), "nation/3", 100_000)[1].select(F.col("content_hash").alias("other"))
+    return once.join(again, F.col("content_hash") == F.col("other"), "left").select("schema_version", "elements", "relationships", "source_revision", "path_scope", F.col("other").isNotNull().alias("same_hash"))
+
+
+_raw(
+    "c5_context_pack",
+    _pack,
+    CTE + """, i AS (SELECT * FROM elements WHERE file_path = 'nation/3' OR starts_with(file_path, 'nation/3/'))
+SELECT 1 AS schema_version, (SELECT count(*) FROM i) AS elements, (SELECT count(*) FROM edges WHERE source_qualified IN (SELECT qualified_name FROM i) AND target_qualified IN (SELECT qualified_name FROM i)) AS relationships, 'r1' AS source_revision, 'nation/3' AS path_scope, true AS same_hash""",
+)
+_PAGE = CTE + """, p AS (SELECT qualified_name FROM elements WHERE (file_path = 'nation/3' OR starts_with(file_path, 'nation/3/')) AND element_type IN ('class', 'service') ORDER BY 1 LIMIT 20 OFFSET 10)
+"""
+_raw("n7_page", lambda s, d: pack.graph_page(elements(s, d), edges(s, d), "nation/3", 20, 10, ["class", "service"])[0].select("qualified_name"), _PAGE + "SELECT * FROM p")
+_raw(
+    "n7_page_edges",
+    lambda s, d: pack.graph_page(elements(s, d), edges(s, d), "nation/3", 20, 10, ["class", "service"])[1].select("source_qualified", "target_qualified", "rel_type", "source_on_page", "target_on_page"),
+    _PAGE + """SELECT source_qualified, target_qualified, rel_type, source_qualified IN (SELECT * FROM p) AS source_on_page, target_qualified IN (SELECT * FROM p) AS target_on_page
+FROM edges WHERE source_qualified IN (SELECT * FROM p) OR target_qualified IN (SELECT * FROM p)""",
+)
+
+# Two nations of one region meet in their region
+_raw(
+    "g7_path_between",
+    lambda s, d: Q.question_subgraph(elements(s, d), edges(s, d), "What leads from NATION_1 to NATION_6?").where("on_path").select("source_qualified", "target_qualified", "rel_type"),
+    "SELECT 'module/' || n_regionkey AS source_qualified, 'directory/' || n_nationkey AS target_qualified, 'contains' AS rel_type FROM nation WHERE n_name IN ('NATION_1', 'NATION_6')",
+)

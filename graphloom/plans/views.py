@@ -31,18 +31,28 @@ ELEMENTS = "\nUNION ALL ".join(
 )
 
 
+_ONE = "CAST(1.0 AS DOUBLE), '{}'"
+#: Edges without a line: containment, and the calls of orders.
+PLAIN_EDGES = f"""SELECT 'module/' || n_regionkey AS source_qualified, 'directory/' || n_nationkey AS target_qualified, 'contains' AS rel_type, CAST(1.0 AS DOUBLE) AS confidence, '{{}}' AS metadata, 'local' AS env FROM nation
+        UNION ALL SELECT 'directory/' || c_nationkey, 'class/' || c_custkey, 'contains', {_ONE}, {_ENV.format(k='c_custkey')} FROM customer
+        UNION ALL SELECT 'directory/' || s_nationkey, 'service/' || s_suppkey, 'contains', {_ONE}, {_ENV.format(k='s_suppkey')} FROM supplier
+        UNION ALL SELECT 'function/' || o_orderkey, 'class/' || o_custkey, 'calls', CAST(0.9 AS DOUBLE), '{{}}', {_ENV.format(k='o_orderkey')} FROM orders"""
+#: Target and type of the two edges of a line; what both have besides.
+LINE_EDGES = [
+    ("'struct/' || (l_partkey + CASE WHEN l_linenumber = 7 THEN 10000000 ELSE 0 END)", "'imports'"),
+    ("'service/' || l_suppkey", "CASE WHEN l_linenumber % 2 = 0 THEN 'service_calls' ELSE 'references' END"),
+]
+LINE_REST = f"""'{{"valid_from":' || t || CASE WHEN l_linenumber % 3 = 0 THEN ',"valid_to":' || (t + 2592000) ELSE '' END ||
+        ',"resolution_method":"' || CASE l_linenumber % 4 WHEN 0 THEN 'typed' WHEN 1 THEN 'name' WHEN 2 THEN 'name_file_hint' ELSE 'unresolved' END || '"}}', {_ENV.format(k="l_orderkey")}"""
+
+
+def _lines(epoch: str) -> str:
+    return f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 1.0 - 5.0 * l_discount AS conf, {epoch.format('l_shipdate')} AS t FROM lineitem"
+
+
 def edges_sql(epoch: str) -> str:
-    line = "l_orderkey, l_partkey, l_suppkey, l_linenumber, 1.0 - 5.0 * l_discount AS conf, " + epoch.format("l_shipdate") + " AS t"
-    meta = """'{"valid_from":' || t || CASE WHEN l_linenumber % 3 = 0 THEN ',"valid_to":' || (t + 2592000) ELSE '' END ||
-        ',"resolution_method":"' || CASE l_linenumber % 4 WHEN 0 THEN 'typed' WHEN 1 THEN 'name' WHEN 2 THEN 'name_file_hint' ELSE 'unresolved' END || '"}'"""
-    env = _ENV.format(k="l_orderkey")
-    one = "CAST(1.0 AS DOUBLE) AS confidence, '{}' AS metadata"
-    return f"""SELECT 'module/' || n_regionkey AS source_qualified, 'directory/' || n_nationkey AS target_qualified, 'contains' AS rel_type, {one}, 'local' AS env FROM nation
-        UNION ALL SELECT 'directory/' || c_nationkey, 'class/' || c_custkey, 'contains', {one.replace(' AS confidence', '').replace(' AS metadata', '')}, {_ENV.format(k='c_custkey')} FROM customer
-        UNION ALL SELECT 'directory/' || s_nationkey, 'service/' || s_suppkey, 'contains', {one.replace(' AS confidence', '').replace(' AS metadata', '')}, {_ENV.format(k='s_suppkey')} FROM supplier
-        UNION ALL SELECT 'function/' || o_orderkey, 'class/' || o_custkey, 'calls', CAST(0.9 AS DOUBLE), '{{}}', {_ENV.format(k='o_orderkey')} FROM orders
-        UNION ALL SELECT 'function/' || l_orderkey, 'struct/' || (l_partkey + CASE WHEN l_linenumber = 7 THEN 10000000 ELSE 0 END), 'imports', CAST(conf AS DOUBLE), {meta}, {env} FROM (SELECT {line} FROM lineitem) x
-        UNION ALL SELECT 'function/' || l_orderkey, 'service/' || l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN 'service_calls' ELSE 'references' END, CAST(conf AS DOUBLE), {meta}, {env} FROM (SELECT {line} FROM lineitem) y"""
+    lines = [f"SELECT 'function/' || l_orderkey, {target}, {kind}, CAST(conf AS DOUBLE), {LINE_REST} FROM ({_lines(epoch)}) x" for target, kind in LINE_EDGES]
+    return "\n        UNION ALL ".join([PLAIN_EDGES, *lines])
 
 
 _DUCK_EPOCH = "CAST(epoch({}) AS BIGINT)"
@@ -73,9 +83,6 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges; both of a line come from one scan."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    plain, imports, services = edges_sql(_SPARK_EPOCH).rsplit("UNION ALL SELECT 'function/' || l_orderkey,", 2)
-    (part, rest), (service, _) = (x.strip().split(", CAST(conf AS DOUBLE)", 1) for x in (imports, services))
-    ends = ", ".join("named_struct('t', {}, 'r', {})".format(*x.rsplit(",", 1)) for x in (part, service))
-    rest = rest.removeprefix(", ").rsplit(" FROM (", 1)
-    lines = f"SELECT 'function/' || l_orderkey, e.t, e.r, CAST(conf AS DOUBLE), {rest[0]} FROM ({rest[1].strip().removesuffix('x')} LATERAL VIEW explode(array({ends})) v AS e"
-    return _view(spark, sf_dir, plain + "UNION ALL " + lines, ["nation", "customer", "supplier", "orders", "lineitem"])
+    ends = ", ".join(f"named_struct('t', {target}, 'r', {kind})" for target, kind in LINE_EDGES)
+    lines = f"SELECT 'function/' || l_orderkey, e.t, e.r, CAST(conf AS DOUBLE), {LINE_REST} FROM ({_lines(_SPARK_EPOCH)}) LATERAL VIEW explode(array({ends})) v AS e"
+    return _view(spark, sf_dir, PLAIN_EDGES + "\nUNION ALL " + lines, ["nation", "customer", "supplier", "orders", "lineitem"])

@@ -7,10 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions import scopes, structured, symbols
-from graphloom.operators import ann, graphs, layout, vectors
+from graphloom.functions import changes, documents, scopes, services, structured, symbols
+from graphloom.operators import ann, graphs, layout, pack, traversal, vectors
 from graphloom.operators.store import KeyedTable, reindex
-from graphloom.sources import walk
+from graphloom.sources import ontology, walk
 
 NESTED = {
     "a.py": (
@@ -306,3 +306,80 @@ def test_embedder_against_plain_sums(spark):
             h = xxhash.xxh64_intdigest(w)
             v[h % 16] += 1 if h >> 63 else -1
         assert np.allclose(r["embedding"], v / max(np.linalg.norm(v), 1e-12), atol=1e-6)
+
+
+def test_notes_belong_to_their_scope():
+    text = "# NOTE: top\nclass A:\n    # WHY not\n    def f(self):\n        x = 1  # HACK: here\n        '# FIXME no'\n        # FIXME: last\n    # XXX after f\n# NOTE end\n"
+    found = {(s.qualified, said, line) for s in scopes.scopes("a.py", text) for said, line in s.notes}
+    assert found == {("a.py", "NOTE top", 1), ("a.py::A", "WHY not", 3), ("a.py::A::f", "HACK here", 5), ("a.py::A::f", "FIXME last", 7), ("a.py::A", "XXX after f", 8), ("a.py", "NOTE end", 9)}
+    text = "/* NOTE: one\n   FIXME two */\nfn f() { // HACK three\n  g(\"// XXX no\");\n}\n"
+    found = {(s.qualified, said, line) for s in scopes.scopes("b.rs", text) for said, line in s.notes}
+    assert found == {("b.rs", "NOTE one", 1), ("b.rs", "FIXME two", 2), ("b.rs::f", "HACK three", 3)}
+
+
+def test_extractors_take_null_and_empty_texts(spark):
+    schema = "path string, text string, lang string"
+    for rows in ([], [("a/b.py", None, "x"), ("c.yaml", "", "y"), ("d.xml", "<a", "z"), ("e.sql", "create table", "q")]):
+        files = spark.createDataFrame(rows, schema)
+        frames = [scopes.scan(files), scopes.resolved_calls(scopes.scan(files)), *scopes.rationale_graph(scopes.scan(files)), *structured.android_manifest(files), *structured.layouts(files), structured.maven_dependencies(files)]
+        frames += [*structured.terraform(files), structured.gradle(files), *structured.workflows(files), *ontology.read_ontology(files), *services.route_graph(files), services.service_calls(files), services.table_edges(files)]
+        assert [f.count() for f in frames] == [0] * len(frames)
+        nodes, edges = documents.document_graph(files)
+        assert nodes.count() == len(rows) and edges.count() == 0
+        assert documents.requirement_graph(files)[0].count() == 0
+        assert scopes.signatures(files).where("outline = ''").count() == len(rows)
+    said = spark.createDataFrame([(None, 1, "user", "we decided on a.py"), (1, 2, "user", None), (1, 3, "user", "we decided on x/y.py and more")], "conv_id long, turn long, role string, text string")
+    nodes, edges = documents.conversation_graph(said)
+    assert nodes.count() == 1 and [r["target_qualified"] for r in edges.collect()] == ["x/y.py"]
+
+
+def test_headings_in_fenced_code_and_equal_titles(spark):
+    text = "intro\n# A\n```\n# not\n~~~\n# B\n## A\nx\n# A #\n"
+    nodes, edges = documents.document_graph(spark.createDataFrame([("d/x.md", text)], "path string, text string"))
+    found = {(r["name"], r["line_start"], r["line_end"], r["parent_qualified"]) for r in nodes.where("element_type = 'doc_section'").collect()}
+    assert found == {("A", 2, 5, "d/x.md"), ("B", 6, 8, "d/x.md"), ("A", 7, 8, "d/x.md::B#L6"), ("A", 9, 10, "d/x.md")}
+    assert edges.count() == 4
+
+
+def test_statuses_of_nested_repositories(spark):
+    listing = "M  a.py\n M b.py\nMM c.py\nR  old.py -> new.py\n?? \"od d\\\".py\"\n!! skip.py\nUU both.py\nnot a line\n D gone.py\n"
+    rows = changes.status_changes(spark.createDataFrame([("sub/repo", listing), (None, "A  top.py"), ("x", None)], "folder string, status string"))
+    found = {tuple(r) for r in rows.collect()}
+    under = "sub/repo/"
+    assert found == {
+        (under + "a.py", None, "staged", "modified"), (under + "b.py", None, "unstaged", "modified"), (under + "c.py", None, "staged", "modified"), (under + "c.py", None, "unstaged", "modified"), (under + "new.py", under + "old.py", "staged", "renamed"),
+        (under + 'od d".py', None, "untracked", "added"), (under + "both.py", None, "staged", "modified"), (under + "both.py", None, "unstaged", "modified"), (under + "gone.py", None, "unstaged", "deleted"), ("top.py", None, "staged", "added"),
+    }
+    assert {r["path"] for r in changes.files_to_index(rows).where("action = 'remove'").collect()} == {under + "gone.py", under + "old.py"}
+
+
+def test_packs_refuse_to_cut_and_searches_agree(spark):
+    E = spark.createDataFrame([(f"n{k}", "function", f"a/{k % 2}.py") for k in range(10)], "qualified_name string, element_type string, file_path string")
+    R = spark.createDataFrame([(f"n{k}", f"n{k + 1}", "calls", 1.0 - k / 20) for k in range(9)], "source_qualified string, target_qualified string, rel_type string, confidence double")
+    with pytest.raises(ValueError):
+        pack.context_pack(E, R, None, 9)
+    lines, manifest = pack.context_pack(E, R, "a", 10)
+    assert lines.count() == 19 and manifest.first()["elements"] == 10
+    other = pack.context_pack(E.where("qualified_name <> 'n0'"), R, "a", 10)[1].first()
+    assert other["relationships"] == 8 and other["content_hash"] != manifest.first()["content_hash"]
+    start = spark.createDataFrame([("n4",)], "node string")
+    moves = traversal.symmetric(R).select("node", "other", "confidence")
+    assert {tuple(r) for r in traversal.reach_by_scans(R, start, 3).collect()} == {tuple(r) for r in traversal.reach(moves, start, 3).collect()}
+
+
+def test_embedding_states_as_a_stream(spark, tmp_path):
+    from graphloom.streaming.embedding_states import embedding_states
+
+    schema = "qualified_name string, event string, content_hash string, at long"
+    table = KeyedTable.satellite(spark, f"{tmp_path}/tables", "embedding_state", buckets=4)
+    batches = [
+        [("a", "seen", "h1", 1), ("b", "seen", "h1", 1), ("b", "embedded", "h1", 2), (None, "seen", "x", 1), ("c", "seen", "h", 1), ("c", "removed", None, 1)],
+        [("a", "embedded", "h1", 3), ("b", "seen", "h2", 4), ("d", "other", "h", 1)],
+        [("a", "removed", None, 5), ("b", "embedded", "h2", 5), ("b", "seen", "h2", 6)],
+    ]
+    want = [{"a": "stale", "b": "fresh"}, {"a": "fresh", "b": "stale"}, {"a": "orphan", "b": "fresh"}]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = embedding_states(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.outputMode("update").foreachBatch(table.sink("events")).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        assert stream.awaitTermination(120)
+        assert {r["qualified_name"]: r["state"] for r in table.read().collect()} == want[k]
