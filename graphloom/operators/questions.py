@@ -25,7 +25,7 @@ GLUE = frozenset(
 def terms_of(question: str) -> list[str]:
     """The words that may name nodes; the two ends of a connection, where there is a joint between two names, come first."""
     tokens = re.findall(r"->|→|↔|\w(?:[\w.:/-]*\w)?", question.lower())
-    names = [k for k, t in enumerate(tokens) if t[0].isalnum() and len(t) > 1 and t not in GLUE]
+    names = [k for k, t in enumerate(tokens) if t[0].isalnum() and len(t) > 1 and t not in GLUE and not t.startswith("connect")]
     ends: list[int] = []
     for joint in JOINTS:
         for at in (k for k, t in enumerate(tokens) if t == joint):
