@@ -18,7 +18,7 @@ JOINTS = ("->", "→", "↔", "to", "with", "and")
 GLUE = frozenset(
     "what which who whose where when why how does did can could is are was were be been has have "  # asking
     "a an the this that these those it its "  # pointing
-    "there in on at of by for from into between through via to with and or".split()  # relating
+    "there in on at of by for from into between through via to with and or path paths way ways".split()  # relating
 )
 
 
