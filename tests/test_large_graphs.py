@@ -1,10 +1,11 @@
 """What travels when graphs are too large to broadcast, and results beside brute force."""
 
-import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
+from graphloom.operators import joins, pack, reports, tables, vectors
 from graphloom.operators import traversal as G
 
 EDGES = "source_qualified string, target_qualified string, rel_type string, confidence double, metadata string, env string"
@@ -87,3 +88,45 @@ def test_searches_between_far_ends_move_no_whole_graph(spark, travelled):
     assert (row["path"], row["cost"]) == (["a", "a7", "m", "b9", "b"], 2) and moved < 40_000 and wrote < 40_000
     near, (moved, wrote) = travelled(lambda: G.reach(G.symmetric(R).select("node", "other", "confidence"), spark.createDataFrame([("m",)], "node string"), 3).count())
     assert near == 1 + 2 + 2 + 2 * 1999 and moved < 40_000 and wrote < 40_000
+
+
+def test_triangles_make_few_wedges(spark, travelled):
+    # 200 parts of 30 suppliers each, one nation: a pair of suppliers closes nothing
+    pairs = {(f"p{k}", f"s{(7 * k + j) % 90}") for k in range(200) for j in range(30)} | {(f"s{k}", "n") for k in range(90)} | {(f"p{k}", "n") for k in range(200)}
+    R = graph_of(spark, [(a, b, "calls", 1.0) for a, b in sorted(pairs)])
+    rows, (moved, _) = travelled(lambda: reports.triangles(R).collect())
+    links = {frozenset(p) for p in pairs}
+    want = sorted(tuple(sorted((a, b, "n"))) for a, b in pairs if b != "n" and {frozenset((a, "n")), frozenset((b, "n"))} <= links)
+    assert sorted(map(tuple, rows)) == want and len(want) == 6000
+    assert moved < 12 * len(pairs)  # pairs of suppliers alone were 87,000
+
+
+def test_pack_of_a_folder_moves_its_own_edges(spark, travelled):
+    E = spark.range(20_000).selectExpr("concat('n', id) AS qualified_name", "concat('f', id % 100, '/a') AS file_path")
+    R = spark.range(20_000).selectExpr("concat('n', id) AS source_qualified", "concat('n', id + 100) AS target_qualified", "'calls' AS rel_type")
+    (lines, manifest), (moved, _) = travelled(lambda: (lambda p: (p[0].collect(), p[1].first()))(pack.context_pack(E, R, "f3", None)))
+    assert (manifest["elements"], manifest["relationships"], len(lines)) == (200, 199, 399) and moved < 2000
+
+
+def test_only_unknown_names_meet_the_edges_again(spark, travelled):
+    E = spark.range(1000).selectExpr("concat('n', id) AS qualified_name")
+    of = lambda s, t, meta="{}": spark.range(30_000).selectExpr(f"{s} AS source_qualified", f"{t} AS target_qualified", "'calls' AS rel_type", f"'{meta}' AS metadata")
+    known, odd = of("concat('n', id % 1000)", "concat('n', id % 77)"), spark.createDataFrame([("n1", "x", "{}"), ("y", "n2", "{}"), ("y", "x", "{}"), ("n1", None, "{}"), (None, "n1", "{}"), ("n1", "x", '{"valid_to":5}'), ("n1", "n2", '{"valid_to":50}')], "source_qualified string, target_qualified string, metadata string").selectExpr("source_qualified", "target_qualified", "'calls' AS rel_type", "metadata")
+    rows, (moved, _) = travelled(lambda: joins.consistency(E, known.unionByName(odd), 10).collect())
+    found = Counter((r["source_qualified"], r["target_qualified"], r["issue"]) for r in rows)
+    assert found == Counter([("n1", "x", "TARGET_MISSING"), ("y", "x", "TARGET_MISSING"), ("n1", None, "TARGET_MISSING"), ("y", "n2", "SOURCE_MISSING"), (None, "n1", "SOURCE_MISSING"), ("n1", "x", "STALE")])
+    assert moved < 90_000
+
+
+def test_states_and_notes(spark):
+    blobs = spark.createDataFrame([(f"f{k}", f"h{k}", f"text {k}") for k in range(6)], "qualified_name string, content_hash string, blob string")
+    state = spark.createDataFrame([("f0", "h0", "fresh"), ("f1", "h1", "stale"), ("f2", "old", "fresh")], "qualified_name string, content_hash string, state string")
+    done = vectors.refresh(blobs, state)
+    assert sorted(r["qualified_name"] for r in done.collect()) == ["f1", "f2", "f3", "f4", "f5"]
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and done._jdf.queryExecution().optimizedPlan().toString().count(" Join ") == 1
+    E = spark.createDataFrame([("a/b.c", "n", "t", "f")], "qualified_name string, name string, element_type string, file_path string")
+    R = spark.createDataFrame([("a/b", "c d/é", "calls"), ("a.b", "c/d_é", "calls"), ("a/b", None, "x"), ("a/b", None, "y")], "source_qualified string, target_qualified string, rel_type string")
+    notes, plan = tables.obsidian(E, R), tables.obsidian(E, R)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, notes.collect()), key=str) == sorted([("a_b_c", 0, "# n"), ("a_b_c", 1, "type: t, file: f"), ("a_b", 2, "- calls [[c_d__]]"), ("a_b", 2, None)], key=str)
+    assert re.search(r"Aggregate \[note#\d+, x#\d+\]", plan)  # lines are written out after repeats are gone
