@@ -130,3 +130,41 @@ def test_states_and_notes(spark):
     notes, plan = tables.obsidian(E, R), tables.obsidian(E, R)._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, notes.collect()), key=str) == sorted([("a_b_c", 0, "# n"), ("a_b_c", 1, "type: t, file: f"), ("a_b", 2, "- calls [[c_d__]]"), ("a_b", 2, None)], key=str)
     assert re.search(r"Aggregate \[note#\d+, x#\d+\]", plan)  # lines are written out after repeats are gone
+
+
+def moves_by_hand(pairs, odd, sweeps):
+    """The communities of a graph by the same local moves, a node at a time."""
+    near = {}
+    for a, b, kind, _ in pairs:
+        for x, y in ((a, b), (b, a)):
+            if x != y:
+                near.setdefault(x, Counter())[y] += 2 if kind == "calls" else 1
+    k = {x: sum(c.values()) for x, c in near.items()}
+    twice, label = sum(k.values()), {x: x for x in near}
+    for sweep in range(sweeps):
+        total, new = Counter(), dict(label)
+        for x, c in label.items():
+            total[c] += k[x]
+        for x in near:
+            into = Counter()
+            for y, w in near[x].items():
+                into[label[y]] += w
+            gain = {c: round(w - k[x] * (total[c] - (k[x] if c == label[x] else 0)) / twice, 9) for c, w in into.items()}
+            best = max((g, c) for c, g in gain.items())
+            if odd[x] == sweep % 2 and best[0] > gain.get(label[x], 0.0) + 0.001:
+                new[x] = best[1]
+        label = new
+    return label
+
+
+def test_communities_move_labels_and_not_links(spark, travelled):
+    rng = random.Random(3)
+    pairs = [(f"n{a}", f"n{a // 20 * 20 + rng.randrange(20) if rng.random() < 0.6 else rng.randrange(300)}", rng.choice(["calls", "imports"]), 1.0) for a in range(300) for _ in range(20)]
+    R = graph_of(spark, pairs).cache()
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(300)], "node string")
+    odd = {r["node"]: r["odd"] for r in nodes.selectExpr("node", "pmod(xxhash64(node), 2) AS odd").collect()}
+    _, (still, _) = travelled(lambda: G.communities(R, 0).collect())
+    rows, (moved, _) = travelled(lambda: G.communities(R, 4).collect())
+    assert {r["node"]: r["community"] for r in rows} == moves_by_hand(pairs, odd, 4)
+    assert len({r["community"] for r in rows}) < 100 and moved - still < 4 * 9000
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("links_")]
