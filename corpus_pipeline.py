@@ -15,11 +15,8 @@ from graphloom.llm import exact_dedup, jaccard_join, packing, pii, shared, toxic
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on this stage's labelled input, rejects go; each row by itself, with or without an id."""
-    docs = shared.with_row_key(docs)
     model = toxicity.train(*toxicity.training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    scored = toxicity.score(docs.select(F.col(shared.ROW_KEY).alias("doc_id"), "text"), model)
-    bad = scored.where(F.col("score") >= toxicity.THRESHOLD).select(F.col("doc_id").alias(shared.ROW_KEY))
-    return docs.join(bad, shared.ROW_KEY, "left_anti").drop(shared.ROW_KEY)
+    return toxicity.kept_documents(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,13 +87,13 @@ def _with_bucket(rows: DataFrame, slots: list[tuple[int, int]]) -> DataFrame:
     return rows.withColumn("slot", _slot(F.col("h"), bits)).join(F.broadcast(table), "slot").drop("slot")
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY, hash_of: Column | None = None, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(keys, index): keys has doc_id, h, digest and the ``extra`` columns of each row; index has bucket, h, chain, digest, keep_id, group_size."""
+def build_index(docs: DataFrame, capacity: int = CAPACITY, hash_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(keys, index): keys has doc_id, h and digest of each row; index has bucket, h, chain, digest, keep_id, group_size."""
     spark = docs.sparkSession
     norm = normalised(F.col("text"))
     h = F.xxhash64(norm) if hash_of is None else hash_of
-    base = docs.select("doc_id", "text", *extra)
-    keys = shared.written(base.select("doc_id", *extra, h.alias("h"), F.unhex(F.sha2(norm, 256)).alias("digest")), "dedup-keys")
+    base = docs.select("doc_id", "text")
+    keys = shared.written(base.select("doc_id", h.alias("h"), F.unhex(F.sha2(norm, 256)).alias("digest")), "dedup-keys")
     heads = keys.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.max(F.hex("digest")).alias("hex"))
     heads = shared.written(heads, "dedup-heads")
     total = heads.count()
@@ -130,9 +130,25 @@ def deduplicate(docs: DataFrame, capacity: int = CAPACITY, hash_of: Column | Non
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, of one row of each group: one with the largest doc_id, or any if none has an id."""
-    docs = shared.with_row_key(docs)
-    keys, index = build_index(docs, extra=(shared.ROW_KEY,))
-    found = keys.join(index.select("h", "digest", "keep_id"), ["h", "digest"]).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    stay = found.groupBy("h", "digest").agg(F.min(shared.ROW_KEY).alias(shared.ROW_KEY)).select(shared.ROW_KEY)
-    return docs.join(stay, shared.ROW_KEY, "left_semi").drop(shared.ROW_KEY)
+    """The columns of ``docs``, of one row of each group: one with the largest doc_id, or any if none has an id.
+
+    No text is written: a row looks its group up by hash and digest, and rows
+    of no group go nowhere. Only rows that tie, of one group and one doc_id,
+    are grouped with all their columns.
+    """
+    keys, index = build_index(docs)
+    groups = index.where("group_size > 1").select(F.col("h").alias("__h"), F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
+    first = keys.join(groups, (F.col("h") == F.col("__h")) & (F.col("digest") == F.col("__digest"))).where(F.col("doc_id").eqNullSafe(F.col("__keep")))
+    ties = first.groupBy("__h", "__digest", "__keep").agg(F.count("*").alias("k"))
+    groups = shared.written(ties.select("__h", "__digest", "__keep", (F.col("k") > 1).alias("__tie")), "dedup-groups")
+    shared.discard(keys, index)
+    norm = normalised(F.col("text"))
+    own = docs.withColumns({"__h": F.xxhash64(norm), "__digest": F.unhex(F.sha2(norm, 256))})
+    few = groups.count() * 64 <= shared.BROADCAST_BYTES
+    found = own.join(F.broadcast(groups) if few else groups, ["__h", "__digest"], "left")
+    same = F.col("doc_id").eqNullSafe(F.col("__keep"))
+    stay = found.where(F.col("__tie").isNull() | (same & ~F.col("__tie"))).select(*docs.columns)
+    if groups.where("__tie").isEmpty():
+        return stay
+    one = found.where(same & F.col("__tie")).groupBy("__h", "__digest").agg(F.first(F.struct(*docs.columns)).alias("x"))
+    return stay.unionByName(one.select("x.*"))

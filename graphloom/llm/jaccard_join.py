@@ -491,10 +491,17 @@ def join(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, of one row of each component: one with its smallest doc_id.
 
-    Rows are joined by a key of their own, so that different texts under one
-    doc_id are told apart; a row without an id or without words links with
-    nothing and stays, but of rows repeated with one id and no words one.
+    A row without an id or without words links with nothing and stays, but of
+    rows repeated with one id and no words one. Where no doc_id repeats, no
+    text is written: the rows that go are named by their ids. Otherwise rows
+    are joined by a key of their own, so that different texts under one doc_id
+    are told apart, and are written with it.
     """
+    with_id = docs.where("doc_id is not null")
+    if with_id.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        gone = join(with_id).where("n_shingles > 0 and doc_id <> component_id").select("doc_id")  # the least doc_id names its component
+        gone = shared.written(gone, "jaccard-gone")
+        return docs.join(F.broadcast(gone) if gone.count() * 16 <= shared.BROADCAST_BYTES else gone, "doc_id", "left_anti").select(*docs.columns)
     docs = shared.with_row_key(docs)
     with_id = docs.where("doc_id is not null")
     rows = with_id.select(F.col(shared.ROW_KEY).alias("doc_id"), "text")

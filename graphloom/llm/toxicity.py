@@ -219,6 +219,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(shared.lean(run), SCHEMA)
 
 
+def kept_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``docs``, of the rows that score below the threshold: whole rows pass the scorer, so none needs a key and none is joined."""
+    shared.small_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, float] = {}
+        for batch in batches:
+            yield batch.filter(pa.array([min(max(held.value.score(text.as_py(), cache)[0], 0.0), 1.0) < THRESHOLD for text in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(shared.lean(run), docs.schema)
+
+
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on the labels, then score every document."""
     model = train(*training_sample(docs, labels))

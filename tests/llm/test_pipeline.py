@@ -98,3 +98,21 @@ def test_toxic_rows_go_with_or_without_an_id(spark, tmp_path):
     left = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert not [t for _, t in left if t and "zorgle" in t]
     assert sorted(str(k) for k, t in left if not t or "word" not in t) == sorted(["None", "None", str((1 << 61) + 1)])
+
+
+def test_no_stage_before_the_surrogates_writes_texts(spark, tmp_path, monkeypatch):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"document {k} is of its own words " + " ".join(f"v{k}x{j}" for j in range(20)), "en", "s", 1) for k in range(60)]
+    rows += [(100, long, "en", "s", 1), (101, long.upper(), "en", "s", 1), (102, long + " x", "en", "s", 1), (None, long + " x y", "en", "s", 1), (None, "No id", "de", "s", 1), (None, "no id", "en", "s", 1), (103, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen, write = [], corpus_pipeline.shared.written
+    monkeypatch.setattr(corpus_pipeline.shared, "written", lambda df, name: seen.append((name, df.columns)) or write(df, name))
+    out = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, out, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
+        out = spark.read.parquet(str(tmp_path / f"out{k}"))
+    assert seen and not [name for name, columns in seen if "text" in columns]
+    assert out.columns == docs.columns
+    left = [r["doc_id"] for r in out.collect()]
+    assert sorted(k for k in left if k is not None) == [*range(60), 101, 103] and left.count(None) == 2
