@@ -204,6 +204,23 @@ def test_vector_search_against_numpy(spark, tmp_path):
     assert vectors.recall(found, exact, 10).first()[0] >= 0.9
 
 
+def test_index_of_vectors_without_clusters(spark, tmp_path):
+    x = np.random.default_rng(12).normal(size=(2500, 32)).astype(np.float32)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = ann.build_index(rows, str(tmp_path))
+    found = ann.approximate_nearest(index, rows, asked, 10)
+    assert vectors.recall(found, ann.exact_nearest(rows, asked, 10), 10).first()[0] >= 0.9
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= ann.BATCH_BYTES
+    held, ann.HELD_BYTES = ann.HELD_BYTES, 8 * 50 * 7
+    try:  # seven rows at a time
+        near, far = ann._nearest(x[:100].astype(float), x[100:150].astype(float), 3)
+    finally:
+        ann.HELD_BYTES = held
+    whole = (x[100:150].astype(float) ** 2).sum(axis=1)[None] - 2 * x[:100].astype(float) @ x[100:150].astype(float).T
+    assert (near == np.argsort(whole, axis=1, kind="stable")[:, :3]).all() and np.allclose(far, whole.min(axis=1))
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(3)
     n = 400
