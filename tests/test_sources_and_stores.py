@@ -204,6 +204,19 @@ def test_vector_search_against_numpy(spark, tmp_path):
     assert vectors.recall(found, exact, 10).first()[0] >= 0.9
 
 
+def test_call_resolution_in_parts_by_the_count_of_rows(spark, tmp_path, monkeypatch):
+    body = "def first_{k}(n):\n    return twin(n) + only_{f}(n) + first_{k}(n) + away_{k}(n)\n\n\ndef twin(n):\n    return n\n\n\ndef only_{k}(n):\n    return n\n"
+    files = spark.createDataFrame([(f"src/m{k}.py", body.format(k=k, f=(k + 1) % 40)) for k in range(40)], "path string, text string").repartition(3)
+    want = sorted(map(tuple, scopes.resolved_calls(scopes.scan(files)).collect()))
+    monkeypatch.setattr(scopes, "PART_ROWS", 20)
+    found = scopes.resolved_calls(scopes.scan(files), folder=str(tmp_path / "found"))
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 160
+    n = spark.read.parquet(str(tmp_path / "found")).count()
+    assert n == 280 and found.rdd.getNumPartitions() == 14
+    none = scopes.resolved_calls(scopes.scan(files.where("false")), folder=str(tmp_path / "none"))
+    assert none.columns == found.columns and none.count() == 0
+
+
 def test_index_of_vectors_without_clusters(spark, tmp_path):
     x = np.random.default_rng(12).normal(size=(2500, 32)).astype(np.float32)
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
