@@ -210,26 +210,34 @@ def posting_rows(docs: DataFrame, order: object) -> DataFrame:
     return docs.mapInArrow(shared.lean(run), "token long, star long, part long, posting long")
 
 
-#: Postings of a list that are compared at once.
-BLOCK = 256
+#: Postings of a list that are compared at once, and rows of lists that are walked together and of pairs that are given on together, about.
+BLOCK, ROWS_AT_ONCE = 256, 1 << 15
 
 
-def list_pairs(star: np.ndarray, part: np.ndarray, posting: np.ndarray) -> np.ndarray:
-    """Pairs of postings of one list, of different components, that can still hold a link.
+def one_of_each(token: np.ndarray, star: np.ndarray, part: np.ndarray, posting: np.ndarray) -> tuple[np.ndarray, ...]:
+    """token, star, part, least and largest size, place and kind of lists in which each star has one row, whatever batches its documents came in."""
+    high, place, kind = posting >> 31, (posting >> 2) & ((1 << 29) - 1), posting & 3
+    low, keep = high.copy(), np.ones(len(token), bool)
+    starry = np.flatnonzero(kind)
+    if len(starry):
+        by = starry[np.lexsort((posting[starry], star[starry], token[starry]))]
+        new = np.append(True, (token[by][1:] != token[by][:-1]) | (star[by][1:] != star[by][:-1]))
+        end = np.append(new[1:], True)
+        low[by[end]] = high[by[new]]
+        kind[by[end & ~new]] = SEVERAL
+        keep[by[~end]] = False
+    return tuple(x[keep] for x in (token, star, part, low, high, place, kind))
+
+
+def list_pairs(star: np.ndarray, part: np.ndarray, low: np.ndarray, high: np.ndarray, place: np.ndarray, kind: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of rows of one list, of different components, that can still hold a link, a block of BLOCK x BLOCK at most at a time.
 
     The list is sorted by size; blocks whose sizes are out of range are
-    skipped, and positions bound what two sets can share. Where a posting stands
-    for several documents the sizes of its star's postings bound the range.
+    skipped, and positions bound what two sets can share. Where a row stands
+    for several documents their least and largest size bound the range.
     """
-    size = posting >> 31
-    low, high = size.copy(), size.copy()
-    several = np.flatnonzero(posting & 2)
-    for k in np.unique(star[several]):
-        of = several[star[several] == k]
-        low[of], high[of] = size[of].min(), size[of].max()
     by = np.argsort(high, kind="stable")
-    star, part, low, high, place, kind = star[by], part[by], low[by], high[by], (posting[by] >> 2) & ((1 << 29) - 1), posting[by] & 3
-    out = []
+    star, part, low, high, place, kind = star[by], part[by], low[by], high[by], place[by], kind[by]
     n = len(star)
     for begin in range(0, n if (part != part[0]).any() else 0, BLOCK):
         rows = np.arange(begin, min(begin + BLOCK, n))
@@ -242,8 +250,7 @@ def list_pairs(star: np.ndarray, part: np.ndarray, posting: np.ndarray) -> np.nd
             r, c = r[ok], c[ok]
             ok = (kind[r] > ONE) | (kind[c] > ONE) | _reachable(high[r], high[c], place[r], place[c])
             r, c = r[ok], c[ok]
-            out.append(_pair_rows(star[r], star[c], part[r], part[c], high[r], high[c], place[r], place[c], (kind[r] | kind[c]) == SOLO))
-    return np.concatenate([np.zeros((0, 9), np.int64), *out])
+            yield _pair_rows(star[r], star[c], part[r], part[c], high[r], high[c], place[r], place[c], (kind[r] | kind[c]) == SOLO)
 
 
 def _reachable(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -267,35 +274,51 @@ def candidates(postings: DataFrame) -> DataFrame:
     lists = postings.repartition("token").sortWithinPartitions("token")
     names = ["a", "b", "p", "q", "n_a", "n_b", "i", "j", "solo"]
 
+    def walk(c: list[np.ndarray]) -> Iterator[np.ndarray]:
+        token, *rows = one_of_each(*c)
+        star, part, low, high, place, kind = rows
+        cut = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        ends = np.append(cut[1:], len(token))
+        i = cut[ends - cut == 2]  # the usual list, of two: all at once
+        j = i + 1
+        ok = (part[i] != part[j]) & (PERCENT * low[i] <= 100 * high[j]) & (PERCENT * low[j] <= 100 * high[i])
+        ok &= (kind[i] > ONE) | (kind[j] > ONE) | _reachable(high[i], high[j], place[i], place[j])
+        i, j = i[ok], j[ok]
+        yield _pair_rows(star[i], star[j], part[i], part[j], high[i], high[j], place[i], place[j], (kind[i] | kind[j]) == SOLO)
+        for s, e in zip(cut[ends - cut > 2], ends[ends - cut > 2], strict=True):
+            yield from list_pairs(*(x[s:e] for x in rows))
+
+    def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held, n, enough = [], 0, ROWS_AT_ONCE
+        for batch in batches:
+            held.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+            n += batch.num_rows
+            if n >= enough:
+                c = [np.concatenate(x) for x in zip(*held, strict=True)]
+                last = int(np.searchsorted(c[0], c[0][-1]))  # the last list may go on in the next batch
+                held, n = [[x[last:].copy() for x in c]], n - last
+                enough = max(ROWS_AT_ONCE, 2 * n)
+                if last:
+                    yield [x[:last] for x in c]
+        if n:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def walk(c: list[np.ndarray]) -> pa.RecordBatch:
-            token, star, part, posting = c
-            cut = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            ends = np.append(cut[1:], len(token))
-            two = ends - cut == 2
-            i = cut[two]  # the usual list, of two: all at once
-            p, q = posting[i], posting[i + 1]
-            n, m, x, y = p >> 31, q >> 31, (p >> 2) & ((1 << 29) - 1), (q >> 2) & ((1 << 29) - 1)
-            exact = ((p | q) & 2) == 0
-            ok = (part[i] != part[i + 1]) & (~exact | (PERCENT * n <= 100 * m) & (PERCENT * m <= 100 * n) & _reachable(n, m, x, y))
-            found = [_pair_rows(star[i], star[i + 1], part[i], part[i + 1], n, m, x, y, ((p | q) & 3) == SOLO)[ok]]
-            found += [list_pairs(star[s:e], part[s:e], posting[s:e]) for s, e in zip(cut[ends - cut > 2], ends[ends - cut > 2], strict=True)]
-            rows = np.concatenate(found)
+        held, n = [], 0
+
+        def table() -> pa.RecordBatch:
+            rows = np.concatenate(held)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(9)], names)
 
-        for batch in batches:
-            c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            c = c if rest is None else [np.concatenate(x) for x in zip(rest, c, strict=True)]
-            if not len(c[0]):
-                continue
-            last = int(np.searchsorted(c[0], c[0][-1]))  # the last list may go on in the next batch
-            rest = [x[last:] for x in c]
-            if last:
-                yield walk([x[:last] for x in c])
-        if rest is not None and len(rest[0]):
-            yield walk(rest)
+        for c in whole_lists(batches):
+            for pairs in walk(c):
+                held.append(pairs)
+                n += len(pairs)
+                if n >= ROWS_AT_ONCE:  # however many pairs a list has, few are held
+                    yield table()
+                    held, n = [], 0
+        if n:
+            yield table()
 
     met = lists.select("token", "star", "part", "posting").mapInArrow(shared.lean(run), ", ".join(f"{n} long" for n in names))
     met = met.groupBy("a", "b").agg(*(F.max(n).alias(n) for n in names[2:8]), F.min("solo").alias("solo"), F.count("*").alias("met"))
