@@ -100,8 +100,11 @@ def facts(docs: DataFrame) -> DataFrame:
         held, seen, size = [], set(), 0
 
         def counted() -> tuple[np.ndarray, np.ndarray]:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            return found[n >= OFTEN], n[n >= OFTEN]
+            found = np.concatenate(held)
+            held.clear()  # with the sort in place, no more than one copy of the shingles is held
+            found.sort()
+            tokens = np.unique(found[: len(found) - OFTEN + 1][found[OFTEN - 1 :] == found[: len(found) - OFTEN + 1]]) if len(found) >= OFTEN else found[:0]
+            return tokens, np.searchsorted(found, tokens, "right") - np.searchsorted(found, tokens)
 
         def table(kind: int, *columns: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *columns], ["kind", "a", "b", "c", "d"])

@@ -1,6 +1,7 @@
 """What the near-copy join holds at once, where one shingle's list or one task's texts are large."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -63,3 +64,21 @@ def test_a_list_gives_each_pair_of_stars_once(spark):
         found.update(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
     near = lambda x, y: 80 * min(x) <= 100 * max(y) and 80 * min(y) <= 100 * max(x)
     assert found == Counter((a, b) for token in (2, 3, 4) for a in range(30) for b in range(a + 1, 30) if a // 2 != b // 2 and near(sizes[token, a], sizes[token, b]))
+
+
+def test_frequent_shingles_are_counted_in_place(spark):
+    rng = random.Random(8)
+    common = " ".join(f"c{k}" for k in range(30))
+    small = [["one two three four five", "one two three four five x", "a"], [f"{common} u{k} v{k} w{k} x{k} y{k}" for k in range(3)], ["a b c d e", "z a b c d e"]]
+    for texts in small:
+        want = Counter()
+        for s in {s[0]: s for s in reversed(list(J.sets_of(pa.array(texts))))}.values():  # of texts with one least hash the first counts
+            want.update(s.view(np.int64).tolist())
+        rows = [r for b in given(J.facts, [[list(range(len(texts))), texts]], ["doc_id", "text"]) for r in b.to_pylist()]
+        assert {r["a"]: r["b"] for r in rows if r["kind"] == 1} == {s: n for s, n in want.items() if n >= J.OFTEN}
+    texts = [" ".join(f"{rng.randrange(10**6):x}" for _ in range(20_000)) for _ in range(100)]
+    tracemalloc.start()
+    given(J.facts, ([[i], [t]] for i, t in enumerate(texts)), ["doc_id", "text"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * 8 * 20_000 * len(texts), peak
