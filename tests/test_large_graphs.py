@@ -168,3 +168,22 @@ def test_communities_move_labels_and_not_links(spark, travelled):
     assert {r["node"]: r["community"] for r in rows} == moves_by_hand(pairs, odd, 4)
     assert len({r["community"] for r in rows}) < 100 and moved - still < 4 * 9000
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("links_")]
+
+
+def test_a_sweep_takes_the_rows_of_a_node_from_several_batches(spark, monkeypatch):
+    """A hub's links are more than are taken together; the moves are decided in workers, without a plan's sorts and joins after the shuffle."""
+    pairs = [("hub", f"n{k}", "calls", 1.0) for k in range(120)] + [(f"n{k}", f"n{k // 4 * 4}", "imports", 1.0) for k in range(120)] + [("far", "away", "imports", 1.0)]
+    R = graph_of(spark, pairs).cache()
+    names = ["hub", "far", "away", *(f"n{k}" for k in range(120))]
+    odd = {r["node"]: r["odd"] for r in spark.createDataFrame([(n,) for n in names], "node string").selectExpr("node", "pmod(xxhash64(node), 2) AS odd").collect()}
+    monkeypatch.setattr(G, "ROWS_AT_ONCE", 16)
+    was, plans, step = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), [], G._step
+    monkeypatch.setattr(G, "_step", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or step(df))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["node"]: r["community"] for r in G.communities(R, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert got == moves_by_hand(pairs, odd, 5)
+    sweeps = plans[-5:]
+    assert all(p.count("Join") == 1 and "Aggregate" not in p for p in sweeps)
